@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, mixing, quality_rules
+from textloom.llm import bpe, mixing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op3_lpt_shards": sharding.op3_lpt_shards,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
