@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, mixing, quality_classifier, quality_rules, sharding
+from textloom.llm import bpe, jaccard, mixing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op3_lpt_shards": sharding.op3_lpt_shards,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_jaccard_components": jaccard.op5_jaccard_components,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
