@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, jaccard, mixing, quality_classifier, quality_rules, sharding, token_counts
+from textloom.llm import bpe, jaccard, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_lpt_shards": sharding.op3_lpt_shards,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_jaccard_components": jaccard.op5_jaccard_components,
