@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, jaccard, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
+from textloom.llm import bpe, fingerprints, html_text, jaccard, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_components": jaccard.op5_jaccard_components,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_order_minhash": fingerprints.op7_order_minhash,
+        "op8_html_text": html_text.op8_html_text,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_counts": token_counts.op10_token_counts,
     }
