@@ -191,7 +191,7 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a", "b"))), "roots")
 
 
-def resolve(candidates: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame | None, tried: DataFrame | None, level: int) -> DataFrame:
+def resolve(candidates: DataFrame, docs: DataFrame, roots: DataFrame | None, level: int) -> DataFrame:
     """The components after the groups of candidates (key, a, b: neighbours in a group, as classes) are settled."""
     pairs = stored(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -221,7 +221,7 @@ def resolve(candidates: DataFrame, docs: DataFrame, reps: DataFrame, roots: Data
     if large.isEmpty():
         return roots
     again = neighbours(keys_of(large.join(texts, "node").select("group", "node", "text"), level + 1))
-    return resolve(stored(again, "candidates"), docs, reps, roots, pairs, level + 1)
+    return resolve(stored(again, "candidates"), docs, roots, level + 1)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -244,12 +244,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
     candidates = as_reps.select("key", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b")
     same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = resolve(stored(candidates, "candidates"), texts, rep, None, None, 0)
+    roots = resolve(stored(candidates, "candidates"), texts, None, 0)
     roots = joined(roots, same)
     return sets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id")
     )
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids (stored)."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id, and one row of each doc_id; columns unchanged.
+
+    Rows without doc_id all stay.
+    """
+    found = stored(jaccard_components(docs).select("doc_id", "component_id"), "components")
+    copies = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    again = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    left = without(docs, copies)
+    if again.isEmpty():
+        return left
+    return without(left, again).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored, table, text_of, word_count, words_of
+from textloom.llm.common import WORD, stored, table, word_count
 
 SEED = "mix-1"
 #: Weights of the sources in order of code points, null last, repeating.
@@ -143,5 +143,16 @@ def sized(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, columns unchanged; a part taken counts from half of a document on.
+
+    Rows that share a doc_id (or have none) come as often as the most taken of them. Documents without words go.
+    """
+    taken = mix(sized(docs)).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size") + 1e-9).cast("int").alias("times"))
+    taken = taken.groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).where(F.coalesce(docs["text"], F.lit("")).rlike(WORD))
+    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy")).drop("_copy")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sized(table(spark, sf_dir, "documents")))
