@@ -111,10 +111,9 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD; ids outside the vocabulary are left out."""
         n, strings = len(self.strings), self.strings
-        try:
-            return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
-        except (IndexError, TypeError):
-            return b"".join([strings[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
+        if ids and (min(ids) < 0 or max(ids) >= n):
+            ids = [i for i in ids if 0 <= i < n]
+        return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
 
 
 @cache
@@ -171,9 +170,10 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
         c = codec(path)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            sizes = np.array([x or 0 for x in pa.compute.list_value_length(lists).to_pylist()], dtype=np.int64)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, ends = pa.compute.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
             for a, b in slices(4 * sizes):
-                texts = [c.decode(x) if x else "" for x in lists[a:b].to_pylist()]
+                texts = [c.decode(values[ends[k] : ends[k + 1]].tolist()) for k in range(a, b)]
                 yield appended(batch.slice(a, b - a), out, pa.array(texts, pa.string()))
 
     return kept.mapInArrow(run, schema)
