@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import lowered, trimmed
+from textloom.functions.text import let, lowered, trimmed
 
 #: Lines that start so are instructions, not text.
 INSTRUCTION_PREFIXES = (
@@ -37,14 +37,13 @@ def any_of(tests: list[Column]) -> Column:
 
 
 def instruction_like(line: Column) -> Column:
-    low = lowered(trimmed(line))
-    return any_of([low.startswith(p) for p in INSTRUCTION_PREFIXES])
+    return let(lowered(trimmed(line)), lambda low: any_of([low.startswith(p) for p in INSTRUCTION_PREFIXES]))
 
 
 def fact_line(line: Column) -> Column:
     """A line without its bullet; empty for blank and instruction lines."""
     bare = trimmed(F.regexp_replace(trimmed(line), BULLET, ""))
-    return F.when(instruction_like(bare), "").otherwise(bare)
+    return let(bare, lambda x: F.when(instruction_like(x), "").otherwise(x))
 
 
 def fact_lines(raw: Column, drop_rules: bool = False) -> Column:
@@ -54,22 +53,29 @@ def fact_lines(raw: Column, drop_rules: bool = False) -> Column:
 
 
 def penalty(fact: Column) -> Column:
-    low = lowered(trimmed(fact))
-    lead = F.when(any_of([low.startswith(p) for p in LEAD_INS]), LEAD_IN_PENALTY).otherwise(0)
-    return lead + F.when(any_of([F.contains(low, F.lit(p)) for p in REPORTING]), REPORTING_PENALTY).otherwise(0)
+    def of(low: Column) -> Column:
+        lead = F.when(any_of([low.startswith(p) for p in LEAD_INS]), LEAD_IN_PENALTY).otherwise(0)
+        return lead + F.when(any_of([F.contains(low, F.lit(p)) for p in REPORTING]), REPORTING_PENALTY).otherwise(0)
+
+    return let(lowered(trimmed(fact)), of)
 
 
 def distinct_facts(facts: Column) -> Column:
-    """Facts whose lower case is new, in order; the first spelling stays."""
-    keys = F.transform(facts, lowered)
-    return F.filter(facts, lambda f, i: F.array_position(keys, lowered(f)) == i + 1)
+    """Facts whose lower case is new, in order; the first spelling stays. Equal facts meet in a sort."""
+    keyed = F.array_sort(F.transform(facts, lambda f, i: F.struct(lowered(f).alias("k"), i.alias("i"), f.alias("f"))))
+    first = lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, F.greatest(j - 1, F.lit(0)))["k"] != x["k"]))
+    ordered = F.array_sort(F.transform(let(keyed, first), lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"))))
+    return F.transform(ordered, lambda x: x["f"])
 
 
 def best_facts(facts: Column, most: int = MOST_FACTS) -> Column:
     """All distinct facts in order if they are few, else the best ``most``: by penalty, length, text."""
-    kept = distinct_facts(facts)
-    ranked = F.array_sort(F.transform(kept, lambda f: F.struct(penalty(f).alias("p"), F.length(f).alias("n"), f.alias("f"))))
-    return F.when(F.size(kept) <= most, kept).otherwise(F.transform(F.slice(ranked, 1, most), lambda s: s["f"]))
+
+    def best(kept: Column) -> Column:
+        ranked = F.array_sort(F.transform(kept, lambda f: F.struct(penalty(f).alias("p"), F.length(f).alias("n"), f.alias("f"))))
+        return F.when(F.size(kept) <= most, kept).otherwise(F.transform(F.slice(ranked, 1, most), lambda s: s["f"]))
+
+    return let(distinct_facts(facts), best)
 
 
 def mapped_facts(raw: Column) -> Column:
@@ -82,5 +88,5 @@ def sanitized(raw: Column) -> Column:
     """A block without instruction lines, with runs of blank lines as one and none at the ends; lines are trimmed."""
     lines = F.transform(F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n"), trimmed)
     kept = F.filter(lines, lambda x: ~instruction_like(x))
-    single = F.filter(kept, lambda x, i: (x != "") | ((i > 0) & (F.get(kept, F.greatest(i - 1, F.lit(0))) != "")))
+    single = let(kept, lambda k: F.filter(k, lambda x, i: (x != "") | ((i > 0) & (F.get(k, F.greatest(i - 1, F.lit(0))) != ""))))
     return trimmed(F.array_join(single, "\n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) for a value that it names several times: the value is computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lowered(x: Column) -> Column:
     """Lower case letter by letter: the two letters whose full mapping differs are mapped first."""
     return F.lower(F.translate(x, "İΣ", "iσ"))
@@ -43,8 +50,7 @@ def content_tokens(x: Column) -> Column:
 
 def contained(query_tokens: Column, text: Column) -> Column:
     """How many of the tokens occur anywhere in the text, also inside words."""
-    low = lowered(text)
-    return F.size(F.filter(query_tokens, lambda t: F.contains(low, t)))
+    return let(lowered(text), lambda low: F.size(F.filter(query_tokens, lambda t: F.contains(low, t))))
 
 
 def overlap_ratio(query_tokens: Column, text: Column) -> Column:
