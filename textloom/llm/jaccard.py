@@ -7,10 +7,14 @@ difference. Linked sets of sizes a and b differ in (a + b) / 9 tokens at most; `
 in use than can differ, so linked sets agree in a used symbol (pigeonhole), and used symbols are the join keys. The few
 sets with too few used symbols also use every token as a key.
 
-Equal sets are one class. In the group of a key, each set is paired with the set before it only. Pairs are verified on
-the whole sets, best supported pair of each set first, and links become components. A group whose members are still in
-several components is looked at again: small groups pair members of different components, large ones are split by a
-sketch with another seed, which is as exact. So groups of any size cost no square, and no link is lost.
+Equal sets are one class. In the group of a key, each set is paired with the set before it only. Pairs whose sizes or
+bit sketches (one bit flipped for each token, a few bits a token, folded to one length) differ too much are no links; the
+others are verified on the whole sets, best supported pair of each set first, and links become components.
+
+A group whose members are still in several components is open. Linked sets that aren't in one component share open keys
+only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. For the
+rest, small groups pair members of different components, and large ones are split by a sketch with another seed, which is
+as exact. So groups of any size cost no square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -87,38 +91,73 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def bands(n: int) -> list[tuple[int, int, int]]:
+    """The bands that a set of n tokens is handled in: number, symbols, and the most symbols in which a linked set differs."""
+    band, out = n.bit_length() - 1, []
+    for k in (band, band + 1) if 100 * n >= PERCENT << (band + 1) else (band,):
+        top = 2 << k
+        differ = (n + min(top - 1, 100 * n // PERCENT)) * (100 - PERCENT) // (100 + PERCENT)
+        out.append((k, int(np.ceil(SYMBOLS * top)) + MORE, differ))
+    return out
+
+
+def salted(tokens: np.ndarray, seed: int) -> np.ndarray:
+    return mixed(tokens ^ U(seed * 0x1000003 + 1))
+
+
 def sketch_keys(tokens: np.ndarray, seed: int) -> np.ndarray:
     """The join keys of a set: used symbols of its sketch in each of its bands, and tokens where those are too few."""
-    n, out = len(tokens), []
-    if not n:
+    if not (n := len(tokens)):
         return np.empty(0, U)
-    salted = mixed(tokens ^ U(seed * 0x1000003 + 1))
-    band = n.bit_length() - 1
-    for k in (band, band + 1) if 100 * n >= PERCENT << (band + 1) else (band,):
-        top = 2 << k
-        s = int(np.ceil(SYMBOLS * top)) + MORE
-        place = (salted % U(s)).astype(np.int64)
+    out, hashes = [], salted(tokens, seed)
+    for k, s, differ in bands(n):
+        place = (hashes % U(s)).astype(np.int64)
         symbols, used = np.zeros(s, U), np.bincount(place, minlength=s) > 0
         np.bitwise_xor.at(symbols, place, tokens)
         at = np.flatnonzero(used)
         out.append(mixed(symbols[at] ^ mixed(at.astype(U) + U((k + 1) << 40) + U(seed << 48))))
-        differ = (n + min(top - 1, 100 * n // PERCENT)) * (100 - PERCENT) // (100 + PERCENT)
         if len(at) <= differ:
-            out.append(mixed(tokens ^ U((k + 1) * 0x51_7C_C1)))
+            out.append(mixed(tokens ^ U((k + 1) * 0x517CC1)))
     return np.concatenate(out)
 
 
+def least_shared(tokens: np.ndarray) -> int:
+    """The least number of keys of the first sketch that a linked set shares with this one, 1 at least."""
+    hashes = salted(tokens, 0)
+    return max(1, min((len(np.unique(hashes % U(s))) - differ for _, s, differ in bands(len(tokens))), default=1))
+
+
+def bit_sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each of 2 to 4 places a token (a power of two, 64 at least), flipped by each token there."""
+    m = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((mixed(tokens ^ U(0xB17)) % U(m)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def plausible(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
+    """False only if the sets can't be linked: by their sizes, or by the bits in which their sketches differ."""
+    if 100 * min(n_a, n_b) < PERCENT * max(n_a, n_b):
+        return False
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) > len(y):
+        x = x.reshape(2, -1)[0] ^ x.reshape(2, -1)[1]
+    while len(y) > len(x):
+        y = y.reshape(2, -1)[0] ^ y.reshape(2, -1)[1]
+    return int(np.bitwise_count(x ^ y).sum()) <= (n_a + n_b) * (100 - PERCENT) // (100 + PERCENT)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and set_key (128 bits; null for the empty set) of every row."""
+    """doc_id, n_shingles, set_key (128 bits; null for the empty set), shared (least_shared) and bits (the sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
             found = [shingles(x, known) for x in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "set_key"])
+            columns = [pa.array(map(len, found), pa.int64()), pa.array(keys, pa.binary()), pa.array(map(least_shared, found), pa.int64()), pa.array(map(bit_sketch, found), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_shingles", "set_key", "shared", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, shared long, bits binary")
 
 
 def keys_of(docs: DataFrame, seed: int) -> DataFrame:
@@ -164,6 +203,20 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "node", "left_semi")
 
 
+def sifted(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The plausible ones of the pairs (a, b, n). info: node, n_shingles, bits of each class."""
+    end = lambda e: info.select(F.col("node").alias(e), F.col("n_shingles").alias(f"n_{e}"), F.col("bits").alias(f"bits_{e}"))
+    sized = pairs.join(end("a"), "a").join(end("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    sized = sized.select("a", "b", "n", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [plausible(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True)]
+            yield batch.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
+
+    return sized.mapInArrow(run, "a long, b long, n long").dropDuplicates(["a", "b"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are linked. texts: (node, text)."""
     left = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -191,37 +244,47 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a", "b"))), "roots")
 
 
-def resolve(candidates: DataFrame, docs: DataFrame, roots: DataFrame | None, level: int) -> DataFrame:
-    """The components after the groups of candidates (key, a, b: neighbours in a group, as classes) are settled."""
-    pairs = stored(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+def linked_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among the pairs (stored); only the texts of their ends are read."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    texts = stored(with_ids(docs, nodes), "texts")
+    return verified(pairs, stored(with_ids(docs, nodes), "texts"))
+
+
+def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame, roots: DataFrame | None, level: int) -> DataFrame:
+    """The components after the groups of candidates (key, a, b: neighbours in a group, as classes) are settled."""
+    pairs = stored(sifted(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), info), "pairs")
     if roots is None:
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        roots = joined(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), verified(best, texts))
+        best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
+        roots = joined(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), linked_pairs(best, docs))
+        pairs = pairs.join(best, ["a", "b"], "left_anti")
     left = stored(apart(pairs, roots).select("a", "b"), "apart")
     if not left.isEmpty():
-        roots = joined(roots, verified(left, texts))
+        roots = joined(roots, linked_pairs(left, docs))
     open_keys = stored(apart(candidates, roots).select("key").distinct(), "open")
     if open_keys.isEmpty():
         return roots
-    rows = candidates.join(open_keys, "key", "left_semi")
-    members = rows.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    members = candidates.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
     members = stored(members, "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).select((F.col("key") + 0).alias("key"), "n")
+    if level == 0:
+        counts = members.groupBy("node").agg(F.count("*").alias("n"))
+        unsettled = counts.join(info.groupBy("node").agg(F.min("shared").alias("shared")), "node").where("n >= shared").select((F.col("node") + 0).alias("node"))
+        members = members.join(unsettled, "node", "left_semi")
+    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    members = stored(rooted, "rooted")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select((F.col("key") + 0).alias("key"), "n")
     small = F.col("n") <= (SMALL_GROUP if level < LEVELS else 1 << 60)
     few = members.join(sizes.where(small), "key")
     other = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
     across = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, "key").where("a < b AND ra <> rb").select("a", "b").distinct()
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    across = stored(sifted(across.withColumn("n", F.lit(1).cast("long")), info).join(pairs, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
-        roots = joined(roots, verified(across, texts))
-    large = members.join(sizes.where(~small), "key").select(F.col("key").alias("group"), "node")
+        roots = joined(roots, linked_pairs(across, docs))
+    large = stored(members.join(sizes.where(~small), "key").select(F.col("key").alias("group"), "node"), "large")
     if large.isEmpty():
         return roots
+    texts = with_ids(docs, stored(large.select("node").distinct(), "nodes"))
     again = neighbours(keys_of(large.join(texts, "node").select("group", "node", "text"), level + 1))
-    return resolve(stored(again, "candidates"), docs, roots, level + 1)
+    return resolve(stored(again, "candidates"), docs, info, roots, level + 1)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -233,9 +296,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(sets_of(rows), "sets")
-    usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
     firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = stored(usable.select("doc_id", "set_key").join(firsts.select(F.concat("set_key", F.lit(b"")).alias("set_key"), "rep"), "set_key"), "classes")
+    # The key is computed anew, so that the join's sides are both exchanged and hot classes can be split.
+    classes = stored(usable.join(firsts.select(F.concat("set_key", F.lit(b"")).alias("set_key"), "rep"), "set_key"), "classes")
+    reps = classes.where("doc_id = rep").distinct().select(F.col("doc_id"), "set_key")
+    info = sets.join(reps, ["doc_id", "set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "shared", "bits").dropDuplicates(["node", "n_shingles", "bits"])
     rep = classes.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
     raw = stored(neighbours(keys_of(texts.select(F.lit(0).cast("long").alias("group"), "node", "text"), 0)), "neighbours")
@@ -244,7 +310,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
     candidates = as_reps.select("key", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b")
     same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = resolve(stored(candidates, "candidates"), texts, None, 0)
+    roots = resolve(stored(candidates, "candidates"), texts, info, None, 0)
     roots = joined(roots, same)
     return sets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id")
