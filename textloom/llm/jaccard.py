@@ -12,9 +12,9 @@ bit sketches (one bit flipped for each token, a few bits a token, folded to one
 others are verified on the whole sets, best supported pair of each set first, and links become components.
 
 A group whose members are still in several components is open. Linked sets that aren't in one component share open keys
-only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. For the
-rest, small groups pair members of different components, and large ones are split by a sketch with another seed, which is
-as exact. So groups of any size cost no square, and no link is lost.
+only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. The rest of
+an open group is compared by bit sketches in blocks of bounded size, and only plausible pairs across components leave a
+block to be verified. So copies and near copies in any number cost no square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -34,14 +34,12 @@ from textloom.llm.graphs import components
 SHINGLE, PERCENT = 5, 80
 #: Symbols of a sketch for each token of a band's largest set, and besides.
 SYMBOLS, MORE = 0.24, 2
-#: Groups of so many members or fewer pair those of different components; larger ones are sketched again.
-SMALL_GROUP = 32
-#: Sketches with new seeds before groups of any size pair their members.
-LEVELS = 6
+#: Members of an open group that a block compares with as many others.
+BLOCK = 1024
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Keys in a batch, and word hashes that a worker remembers.
-BATCH_KEYS, REMEMBERED = 1 << 18, 1_000_000
+#: Keys in a batch.
+BATCH_KEYS = 1 << 18
 
 U = np.uint64
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=U)
@@ -53,35 +51,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Hashes(dict):
-    """Hashes of words; starts anew when full."""
+#: A number for each byte, the same for both cases of an ASCII letter, and which bytes are white space.
+LETTERS = mixed(np.arange(1, 257, dtype=U) * MULTIPLIERS[0])
+LETTERS[65:91] = LETTERS[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BASE = U(0xD1342543DE82EF95)
+INVERSE = U(pow(int(BASE), -1, 1 << 64))
+#: Bytes of a text that are hashed at a time; a part ends at white space.
+PART = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+
+class Powers:
+    """The powers of a number modulo 2^64, as many as were asked for so far."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.known = base, np.ones(1, U)
+
+    def first(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            self.known = np.append(U(1), np.multiply.accumulate(np.full(2 * n, self.base, U)))
+        return self.known[:n]
+
+
+UP, DOWN = Powers(BASE), Powers(INVERSE)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of the words of a part: polynomials of their bytes, as differences of one running sum."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~SPACE[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(LETTERS[data] * UP.first(len(data)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * DOWN.first(len(data) + 1)[starts] + (ends - starts).astype(U))
 
 
-def shingles(text: str | None, known: Hashes) -> np.ndarray:
+def parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts that end between words; a longer word is a longer part."""
+    at = 0
+    while len(raw) - at > PART:
+        end = at + PART
+        while end < len(raw) and not SPACE[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles: of all its words if they are fewer than 5, none without words.
 
-    Lower-casing and splitting bytes touches ASCII letters and ASCII white space only.
+    Letters A-Z count as a-z; words end at ASCII white space.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, U)
-    h = np.array(list(map(known.__getitem__, words)), dtype=U)
-    if (n := len(h)) < SHINGLE:
-        total = U(n)
-        with np.errstate(over="ignore"):
-            for x in h:
-                total = (total + x) * MULTIPLIERS[0] + U(1)
-            return mixed(np.array([total], dtype=U))
-    total = np.zeros(n - SHINGLE + 1, U)
-    for k in range(SHINGLE):
-        total += mixed(h[k : n - SHINGLE + 1 + k] * MULTIPLIERS[k])
-    return np.unique(mixed(total))
+    h = np.concatenate([word_hashes(p) for p in parts((text or "").encode())])
+    if not (n := len(h)):
+        return h
+    total = h[: max(1, n - SHINGLE + 1)] * MULTIPLIERS[0]
+    for k in range(1, min(n, SHINGLE)):
+        total = (total ^ (total >> U(29))) + h[k : k + len(total)] * MULTIPLIERS[k]
+    if n < SHINGLE:
+        total = total[:1] + U(n)
+    total = np.sort(mixed(total))
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -101,21 +134,21 @@ def bands(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def salted(tokens: np.ndarray, seed: int) -> np.ndarray:
-    return mixed(tokens ^ U(seed * 0x1000003 + 1))
+def salted(tokens: np.ndarray) -> np.ndarray:
+    return mixed(tokens ^ U(1))
 
 
-def sketch_keys(tokens: np.ndarray, seed: int) -> np.ndarray:
+def sketch_keys(tokens: np.ndarray) -> np.ndarray:
     """The join keys of a set: used symbols of its sketch in each of its bands, and tokens where those are too few."""
     if not (n := len(tokens)):
         return np.empty(0, U)
-    out, hashes = [], salted(tokens, seed)
+    out, hashes = [], salted(tokens)
     for k, s, differ in bands(n):
         place = (hashes % U(s)).astype(np.int64)
         symbols, used = np.zeros(s, U), np.bincount(place, minlength=s) > 0
         np.bitwise_xor.at(symbols, place, tokens)
         at = np.flatnonzero(used)
-        out.append(mixed(symbols[at] ^ mixed(at.astype(U) + U((k + 1) << 40) + U(seed << 48))))
+        out.append(mixed(symbols[at] ^ mixed(at.astype(U) + U((k + 1) << 40))))
         if len(at) <= differ:
             out.append(mixed(tokens ^ U((k + 1) * 0x517CC1)))
     return np.concatenate(out)
@@ -123,8 +156,11 @@ def sketch_keys(tokens: np.ndarray, seed: int) -> np.ndarray:
 
 def least_shared(tokens: np.ndarray) -> int:
     """The least number of keys of the first sketch that a linked set shares with this one, 1 at least."""
-    hashes = salted(tokens, 0)
-    return max(1, min((len(np.unique(hashes % U(s))) - differ for _, s, differ in bands(len(tokens))), default=1))
+    if not len(tokens):
+        return 1
+    hashes = salted(tokens)
+    used = lambda s: np.count_nonzero(np.bincount((hashes % U(s)).astype(np.int64), minlength=s))
+    return max(1, min((used(s) - differ for _, s, differ in bands(len(tokens))), default=1))
 
 
 def bit_sketch(tokens: np.ndarray) -> bytes:
@@ -150,9 +186,8 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits; null for the empty set), shared (least_shared) and bits (the sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
-            found = [shingles(x, known) for x in batch.column(1).to_pylist()]
+            found = [shingles(x) for x in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             columns = [pa.array(map(len, found), pa.int64()), pa.array(keys, pa.binary()), pa.array(map(least_shared, found), pa.int64()), pa.array(map(bit_sketch, found), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_shingles", "set_key", "shared", "bits"])
@@ -160,26 +195,21 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, shared long, bits binary")
 
 
-def keys_of(docs: DataFrame, seed: int) -> DataFrame:
-    """(key, node) for each join key of each row (group, node, text); keys belong to their group.
-
-    A task skips sets that it has had in the same group, so copies cost a key for each task at most.
-    """
+def keys_of(docs: DataFrame) -> DataFrame:
+    """(key, node) for each join key of each row (node, text). A task skips sets that it has had, so copies cost a key for each task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, had = Hashes(), set()
+        had = set()
         keys, nodes, n = [], [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
         for batch in batches:
-            for group, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = shingles(text, known)
-                digest = (group, xxhash.xxh3_128_digest(tokens.tobytes()))
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = shingles(text)
+                digest = xxhash.xxh3_128_digest(tokens.tobytes())
                 if digest in had or not len(tokens):
                     continue
                 had.add(digest)
-                found = sketch_keys(tokens, seed)
-                if group:
-                    found = mixed(found ^ mixed(np.array([group], np.int64).view(U)))
+                found = sketch_keys(tokens)
                 keys.append(found)
                 nodes.append(np.full(len(found), node, np.int64))
                 if (n := n + len(found)) >= BATCH_KEYS:
@@ -188,7 +218,7 @@ def keys_of(docs: DataFrame, seed: int) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.select("group", "node", "text").mapInArrow(run, "key long, node long")
+    return docs.select("node", "text").mapInArrow(run, "key long, node long")
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -223,10 +253,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
             texts_a, texts_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [linked(shingles(x, known), shingles(y, known)) for x, y in zip(texts_a, texts_b, strict=True)]
+            good = [linked(shingles(x), shingles(y)) for x, y in zip(texts_a, texts_b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -250,14 +279,85 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return verified(pairs, stored(with_ids(docs, nodes), "texts"))
 
 
-def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame, roots: DataFrame | None, level: int) -> DataFrame:
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of bytes) folded to a shorter length."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def block_pairs(rows: list[tuple[int, int, int, bytes, bool]]) -> list[tuple[int, int]]:
+    """The plausible pairs across components among the members (node, root, n, bits, side) of a block.
+
+    Members of both sides are compared with each other; if all are of one side, among themselves.
+    """
+    out, by_size = [], {}
+    if len(rows) <= 12:
+        two = len({r[4] for r in rows}) > 1
+        rows = sorted(rows, key=lambda r: r[2])
+        for i, x in enumerate(rows):
+            for y in rows[i + 1 :]:
+                if 100 * x[2] < PERCENT * y[2]:
+                    break
+                if x[1] != y[1] and (not two or x[4] != y[4]) and plausible(x[2], y[2], x[3], y[3]):
+                    out.append((min(x[0], y[0]), max(x[0], y[0])))
+        return out
+    for r in rows:
+        by_size.setdefault(len(r[3]), []).append(r)
+    arrays = {k: (np.array([r[0] for r in v]), np.array([r[1] for r in v]), np.array([r[2] for r in v]), np.frombuffer(b"".join(r[3] for r in v), np.uint8).reshape(len(v), k), np.array([r[4] for r in v])) for k, v in by_size.items()}
+    two = len({r[4] for r in rows}) > 1
+    for k, (node, root, n, bits, side) in arrays.items():
+        for k2 in (k, 2 * k):
+            if k2 not in arrays:
+                continue
+            node2, root2, n2, bits2, side2 = arrays[k2]
+            bits2 = folded(bits2, k)
+            for i in range(len(node)):
+                good = (root2 != root[i]) & (100 * np.minimum(n2, n[i]) >= PERCENT * np.maximum(n2, n[i]))
+                good &= (side2 != side[i]) if two else (node2 > node[i]) if k2 == k else (node2 != node[i])
+                at = np.flatnonzero(good)
+                if len(at):
+                    differ = np.bitwise_count(bits2[at] ^ bits[i]).sum(1, dtype=np.int64)
+                    at = at[differ <= (n2[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
+                    out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node2[at].tolist()]
+    return out
+
+
+def compared(members: DataFrame, info: DataFrame) -> DataFrame:
+    """(a, b, n) of the plausible pairs across components in the groups of members (key, node, root)."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    sizes = sizes.select((F.col("key") + 0).alias("key"), F.ceil(F.col("m") / BLOCK).alias("parts"))
+    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", (F.col("own") > F.col("other")).alias("side"))
+    rows = placed.join(info.select("node", "n_shingles", "bits"), "node").select("key", "low", "high", "node", "root", "n_shingles", "bits", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+        made = lambda pairs: pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "n": [1] * len(pairs)}, schema=PAIRS)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != of:
+                    if found := block_pairs(held):
+                        yield made(found)
+                    of, held = row[:3], []
+                held.append(row[3:])
+        if found := block_pairs(held):
+            yield made(found)
+
+    blocks = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return blocks.mapInArrow(run, "a long, b long, n long").dropDuplicates(["a", "b"])
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
     """The components after the groups of candidates (key, a, b: neighbours in a group, as classes) are settled."""
     pairs = stored(sifted(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), info), "pairs")
-    if roots is None:
-        best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
-        roots = joined(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), linked_pairs(best, docs))
-        pairs = pairs.join(best, ["a", "b"], "left_anti")
-    left = stored(apart(pairs, roots).select("a", "b"), "apart")
+    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
+    roots = joined(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), linked_pairs(best, docs))
+    left = stored(apart(pairs.join(best, ["a", "b"], "left_anti"), roots).select("a", "b"), "apart")
     if not left.isEmpty():
         roots = joined(roots, linked_pairs(left, docs))
     open_keys = stored(apart(candidates, roots).select("key").distinct(), "open")
@@ -265,26 +365,11 @@ def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame, roots: Data
         return roots
     members = candidates.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
     members = stored(members, "members")
-    if level == 0:
-        counts = members.groupBy("node").agg(F.count("*").alias("n"))
-        unsettled = counts.join(info.groupBy("node").agg(F.min("shared").alias("shared")), "node").where("n >= shared").select((F.col("node") + 0).alias("node"))
-        members = members.join(unsettled, "node", "left_semi")
-    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    members = stored(rooted, "rooted")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select((F.col("key") + 0).alias("key"), "n")
-    small = F.col("n") <= (SMALL_GROUP if level < LEVELS else 1 << 60)
-    few = members.join(sizes.where(small), "key")
-    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, "key").where("a < b AND ra <> rb").select("a", "b").distinct()
-    across = stored(sifted(across.withColumn("n", F.lit(1).cast("long")), info).join(pairs, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        roots = joined(roots, linked_pairs(across, docs))
-    large = stored(members.join(sizes.where(~small), "key").select(F.col("key").alias("group"), "node"), "large")
-    if large.isEmpty():
-        return roots
-    texts = with_ids(docs, stored(large.select("node").distinct(), "nodes"))
-    again = neighbours(keys_of(large.join(texts, "node").select("group", "node", "text"), level + 1))
-    return resolve(stored(again, "candidates"), docs, info, roots, level + 1)
+    counts = members.groupBy("node").agg(F.count("*").alias("n"))
+    unsettled = counts.join(info.groupBy("node").agg(F.min("shared").alias("shared")), "node").where("n >= shared").select((F.col("node") + 0).alias("node"))
+    rooted = members.join(unsettled, "node", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    across = stored(compared(stored(rooted, "rooted"), info).join(pairs, ["a", "b"], "left_anti"), "across")
+    return roots if across.isEmpty() else joined(roots, linked_pairs(across, docs))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -304,13 +389,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     info = sets.join(reps, ["doc_id", "set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "shared", "bits").dropDuplicates(["node", "n_shingles", "bits"])
     rep = classes.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    raw = stored(neighbours(keys_of(texts.select(F.lit(0).cast("long").alias("group"), "node", "text"), 0)), "neighbours")
+    raw = stored(neighbours(keys_of(texts)), "neighbours")
     named = lambda end: rep.where("doc_id <> rep").select(F.col("doc_id").alias(end), F.col("rep").alias(f"r{end}"))
     as_reps = raw.join(named("a"), "a", "left").join(named("b"), "b", "left")
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
     candidates = as_reps.select("key", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b")
     same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = resolve(stored(candidates, "candidates"), texts, info, None, 0)
+    roots = resolve(stored(candidates, "candidates"), texts, info)
     roots = joined(roots, same)
     return sets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id")
