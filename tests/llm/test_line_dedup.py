@@ -3,6 +3,8 @@
 import random
 import re
 
+import xxhash
+
 from textloom.llm import line_dedup as ld
 
 
@@ -18,13 +20,13 @@ def one_apart(a, b):
 
 def brute(rows):
     """The lines to remove of each (doc_id, text), comparing every two lines."""
-    last = 2**63 - 1
+    order = lambda i, t: (1, xxhash.xxh64(t, seed=42).intdigest() % ld.NAMELESS) if i is None else (0, i)
     lines = []
     for i, t in {(i, t) for i, t in rows if t is not None}:
         for k, line in enumerate(t.split("\n")):
             words = tuple(w for w in re.split(r"[\x20\x09-\x0D]+", line) if w)
             if len(words) >= ld.MIN_EXACT:
-                lines.append(((last if i is None else i, k), words, (i, t)))
+                lines.append(((order(i, t), k), words, (i, t)))
     first = {}
     for place, words, _ in lines:
         first[words] = min(place, first.get(words, place))

@@ -27,22 +27,36 @@ from textloom.llm.common import WHITE, stored, table, text_of
 MIN_EXACT, MIN_NEAR = 4, 8
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Documents whose lists of lines are broadcast, at most (with 8 lines each on average, some 30 MB); more are joined by a shuffle.
+BROADCAST_LISTS = 250_000
 BATCH_KEYS = 1 << 18
+#: Places for documents without an id.
+NAMELESS = 1 << 20
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
-def place() -> Column:
-    """One number that orders lines by document, then line; documents without an id are last."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+def placed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with base: a number that, plus a line's number, orders lines by document, then line.
+
+    Documents without an id are last, by a hash of their text. It is a long if the largest id and the longest text let it, else a decimal: one
+    pass over the lengths decides.
+    """
+    r = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.octet_length("text")).alias("n")).first()
+    last, most = (r["b"] or 0) + 1, (r["n"] or 0) + 2
+    kind = "long" if max(abs(r["a"] or 0), abs(last) + NAMELESS) * most < 2**62 else "decimal(38,0)"
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(last) + F.pmod(F.xxhash64(text_of()), F.lit(NAMELESS)))
+    return docs.select("doc_id", "text", (order.cast(kind) * F.lit(most).cast(kind)).cast(kind).alias("base"))
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, text_key, line_no, words of the lines with ``least`` words or more."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    worded = split.select("doc_id", "text_key", "line_no", F.array_remove(F.split("line", WHITE), "").alias("words"))
+    """doc_id, text_key, line_no, place, words of the lines with ``least`` words or more; docs are placed."""
+    kind = docs.schema["base"].dataType
+    lines = F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line")
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "base", lines).withColumn("place", (F.col("base") + F.col("line_no")).cast(kind))
+    worded = split.select("doc_id", "text_key", "line_no", "place", F.array_remove(F.split("line", WHITE), "").alias("words"))
     return worded.where(F.size("words") >= least)
 
 
@@ -56,12 +70,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     head, tail = lambda c: F.slice("words", F.lit(1), c), lambda c: F.slice("words", n - c + 1, c)
     one, two = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return lines_of(docs, MIN_EXACT).select(
-        "doc_id", "text_key", "line_no", place().alias("place"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("b"), "words").alias("k2"),
+        "doc_id", "text_key", "line_no", "place", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("b"), "words").alias("k2"),
         F.when(
             n >= MIN_NEAR,
             F.array(
-                F.xxhash64(F.lit("head"), n, head(one)), F.xxhash64(F.lit("tail"), n, tail(one)),
-                F.xxhash64(F.lit("head"), n - 1, head(two)), F.xxhash64(F.lit("tail"), n - 1, tail(two)),
+                F.xxhash64(F.lit("head"), n, head(one)), F.xxhash64(F.lit("head"), n - 1, head(two)),
+                F.xxhash64(F.lit("tail"), n, tail(one)), F.xxhash64(F.lit("tail"), n - 1, tail(two)),
             ),
         ).alias("halves"),
     )
@@ -97,37 +111,44 @@ def longs(column: pa.Array) -> list[np.ndarray]:
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
-    """(key, at, place) of each variant of each line (place, hashes); at is -1 for the whole line."""
+    """(key, at, place) of each variant of each line (place, hashes, head, tail); at is -1 for the whole line.
+
+    head, tail: whether the line shares its first or last half with another one. Where it shares only one, the words in
+    that half stay: a neighbour differs in the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, words, a = batch.column(0), longs(batch.column(1)), 0
-            while a < len(words):
-                b, n = a, 0
-                while b < len(words) and n < BATCH_KEYS:
-                    n, b = n + len(words[b]) + 1, b + 1
-                keys = np.concatenate([variants(w) for w in words[a:b]]).view(np.int64)
-                at = np.concatenate([np.append(np.arange(len(w)), -1) for w in words[a:b]]).astype(np.int32)
-                of = np.repeat(np.arange(a, b), [len(w) + 1 for w in words[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), places.take(pa.array(of))], names=["key", "at", "place"])
-                a = b
-
-    return lines.select("place", "hashes").mapInArrow(run, lines.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "place").schema)
+            places, words, sides = batch.column(0), longs(batch.column(1)), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            keys, at, of, n = [], [], [], 0
+            for i, (w, (head, tail)) in enumerate(zip(words, sides, strict=True)):
+                same = (len(w) - 1) // 2
+                cut = np.arange(0 if tail else same, len(w) if head else len(w) - same)
+                keys.append(variants(w)[np.append(cut, -1)])
+                at.append(np.append(cut, -1))
+                of.append(np.full(len(cut) + 1, i))
+                n += len(cut) + 1
+                if n >= BATCH_KEYS or i + 1 == len(words):
+                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), places.take(pa.array(np.concatenate(of)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "place"])
+                    keys, at, of, n = [], [], [], 0
+
+    return lines.select("place", "hashes", "head", "tail").mapInArrow(run, lines.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "place").schema)
 
 
 def near_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(place, match): the distinct lines of firsts (doc_id, place, halves) that an earlier one nearly equals."""
-    halves = firsts.where("halves IS NOT NULL").select("doc_id", "place", F.explode("halves").alias("half"))
+    halves = firsts.where("halves IS NOT NULL").select("place", F.posexplode("halves").alias("kind", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select((F.col("half") + 0).alias("half"))
-    lines = stored(halves.join(shared, "half", "left_semi").select("doc_id", "place").distinct(), "lines")
-    ids = stored(lines.select("doc_id").distinct(), "ids")
+    lines = halves.join(shared, "half", "left_semi").groupBy("place").agg(F.max(F.col("kind") < 2).alias("head"), F.max(F.col("kind") >= 2).alias("tail"))
+    lines = stored(lines, "lines")
+    ids = stored(lines.join(firsts.select((F.col("place") + 0).alias("place"), "doc_id"), "place").select("doc_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     same = docs.doc_id.eqNullSafe(ids.doc_id)
-    of_lines = lines_of(docs.join(F.broadcast(ids) if few else ids, same, "left_semi"), MIN_NEAR).select(
-        place().alias("place"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
-    )
-    hashed = stored(of_lines.join(lines.select("place"), "place", "left_semi"), "hashed")
-    rows = stored(variant_rows(hashed), "variants")
+    of_lines = lines_of(docs.join(F.broadcast(ids) if few else ids, same, "left_semi"), MIN_NEAR).select("place", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # The hashes of the lines' words are read twice: for their variants, and to verify matches.
+    hashed = stored(of_lines.join(F.broadcast(lines) if lines.count() <= BROADCAST_IDS else lines, "place"), "hashed")
+    rows = variant_rows(hashed)
     whole, cut = F.col("at") < 0, F.col("at") >= 0
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(whole, F.col("place"))).alias("whole"), F.min(F.when(cut, F.col("place"))).alias("cut"))
     keys = keys.where("n > 1").select((F.col("key") + 0).alias("key"), "whole", "cut")
@@ -148,19 +169,18 @@ def near_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and the sorted numbers (from 0) of the lines to remove, exact and near, of each document with any."""
+    """doc_id, text_key, dead (sorted numbers from 0 of the lines to remove) and n_near of each document with any."""
+    docs = placed(docs)
     lines = stored(keyed(docs), "lines")
-    firsts = lines.groupBy("k1", "k2").agg(F.min("place").alias("first"))
-    firsts = stored(firsts, "firsts")
-    tied = lines.join(firsts.select((F.col("k1") + 0).alias("k1"), (F.col("k2") + 0).alias("k2"), "first"), ["k1", "k2"])
-    tied = stored(tied.select("doc_id", "text_key", "line_no", "place", "first", "halves"), "tied")
-    distinct = tied.where("place = first").select("doc_id", "place", "halves").dropDuplicates(["place"])
-    match = stored(near_matches(docs, distinct), "match").select(F.col("place").alias("first"), "match")
-    dead = tied.select("doc_id", "text_key", "line_no", "place", "first").join(match, "first", "left")
-    exact = F.col("place") != F.col("first")
-    dead = dead.where(exact | F.col("match").isNotNull()).select("doc_id", "text_key", "line_no", exact.alias("exact"))
-    lists = dead.distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("dead"), F.count(F.when(~F.col("exact"), 1)).alias("n_near"))
-    return lists
+    firsts = lines.groupBy("k1", "k2").agg(F.min("place").alias("first")).select((F.col("k1") + 0).alias("k1"), (F.col("k2") + 0).alias("k2"), "first")
+    tied = lines.select("k1", "k2", "place", "doc_id", "text_key", "line_no").join(firsts, ["k1", "k2"]).drop("k1", "k2")
+    tied = stored(tied.select("doc_id", "text_key", "line_no", "place", F.when(F.col("place") != F.col("first"), F.col("first")).alias("first")), "tied")
+    distinct = lines.select("place", "doc_id", "halves").where("halves IS NOT NULL").join(tied.where("first IS NULL").select("place").distinct(), "place", "left_semi")
+    match = stored(near_matches(docs, distinct.dropDuplicates(["place"])), "match").select(F.col("place").alias("own"), "match")
+    exact = F.col("first").isNotNull()
+    dead = tied.join(match, F.coalesce("first", "place") == F.col("own"), "left").where(exact | F.col("match").isNotNull())
+    dead = dead.select("doc_id", "text_key", "line_no", exact.alias("exact")).distinct()
+    return dead.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("dead"), F.count(F.when(~F.col("exact"), 1)).alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -168,12 +188,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Every row and every other column is kept; columns named like the counts are replaced. Null texts stay null and have
     no lines; a text whose lines all go becomes empty; lines too short to be judged stay. Rows alike in doc_id and text
-    are one document (none of them counts as earlier than the other). Rows without doc_id come last.
+    are one document (none of them counts as earlier than the other). Rows without doc_id come last, by a hash of their text.
     """
     added = ["n_lines", "n_removed", "n_near"]
     kept = docs.drop(*added)
     dead = repeated_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_dead_id"), F.col("text_key").alias("_dead_key"), F.col("dead").alias("_dead"), F.col("n_near").alias("_near"))
-    both = kept.join(dead, kept["doc_id"].eqNullSafe(F.col("_dead_id")) & (F.xxhash64(kept["text"]) == F.col("_dead_key")), "left")
+    dead = stored(dead, "dead")
+    size = dead.agg(F.count("*").alias("n"), F.sum(F.size("_dead")).alias("m")).first()
+    few = size["n"] <= BROADCAST_LISTS and (size["m"] or 0) <= 8 * BROADCAST_LISTS
+    both = kept.join(F.broadcast(dead) if few else dead, kept["doc_id"].eqNullSafe(F.col("_dead_id")) & (F.xxhash64(kept["text"]) == F.col("_dead_key")), "left")
     lines = F.split(kept["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dead"))
     text = F.when(F.col("_dead").isNull(), kept["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
