@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, html_text, jaccard, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
+from textloom.llm import bpe, fingerprints, html_text, jaccard, line_dedup, mixing, oracles, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
