@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK_WORDS = 32
 DOCS_PER_SHARD = 1024
+#: Sources that are broadcast, at most (some 10 MB).
+BROADCAST_SOURCES = 100_000
 
 
 def seeded(part: str, *columns: Column) -> Column:
@@ -100,9 +102,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     size = F.coalesce(F.col("size"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("no_source"), size.alias("size"))
     key = ["no_source", "source_key"]
-    sources = rows.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    # One row a source: while those are few, the rows aren't shuffled by source, which may be hot.
+    sources = stored(rows.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "sources")
     shards_of = sources.select(*key, F.ceil(F.col("_rows") / docs_per_shard).alias("_shards"))
-    dealt = rows.join(shards_of, key).select(
+    few = sources.count() <= BROADCAST_SOURCES
+    dealt = rows.join(F.broadcast(shards_of) if few else shards_of, key).select(
         *key, "doc_id", "size", F.pmod(seeded("shard", F.col("doc_id")), F.col("_shards")).alias("shard"), seeded("order", F.col("doc_id")).alias("_order")
     )
     shards = dealt.groupBy(*key, "shard").agg(F.sum("size").alias("shard_size"))
@@ -133,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
         "doc_id", "size", *key, F.coalesce("times", F.lit(0)).alias("times"),
         F.coalesce(clip(F.col("from1"), F.col("to1")) + clip(F.lit(0), F.col("to2")), F.lit(0)).alias("extra"),
     )
-    return taken.join(aimed, key).select(
+    return taken.join(F.broadcast(aimed) if few else aimed, key).select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     )
 
