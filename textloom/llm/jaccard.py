@@ -287,14 +287,15 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def block_pairs(rows: list[tuple[int, int, int, bytes, bool]]) -> list[tuple[int, int]]:
+def block_pairs(rows: list[tuple[int, int, int, bytes, bool]], best: bool) -> list[tuple[int, int]]:
     """The plausible pairs across components among the members (node, root, n, bits, side) of a block.
 
-    Members of both sides are compared with each other; if all are of one side, among themselves.
+    Members of both sides are compared with each other; if all are of one side, among themselves. best: of each member's
+    pairs with one component only the likeliest.
     """
     out, by_size = [], {}
+    two = len({r[4] for r in rows}) > 1
     if len(rows) <= 12:
-        two = len({r[4] for r in rows}) > 1
         rows = sorted(rows, key=lambda r: r[2])
         for i, x in enumerate(rows):
             for y in rows[i + 1 :]:
@@ -306,7 +307,6 @@ def block_pairs(rows: list[tuple[int, int, int, bytes, bool]]) -> list[tuple[int
     for r in rows:
         by_size.setdefault(len(r[3]), []).append(r)
     arrays = {k: (np.array([r[0] for r in v]), np.array([r[1] for r in v]), np.array([r[2] for r in v]), np.frombuffer(b"".join(r[3] for r in v), np.uint8).reshape(len(v), k), np.array([r[4] for r in v])) for k, v in by_size.items()}
-    two = len({r[4] for r in rows}) > 1
     for k, (node, root, n, bits, side) in arrays.items():
         for k2 in (k, 2 * k):
             if k2 not in arrays:
@@ -317,15 +317,20 @@ def block_pairs(rows: list[tuple[int, int, int, bytes, bool]]) -> list[tuple[int
                 good = (root2 != root[i]) & (100 * np.minimum(n2, n[i]) >= PERCENT * np.maximum(n2, n[i]))
                 good &= (side2 != side[i]) if two else (node2 > node[i]) if k2 == k else (node2 != node[i])
                 at = np.flatnonzero(good)
-                if len(at):
-                    differ = np.bitwise_count(bits2[at] ^ bits[i]).sum(1, dtype=np.int64)
-                    at = at[differ <= (n2[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
-                    out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node2[at].tolist()]
+                if not len(at):
+                    continue
+                differ, most = np.bitwise_count(bits2[at] ^ bits[i]).sum(1, dtype=np.int64), (n2[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
+                fit = differ <= most
+                at, rate = at[fit], (differ / np.maximum(most, 1))[fit]
+                if best and len(at) > 1:
+                    at = at[np.lexsort((rate, root2[at]))]
+                    at = at[np.append(True, root2[at][1:] != root2[at][:-1])]
+                out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node2[at].tolist()]
     return out
 
 
-def compared(members: DataFrame, info: DataFrame) -> DataFrame:
-    """(a, b, n) of the plausible pairs across components in the groups of members (key, node, root)."""
+def compared(members: DataFrame, info: DataFrame, best: bool) -> DataFrame:
+    """(a, b, n) of the plausible pairs across components in the groups of members (key, node, root); best: as in block_pairs."""
     sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     sizes = sizes.select((F.col("key") + 0).alias("key"), F.ceil(F.col("m") / BLOCK).alias("parts"))
     placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
@@ -338,11 +343,11 @@ def compared(members: DataFrame, info: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != of:
-                    if found := block_pairs(held):
+                    if found := block_pairs(held, best):
                         yield made(found)
                     of, held = row[:3], []
                 held.append(row[3:])
-        if found := block_pairs(held):
+        if found := block_pairs(held, best):
             yield made(found)
 
     blocks = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
@@ -367,9 +372,18 @@ def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame) -> DataFram
     members = stored(members, "members")
     counts = members.groupBy("node").agg(F.count("*").alias("n"))
     unsettled = counts.join(info.groupBy("node").agg(F.min("shared").alias("shared")), "node").where("n >= shared").select((F.col("node") + 0).alias("node"))
-    rooted = members.join(unsettled, "node", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    across = stored(compared(stored(rooted, "rooted"), info).join(pairs, ["a", "b"], "left_anti"), "across")
-    return roots if across.isEmpty() else joined(roots, linked_pairs(across, docs))
+    members = stored(members.join(unsettled, "node", "left_semi"), "unsettled")
+    # The likeliest pairs join what belongs together; what is still apart then is compared in full.
+    tried = pairs.select("a", "b")
+    for best in (True, False):
+        rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        across = stored(compared(stored(rooted, "rooted"), info, best).join(tried, ["a", "b"], "left_anti"), "across")
+        if across.isEmpty() and not best:
+            return roots
+        if not across.isEmpty():
+            roots = joined(roots, linked_pairs(across, docs))
+            tried = tried.union(across.select("a", "b"))
+    return roots
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
