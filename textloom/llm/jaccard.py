@@ -12,7 +12,7 @@ bit sketches (one bit flipped for each token, a few bits a token, folded to one
 others are verified on the whole sets, best supported pair of each set first, and links become components.
 
 A group whose members are still in several components is open. Linked sets that aren't in one component share open keys
-only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. The rest of
+only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done; sets with fewer keys in any group have no link at all. The rest of
 an open group is compared by bit sketches in blocks of bounded size, and only plausible pairs across components leave a
 block to be verified. So copies and near copies in any number cost no square, and no link is lost.
 """
@@ -33,7 +33,7 @@ from textloom.llm.graphs import components
 #: Words of a shingle, and the similarity (in percent) from which two sets are linked.
 SHINGLE, PERCENT = 5, 80
 #: Symbols of a sketch for each token of a band's largest set, and besides.
-SYMBOLS, MORE = 0.24, 2
+SYMBOLS, MORE = 0.36, 2
 #: Members of an open group that a block compares with as many others.
 BLOCK = 1024
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
@@ -222,9 +222,25 @@ def keys_of(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """(key, a, b): each member of a key's group with the member before it."""
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    return keys.withColumn("a", before).where("a <> node").select("key", "a", F.col("node").alias("b"))
+    """(key, a, b, first): each member of a key's group with the member before it; first: a is the group's first."""
+    order = Window.partitionBy("key").orderBy("node")
+    rows = keys.withColumn("a", F.lag("node").over(order)).withColumn("first", F.row_number().over(order) == 2)
+    return rows.where("a IS NOT NULL").select("key", "a", F.col("node").alias("b"), "first")
+
+
+def settled_out(edges: DataFrame, shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """The neighbours (key, a, b) that are left when documents go that meet others in fewer keys than a link takes.
+
+    shared: node and the least number of keys that its links share. Groups close up around what goes; that may bring
+    others below their number, so it is done again.
+    """
+    for _ in range(rounds):
+        members = edges.select("key", F.col("b").alias("node")).union(edges.where("first").select("key", "a"))
+        counts = members.groupBy("node").agg(F.count("*").alias("n")).join(shared, "node").where("n >= shared")
+        kept = stored(counts.select((F.col("node") + 0).alias("node")), "kept")
+        members = members.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, "node", "left_semi")
+        edges = stored(neighbours(members.select("key", "node")), "neighbours")
+    return edges
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -396,6 +412,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(sets_of(rows), "sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
+    least = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("shared").alias("shared")).select(F.col("doc_id").alias("node"), "shared")
     firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     # The key is computed anew, so that the join's sides are both exchanged and hot classes can be split.
     classes = stored(usable.join(firsts.select(F.concat("set_key", F.lit(b"")).alias("set_key"), "rep"), "set_key"), "classes")
@@ -404,6 +421,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rep = classes.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
     raw = stored(neighbours(keys_of(texts)), "neighbours")
+    raw = settled_out(raw, least)
     named = lambda end: rep.where("doc_id <> rep").select(F.col("doc_id").alias(end), F.col("rep").alias(f"r{end}"))
     as_reps = raw.join(named("a"), "a", "left").join(named("b"), "b", "left")
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
