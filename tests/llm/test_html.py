@@ -46,3 +46,23 @@ def test_pages_of_the_tables(spark, small):
             n += 1
             assert r["text"] == " ".join(f"{title} {docs[doc]}".split())
     assert n
+
+
+def shown(spark, rows):
+    df = spark.createDataFrame([(k, f"http://same.example/{k}", page) for k, page in rows], "page_id long, url string, html string")
+    return sorted((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect())
+
+
+def test_repeated_text_is_the_templates_if_a_tag_has_its_vector(spark):
+    """A text in the article that stands on the same pages as a section is boilerplate; on other pages it isn't."""
+    make = lambda k, section, line: f"<html><body><article><p>Own {k}</p>{'<p>Support us</p>' if line else ''}</article>{'<section><p>x</p></section>' if section else ''}</body></html>"
+    own = lambda k, line=False: (k, f"Own {k}" + " Support us" * line)
+    assert shown(spark, [(k, make(k, k % 2, True)) for k in range(6)]) == [own(k) for k in range(6)]
+    assert shown(spark, [(k, make(k, k < 4, k < 4)) for k in range(6)]) == [own(k) for k in range(6)]
+    assert shown(spark, [(k, make(k, k < 4, k > 1)) for k in range(6)]) == [own(k, k > 1) for k in range(6)]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(k, f"<article><p>Own {k}</p><p>More {k}</p></article>") for k in (0, 0, 0, 0, 1, 2)]
+    assert shown(spark, rows) == [(k, f"Own {k} More {k}") for k in (0, 0, 0, 0, 1, 2)]
+    assert shown(spark, [(k, f"<article><p>Gone</p></article><p>{k}") for k in range(4)]) == [(k, "Gone") for k in range(4)]

@@ -1,15 +1,17 @@
 """HTML extraction by template deduction from equivalence classes of tokens.
 
-The tokens of a page are its structural tags, each with the path of containers that it stands in. Over the pages of one
-host, tokens that occur equally often on every page share an occurrence vector and are one equivalence class. Classes
-that span enough pages are valid; nested by their paths, they are the host's template. The slots that remain between its
-tags hold either the same boilerplate or the article: a slot is the article's if it is marked as such (article, main),
-or else if it holds most of the text that isn't boilerplate. Pages are then read again: the text of the host's article
-slot is kept, without the menus, notices, forms and comments in it.
-
-Vectors are never gathered: a class is known by the sum of the hashes of (page, count), which tasks add up before the
-shuffle. A host's table of tokens is as long as a page's structure, however many pages it has. Pages of hosts with
-too few pages for classes, and pages that don't follow their host's template, are judged by their own structure.
+The tokens of a page are its structural tags and its paragraphs' texts, each with the path of containers that it stands
+in. Over the pages of one host, tokens that occur equally often on every page share an occurrence vector and are one
+equivalence class. Classes of several tokens that span enough pages are valid; nested by their paths, they are the host's
+template. A text in a class with tags is the template's, so it is boilerplate wherever it stands; a text whose vector
+no tag has is a page's own. A slot is the article's if it is marked as such (article, main), or else if it holds most of
+the text that isn't boilerplate. Pages are then read again: the text of the host's article slot is kept, without the
+template's texts and the menus, notices, forms and comments in it. A page with nothing else in the slot keeps them.
+
+Vectors are never gathered: a class is known by the sum of the hashes of (page, count). Pages alike in html count once,
+so copies of a page don't make its text a template. A host's table has the tags of its pages, and of texts those that
+enough of its pages repeat. Pages of hosts with too few pages for classes, and pages that don't follow their host's
+template, are judged by their own structure.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import stored, table, text_of
@@ -44,6 +46,8 @@ BOILERPLATE_WORDS = frozenset(
 )
 BOILERPLATE_ROLES = frozenset(["navigation", "banner", "complementary", "contentinfo", "search", "form", "alert", "dialog", "menu", "menubar"])
 MARKED = frozenset(["article", "main"])
+#: The first character of tokens that are texts; the text's hash in 16 digits and its path follow.
+TEXT = "\x01"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -115,6 +119,10 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
                 tokens.append(path)
             block = Block(path, bad, marked)
             blocks.append(block)
+        elif tag == "br":  # within a paragraph
+            if not m[1]:
+                tokens.append(f"{path}>{boilerplate(tag, m[3], marked)[0]}")
+            block.parts.append(" ")
         elif tag in LEAVES:
             own = False
             if not m[1]:
@@ -129,6 +137,10 @@ def text_in(block: Block) -> str:
     return " ".join(html.unescape("".join(block.parts)).split())
 
 
+def text_key(path: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - (1 << 63)
+
+
 def main_path(sizes: dict[str, int], marked: list[str]) -> str:
     """The path of the article: the topmost marked container with most text, or the deepest that holds most of it."""
     inside = lambda p: sum(n for q, n in sizes.items() if q == p or q.startswith(p + ">"))
@@ -145,8 +157,11 @@ def is_marked(path: str) -> bool:
     return path.rpartition(">")[2].partition(".")[0] in MARKED
 
 
-def extracted(page: str, mains: list[str]) -> str:
-    """The article's text: of the host's article paths that the page has, else of the path that the page itself shows."""
+def extracted(page: str, mains: list[str], same: frozenset[int] = frozenset()) -> str:
+    """The article's text: of the host's article paths that the page has, else of the path that the page itself shows.
+
+    same: the keys of the template's texts, which go unless nothing else is there.
+    """
     tokens, blocks = parsed(page)
     found = set(tokens)
     mains = [p for p in mains if p in found or p == ""]
@@ -157,7 +172,8 @@ def extracted(page: str, mains: list[str]) -> str:
             sizes[b.path] = sizes.get(b.path, 0) + sum(map(len, b.parts))
         mains = [main_path(sizes, [p for p in dict.fromkeys(tokens) if is_marked(p)])]
     kept = [b for b in good if any(b.path == p or b.path.startswith(p + ">") or not p for p in mains)]
-    return " ".join(t for t in map(text_in, kept) if t)
+    texts = [(b.path, t) for b in kept if (t := text_in(b))]
+    return " ".join([t for p, t in texts if text_key(p, t) not in same] or [t for _, t in texts])
 
 
 def host_of(url: str) -> F.Column:
@@ -165,9 +181,9 @@ def host_of(url: str) -> F.Column:
 
 
 def token_table(pages: DataFrame) -> DataFrame:
-    """host, token, page, count, chars of each structural token of each page; chars: text outside boilerplate right in it.
+    """host, token, vector, count, chars of each token of each page; chars: text outside boilerplate right in it.
 
-    The token '' stands for the page.
+    The token '' stands for the page. Texts in boilerplate are no tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +197,11 @@ def token_table(pages: DataFrame) -> DataFrame:
                         counts[t] = counts.get(t, 0) + 1
                     for b in blocks:
                         if not b.bad and b.parts:
-                            chars[b.path] = chars.get(b.path, 0) + sum(map(len, b.parts))
+                            size = sum(map(len, b.parts))
+                            chars[b.path] = chars.get(b.path, 0) + size
+                            if own := text_in(b):
+                                t = f"{TEXT}{text_key(b.path, own) + (1 << 63):016x}{b.path}"
+                                counts[t], chars[t] = counts.get(t, 0) + 1, chars.get(t, 0) + size
                     for t, c in counts.items():
                         vector = xxhash.xxh3_64_intdigest(f"{page} {c}") - (1 << 63)
                         rows.append((host, t, vector, c, chars.get(t, 0)))
@@ -192,34 +212,49 @@ def token_table(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and mains: the paths of the article slots in each host's template; hosts without a template have no row.
+    """host, mains and same: the paths of the article slots in each host's template and the keys of its texts; hosts
+    without a template have no row.
 
-    pages: host, page (a number of its own for each row), html.
+    pages: host, page (a number of its own for each html), html.
     """
     vectors = F.sum(F.col("vector").cast("decimal(38,0)"))
-    tokens = token_table(pages).groupBy("host", "token").agg(F.count("*").alias("n_pages"), F.sum("count").alias("n"), vectors.alias("vector"), F.sum("chars").alias("chars"))
+    once = token_table(pages).groupBy("host", "token", "vector").agg(F.max("count").alias("count"), F.max("chars").alias("chars"))
+    tokens = once.groupBy("host", "token").agg(F.count("*").alias("n_pages"), F.sum("count").alias("n"), vectors.alias("vector"), F.sum("chars").alias("chars"))
     tokens = tokens.where(f"n_pages >= {MIN_PAGES} OR token = ''")
-    # A class: the tokens of a host with one occurrence vector. Its size tells tags of the template from chance.
-    schema = "host string, mains array<string>"
+    of_host = F.max(F.when(F.col("token") == "", F.col("n_pages"))).over(Window.partitionBy("host"))
+    tokens = tokens.withColumn("most", of_host).where(~F.col("token").startswith(TEXT) | (F.col("n_pages") >= MIN_SHARE * F.col("most"))).drop("most")
+    # A class: the tokens of a host with one occurrence vector. Its size tells the template from chance.
+    schema = "host string, mains array<string>, same array<long>"
 
     def deduce(t: pd.DataFrame) -> pd.DataFrame:
         host, whole = t["host"].iloc[0], t[t["token"] == ""]
         n = int(whole["n_pages"].iloc[0]) if len(whole) else 0
         if n < MIN_PAGES:
-            return pd.DataFrame({"host": [], "mains": []}, dtype=object)
+            return pd.DataFrame({"host": [], "mains": [], "same": []}, dtype=object)
         classes = t[(t["token"] != "") & (t["n_pages"] >= max(MIN_PAGES, MIN_SHARE * n))].groupby(["n_pages", "n", "vector"])["token"].agg(list)
-        template = {p for group in classes for p in group}
+        template, texts = set(), set()
+        for group in classes:
+            tags = [p for p in group if p[0] != TEXT]
+            if tags and len(group) > 1:
+                template.update(tags)
+                texts.update(p for p in group if p[0] == TEXT)
+            template.update(p for p in tags if is_marked(p))  # says itself what it is
         nested = {p for p in template if all(p[:i] in template for i in (m.start() for m in re.finditer(">", p)) if i)}
+        texts = {p for p in texts if p[17:] in nested or not p[17:]}
         sizes: dict[str, int] = {}
         for path, chars in zip(t["token"], t["chars"], strict=True):
             at = path
+            if path[:1] == TEXT:  # counted with its container, too
+                if path not in texts:
+                    continue
+                at, chars = path[17:], -chars
             while at and at not in nested:  # text in what isn't of the template belongs to the slot around it
                 at = at.rpartition(">")[0]
             sizes[at] = sizes.get(at, 0) + int(chars)
         marked = [p for p in nested if is_marked(p)]
         tops = [p for p in marked if not any(p.startswith(q + ">") for q in marked)]
         mains = sorted(tops) or [main_path({p: c for p, c in sizes.items() if c}, [])]
-        return pd.DataFrame({"host": [host], "mains": [mains]})
+        return pd.DataFrame({"host": [host], "mains": [mains], "same": [sorted(int(p[1:17], 16) - (1 << 63) for p in texts)]})
 
     return tokens.groupBy("host").applyInPandas(deduce, schema)
 
@@ -231,16 +266,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
     the host ''. Repeated rows give repeated rows; extra columns are ignored.
     """
     rows = pages.select("page_id", "url", host_of("url").alias("host"), text_of("html").alias("html"))
-    known = stored(templates(rows.select("host", F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html")), "templates")
+    known = stored(templates(rows.select("host", F.xxhash64("html").alias("page"), "html")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(a, BATCH_ROWS)
-                texts = [extracted(x, m or []) for x, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                texts = [extracted(x, m or [], frozenset(s or [])) for x, m, s in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    with_main = rows.join(known, "host", "left").select("page_id", "url", "html", "mains")
+    with_main = rows.join(known, "host", "left").select("page_id", "url", "html", "mains", "same")
     schema = pages.select("page_id", "url", F.lit("").alias("text")).schema
     return with_main.mapInArrow(run, schema).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
