@@ -87,3 +87,14 @@ def test_scores_against_plain_counts(spark, documents, labels):
     for r in qr.quality_rules(documents, labels).where(F.col("n_words") > 0).collect():
         found = buckets(texts[r["doc_id"]])
         assert abs(r["score"] - np.mean([weight[b] for b in found])) < 1e-4
+
+
+def test_all_good_documents_are_counted(spark, clashing, monkeypatch):
+    """More good documents than the SQL counts; both joins mark the same rows."""
+    labels = spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality").union(spark.sql("SELECT 7L, 0"))
+    assert qr.trusted_ids(labels).count() == 20_499
+    docs = clashing.select("doc_id", "text").union(spark.range(15, 20_500).selectExpr("id", "concat('good text of ', id)"))
+    small = sorted(map(repr, qr.with_trusted(docs, labels).collect()))
+    assert sum("trusted_id=None" not in r for r in small) == docs.where("doc_id BETWEEN 0 AND 20499 AND doc_id <> 7").count()
+    monkeypatch.setattr(qr, "BROADCAST_IDS", 0)
+    assert sorted(map(repr, qr.with_trusted(docs, labels).collect())) == small

@@ -16,8 +16,10 @@ from textloom.llm.common import WORD, stored, table, text_of, words_of
 
 #: Buckets of the multinomials; the weights sent to every task are as many floats (64 KB).
 N_BUCKETS = 16_384
-#: Trusted documents counted for the target multinomial, at most: the ids sent to every task are as many longs.
+#: Trusted documents that the SQL counts, at most. The operator counts all of them; up to here both say the same.
 TRUSTED_IDS = 20_000
+#: Trusted ids that are broadcast, at most (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Counts that pull a bucket's ratio to 1 where the trusted text has few.
 SHRINK = 20.0
 #: Documents with a lower mean log ratio are rejected.
@@ -95,17 +97,26 @@ def buckets_of(words: Column) -> Column:
     )
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_IDS) -> DataFrame:
-    """The ids of at most ``most`` documents labelled good (all of their labels are 1), those with the smallest hash first."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good (all of their labels are 1)."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most).select(F.col("doc_id").alias("trusted_id"))
+    return good.select(F.col("doc_id").alias("trusted_id"))
+
+
+def with_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and text of docs with trusted_id, null for what isn't trusted. Rows without doc_id are dealt by their text."""
+    ids = stored(trusted_ids(labels), "trusted")
+    texts, same = docs.select("doc_id", "text"), F.col("doc_id") == F.col("trusted_id")
+    if ids.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(ids), same, "left")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
+    return texts.join(ids.withColumn("of", F.lit(0).cast("long")).hint("shuffle_hash"), same & (spread == F.col("of")), "left").drop("of")
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: ``weights``, the N_BUCKETS smoothed log ratios. 0 for buckets that no text uses and where nothing is trusted."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
     counts = (
-        marked.select(F.explode(buckets_of(words_of())).alias("bucket"), F.col("trusted_id").isNotNull().cast("long").alias("good"))
+        with_trusted(docs, labels).select(F.explode(buckets_of(words_of())).alias("bucket"), F.col("trusted_id").isNotNull().cast("long").alias("good"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     )
