@@ -85,3 +85,11 @@ def test_variants_of_a_line():
     words = rng.integers(0, 2**63, 9).astype(np.uint64)
     got = ld.variants(words)
     assert all(got[k] == ld.variants(np.delete(words, k))[-1] for k in range(9))
+
+
+def test_short_lines(spark):
+    """Lines of one to three words go when they are repeated, lines of four also when a word differs; blank lines stay."""
+    rows = [(1, "Yes\n\nAll rights reserved.\none two three four\na b c"), (2, "Yes\n\nAll rights  reserved.\none two 3 four\na b d"), (3, "Yes\nYes\none two three four five\nnew")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["text"], r["n_near"]) for r in ld.dedup_lines(df).collect()} == {1: (rows[0][1], 0), 2: ("\na b d", 1), 3: ("new", 1)}
+    check(df)

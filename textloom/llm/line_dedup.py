@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import WHITE, stored, table, text_of
 
-MIN_EXACT, MIN_NEAR = 4, 8
+MIN_EXACT, MIN_NEAR = 1, 4
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents whose lists of lines are broadcast, at most (with 8 lines each on average, some 30 MB); more are joined by a shuffle.
@@ -139,7 +139,8 @@ def variant_rows(lines: DataFrame) -> DataFrame:
 def near_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(place, match): the distinct lines of firsts (doc_id, place, halves) that an earlier one nearly equals."""
     halves = firsts.where("halves IS NOT NULL").select("place", F.posexplode("halves").alias("kind", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select((F.col("half") + 0).alias("half"))
+    # Of two lines one word apart, one at least has the half as one of its own length's.
+    shared = halves.groupBy("half").agg(F.count("*").alias("n"), F.max(F.col("kind") % 2 == 0).alias("own")).where("n > 1 AND own").select((F.col("half") + 0).alias("half"))
     lines = halves.join(shared, "half", "left_semi").groupBy("place").agg(F.max(F.col("kind") < 2).alias("head"), F.max(F.col("kind") >= 2).alias("tail"))
     lines = stored(lines, "lines")
     ids = stored(lines.join(firsts.select((F.col("place") + 0).alias("place"), "doc_id"), "place").select("doc_id").distinct(), "ids")
@@ -187,7 +188,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines taken out of text, and the counts n_lines, n_removed, n_near (long).
 
     Every row and every other column is kept; columns named like the counts are replaced. Null texts stay null and have
-    no lines; a text whose lines all go becomes empty; lines too short to be judged stay. Rows alike in doc_id and text
+    no lines; a text whose lines all go becomes empty; lines without a word stay. Rows alike in doc_id and text
     are one document (none of them counts as earlier than the other). Rows without doc_id come last, by a hash of their text.
     """
     added = ["n_lines", "n_removed", "n_near"]
