@@ -88,6 +88,40 @@ def test_open_groups_of_any_size(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with some words changed, most of them just below the similarity of a link, some just above."""
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 9000)
+    rng = random.Random(12)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(500):
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice([2, 3])):
+            words[k] = rng.choice(["x", f"y{i}"])
+        rows.append((i, " ".join(words + ["end"] * rng.choice([0, 0, 30]))))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_block_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(13)
+    common = rng.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(common)[: int(rng.integers(78, 90))], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64))) for _ in range(60)]
+    for sides in (lambda i: False, lambda i: i % 2 == 1):
+        rows = [(i, i // 3, x.tobytes(), sides(i), i % 5 == 0) for i, x in enumerate(sets)]
+        links = jaccard.block_links(rows)
+        wanted = [(i, j) for i in range(60) for j in range(i) if not (rows[i][4] and rows[j][4]) and (sides(0) == sides(1) or sides(i) != sides(j)) and jaccard.linked(sets[i], sets[j])]
+        assert all((max(e), min(e)) in wanted for e in links) and len(links) < 60
+        assert wanted and groups_of(60, links) == groups_of(60, wanted)
+
+
+def groups_of(n, links):
+    """The component of each set; three sets in a row are one component from the start."""
+    label = [i // 3 for i in range(n)]
+    for a, b in links:
+        label = [label[b] if x == label[a] else x for x in label]
+    return [label.index(x) for x in label]
+
+
 def test_odd_rows(clashing):
     check(clashing)
 

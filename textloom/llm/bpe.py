@@ -15,19 +15,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import table
+from textloom.llm.common import slices, table
 
 #: The pre-tokenizer's pattern (fixed by the vocabulary), with Unicode's white space.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pieces that a worker remembers before it starts its table anew, and the longest that it keeps.
 REMEMBERED, LONGEST = 400_000, 64
-#: Rows, and bytes of text, handled at a time.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def vocabulary() -> str:
@@ -122,15 +121,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def slices(sizes: np.ndarray, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of bounded number and total size (one row at least)."""
-    at = 0
-    while at < len(sizes):
-        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + rows]), most, "right")))
-        yield at, min(end, at + rows)
-        at = min(end, at + rows)
-
-
 def appended(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,16 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def plain_white(text: Column) -> Column:
+    """The text with a space for each other ASCII white space but the newline: byte searches, no pattern."""
+    for c in "\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words_of(column: str | Column = "text") -> Column:
     """The words of a text in order; none for a null or empty text."""
-    return F.array_remove(F.split(text_of(column), WHITE), "")
+    return F.array_remove(F.split(F.replace(plain_white(text_of(column)), F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def word_count(column: str | Column = "text") -> Column:
@@ -32,20 +43,62 @@ def word_count(column: str | Column = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master may do without; a cluster may not."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders written so far by this process; what is left of them goes when it ends.
+WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of stored tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    WRITTEN[:] = [w for w in WRITTEN if w[1] not in folders]
+
+
+@atexit.register
+def discard_rest() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and the folders with it
+        for spark, folder in list(WRITTEN):
+            discard(spark, [folder])
+
+
+@contextlib.contextmanager
+def scratch(*kept: str) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but those of the names ``kept``, which the result still reads."""
+    before = {folder for _, folder in WRITTEN}
+    yield
+    for spark, folder in list(WRITTEN):
+        if folder not in before and folder.rpartition("/textloom-")[2].rpartition("-")[0] not in kept:
+            discard(spark, [folder])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: it cuts the lineage, and lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/textloom-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(sizes: np.ndarray, rows: int = 512, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded number and total size (one row at least)."""
+    at = 0
+    while at < len(sizes):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + rows]), most, "right")))
+        yield at, min(end, at + rows)
+        at = min(end, at + rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -12,9 +12,10 @@ bit sketches (one bit flipped for each token, a few bits a token, folded to one
 others are verified on the whole sets, best supported pair of each set first, and links become components.
 
 A group whose members are still in several components is open. Linked sets that aren't in one component share open keys
-only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. The rest of
-an open group is compared by bit sketches in blocks of bounded size, and only plausible pairs across components leave a
-block to be verified. So copies and near copies in any number cost no square, and no link is lost.
+only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. Of the
+rest, sets that share open keys are one cluster, cut by size. A cluster is compared in blocks of bounded members and
+tokens, each pair once: bit sketches sift, whole sets decide, and only links that join components leave a block, fewer
+than it has members. So no pairs are made for copies and near copies in any number, and no link is lost.
 """
 
 from __future__ import annotations
@@ -23,19 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored, table
+from textloom.llm.common import scratch, slices, stored, table
 from textloom.llm.graphs import components
 
 #: Words of a shingle, and the similarity (in percent) from which two sets are linked.
 SHINGLE, PERCENT = 5, 80
 #: Symbols of a sketch for each token of a band's largest set, and besides.
 SYMBOLS, MORE = 0.24, 2
-#: Members of an open group that a block compares with as many others.
-BLOCK = 1024
+#: Members of a cluster, and their tokens, that a block compares with as many others.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 18
+#: Sets whose sizes differ by a factor of less are in one step of sizes or in neighbouring ones; linked sets' differ by 1.25.
+STEP = 1.26
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Keys in a batch.
@@ -59,7 +63,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = U(0xD1342543DE82EF95)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of a text that are hashed at a time; a part ends at white space.
-PART = 1 << 20
+PART = 1 << 18
 
 
 class Powers:
@@ -182,11 +186,19 @@ def plausible(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) <= (n_a + n_b) * (100 - PERCENT) // (100 + PERCENT)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded rows and bytes of their texts (column 1 if none is named)."""
+    for batch in batches:
+        sizes = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or (1,))
+        for a, b in slices(sizes):
+            yield batch.slice(a, b - a)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits; null for the empty set), shared (least_shared) and bits (the sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(x) for x in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             columns = [pa.array(map(len, found), pa.int64()), pa.array(keys, pa.binary()), pa.array(map(least_shared, found), pa.int64()), pa.array(map(bit_sketch, found), pa.binary())]
@@ -202,7 +214,7 @@ def keys_of(docs: DataFrame) -> DataFrame:
         had = set()
         keys, nodes, n = [], [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-        for batch in batches:
+        for batch in sliced(batches):
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingles(text)
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
@@ -253,7 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2, 3):
             texts_a, texts_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = [linked(shingles(x), shingles(y)) for x, y in zip(texts_a, texts_b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -287,79 +299,103 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def block_pairs(rows: list[tuple[int, int, int, bytes, bool]]) -> list[tuple[int, int]]:
-    """The plausible pairs across components among the members (node, root, n, bits, side) of a block.
+def block_links(rows: list[tuple[int, int, bytes, bool, bool]]) -> list[tuple[int, int]]:
+    """Links that join components among the members (node, root, tokens, upper, guest) of a block; no more are needed.
 
-    Members of both sides are compared with each other; if all are of one side, among themselves.
+    Members of the lower side are compared with those of the upper one, or all with each other if there is one side
+    only; guests, of the next smaller step of sizes, aren't compared with guests.
     """
-    out, by_size = [], {}
-    if len(rows) <= 12:
-        two = len({r[4] for r in rows}) > 1
-        rows = sorted(rows, key=lambda r: r[2])
-        for i, x in enumerate(rows):
-            for y in rows[i + 1 :]:
-                if 100 * x[2] < PERCENT * y[2]:
-                    break
-                if x[1] != y[1] and (not two or x[4] != y[4]) and plausible(x[2], y[2], x[3], y[3]):
-                    out.append((min(x[0], y[0]), max(x[0], y[0])))
-        return out
-    for r in rows:
-        by_size.setdefault(len(r[3]), []).append(r)
-    arrays = {k: (np.array([r[0] for r in v]), np.array([r[1] for r in v]), np.array([r[2] for r in v]), np.frombuffer(b"".join(r[3] for r in v), np.uint8).reshape(len(v), k), np.array([r[4] for r in v])) for k, v in by_size.items()}
-    two = len({r[4] for r in rows}) > 1
-    for k, (node, root, n, bits, side) in arrays.items():
-        for k2 in (k, 2 * k):
-            if k2 not in arrays:
-                continue
-            node2, root2, n2, bits2, side2 = arrays[k2]
-            bits2 = folded(bits2, k)
-            for i in range(len(node)):
-                good = (root2 != root[i]) & (100 * np.minimum(n2, n[i]) >= PERCENT * np.maximum(n2, n[i]))
-                good &= (side2 != side[i]) if two else (node2 > node[i]) if k2 == k else (node2 != node[i])
-                at = np.flatnonzero(good)
-                if len(at):
-                    differ = np.bitwise_count(bits2[at] ^ bits[i]).sum(1, dtype=np.int64)
-                    at = at[differ <= (n2[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
-                    out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node2[at].tolist()]
+    rows = sorted(rows, key=lambda r: (r[3], r[4]))
+    sets = [np.frombuffer(r[2], U) for r in rows]
+    node, n = np.array([r[0] for r in rows]), np.array([len(x) for x in sets])
+    upper, guest = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    component = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    sketches = [np.frombuffer(bit_sketch(x), np.uint8)[None] for x in sets]
+    size = min(x.shape[1] for x in sketches)
+    bits = np.concatenate([folded(x, size) for x in sketches])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum([0, *n])
+    held, out, two = np.zeros(int(ids.max()) + 1, bool), [], bool(upper.any() and not upper.all())
+    for i in range(len(rows) - 1):
+        if two and upper[i]:
+            break
+        at = np.arange(i + 1, len(rows))
+        good = (component[at] != component[i]) & (100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i])) & ~(guest[at] & guest[i])
+        at = at[good & upper[at] if two else good]
+        if len(at):
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            at = at[differ <= (n[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
+        if not len(at):
+            continue
+        own = ids[ends[i] : ends[i + 1]]
+        held[own] = True
+        both = np.array([np.count_nonzero(held[ids[ends[j] : ends[j + 1]]]) for j in at])
+        held[own] = False
+        for j in at[100 * both >= PERCENT * (n[at] + n[i] - both)]:
+            if component[j] != component[i]:
+                component[component == component[j]] = component[i]
+                out.append((int(node[i]), int(node[j])))
     return out
 
 
-def compared(members: DataFrame, info: DataFrame) -> DataFrame:
-    """(a, b, n) of the plausible pairs across components in the groups of members (key, node, root)."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    sizes = sizes.select((F.col("key") + 0).alias("key"), F.ceil(F.col("m") / BLOCK).alias("parts"))
-    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", (F.col("own") > F.col("other")).alias("side"))
-    rows = placed.join(info.select("node", "n_shingles", "bits"), "node").select("key", "low", "high", "node", "root", "n_shingles", "bits", "side")
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """node and tokens (the sorted set, 8 bytes each) of each row of docs (node, text) with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [shingles(x) for x in batch.column(1).to_pylist()]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "tokens"])
+            yield rows.filter(pa.array([len(x) > 0 for x in found]))
+
+    return docs.select("node", "text").mapInArrow(run, "node long, tokens binary")
+
+
+def linked_across(clusters: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join all linked sets of a cluster; clusters: (node, cluster), stored; roots: the components so far.
+
+    A cluster's sets are cut into steps of sizes, and each step, with the step below as guests, into parts; a block is
+    two parts. A block's rows are bounded by its members and tokens.
+    """
+    sets = tokens_of(with_ids(docs, clusters.select("node"))).join(clusters, "node").join(roots, "node", "left")
+    n = F.octet_length("tokens") / 8
+    sets = sets.select("node", F.coalesce("root", "node").alias("root"), "cluster", "tokens", n.cast("long").alias("n"), F.floor(F.log(n) / float(np.log(STEP))).alias("own_step"))
+    sets = stored(sets, "cluster-sets")
+    at = F.explode(F.array(F.struct(F.col("own_step").alias("step"), F.lit(False).alias("guest")), F.struct((F.col("own_step") + 1).alias("step"), F.lit(True).alias("guest"))))
+    seats = sets.select("node", "root", "cluster", "tokens", "n", at.alias("at")).select("*", "at.*").drop("at")
+    sizes = seats.groupBy("cluster", "step").agg(F.count("*").alias("m"), F.sum("n").alias("t"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("guest").alias("alone"))
+    sizes = sizes.where("x <> y AND NOT alone").select("cluster", "step", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).alias("parts"))
+    sizes = stored(sizes, "cluster-sizes")
+    parts = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    own = seats.join(parts, ["cluster", "step"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    rows = placed.select("cluster", "step", low, high, "node", "root", "tokens", (F.col("own") > F.col("other")).alias("upper"), "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda links: pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema=LINKS)
         of, held = None, []
-        made = lambda pairs: pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "n": [1] * len(pairs)}, schema=PAIRS)
-        for batch in batches:
+        for batch in sliced(batches, 6):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != of:
-                    if found := block_pairs(held):
-                        yield made(found)
-                    of, held = row[:3], []
-                held.append(row[3:])
-        if found := block_pairs(held):
-            yield made(found)
+                if row[:4] != of:
+                    if len(held) > 1 and (links := block_links(held)):
+                        yield made(links)
+                    of, held = row[:4], []
+                held.append(row[4:])
+        if len(held) > 1 and (links := block_links(held)):
+            yield made(links)
 
-    blocks = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return blocks.mapInArrow(run, "a long, b long, n long").dropDuplicates(["a", "b"])
+    blocks = rows.repartition("cluster", "step", "low", "high").sortWithinPartitions("cluster", "step", "low", "high")
+    return blocks.mapInArrow(run, "a long, b long")
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
     """The components after the groups of candidates (key, a, b: neighbours in a group, as classes) are settled."""
-    pairs = stored(sifted(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), info), "pairs")
+    pairs = sifted(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), info)
     best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
-    roots = joined(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), linked_pairs(best, docs))
-    left = stored(apart(pairs.join(best, ["a", "b"], "left_anti"), roots).select("a", "b"), "apart")
-    if not left.isEmpty():
-        roots = joined(roots, linked_pairs(left, docs))
+    roots = joined(best.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), linked_pairs(best, docs))
     open_keys = stored(apart(candidates, roots).select("key").distinct(), "open")
     if open_keys.isEmpty():
         return roots
@@ -367,9 +403,11 @@ def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame) -> DataFram
     members = stored(members, "members")
     counts = members.groupBy("node").agg(F.count("*").alias("n"))
     unsettled = counts.join(info.groupBy("node").agg(F.min("shared").alias("shared")), "node").where("n >= shared").select((F.col("node") + 0).alias("node"))
-    rooted = members.join(unsettled, "node", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    across = stored(compared(stored(rooted, "rooted"), info).join(pairs, ["a", "b"], "left_anti"), "across")
-    return roots if across.isEmpty() else joined(roots, linked_pairs(across, docs))
+    left = stored(members.join(unsettled, "node", "left_semi"), "unsettled")
+    firsts = left.groupBy("key").agg(F.min("node").alias("first")).select((F.col("key") + 0).alias("key"), "first")
+    clusters = components(left.join(firsts, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    across = stored(linked_across(stored(clusters.select("node", F.col("root").alias("cluster")), "clusters"), roots, docs), "across")
+    return roots if across.isEmpty() else joined(roots, across)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -379,7 +417,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nothing; rows with a null doc_id are linked with nothing and have no component. Rows that share a doc_id are one
     document for links. Copies are linked with each other. An empty table gives an empty table.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch("sets", "components"):
+        return labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """jaccard_components of rows (doc_id, text)."""
     sets = stored(sets_of(rows), "sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
     firsts = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -396,7 +439,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     candidates = as_reps.select("key", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b")
     same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = resolve(stored(candidates, "candidates"), texts, info)
-    roots = joined(roots, same)
+    roots = stored(joined(roots, same), "components")
     return sets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id")
     )
