@@ -20,12 +20,13 @@ def one_apart(a, b):
 
 def brute(rows):
     """The lines to remove of each (doc_id, text), comparing every two lines."""
-    order = lambda i, t: (1, xxhash.xxh64(t, seed=42).intdigest() % ld.NAMELESS) if i is None else (0, i)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = lambda i, t: (i is None, i or 0, signed(xxhash.xxh64(t, seed=42).intdigest()))
     lines = []
     for i, t in {(i, t) for i, t in rows if t is not None}:
         for k, line in enumerate(t.split("\n")):
             words = tuple(w for w in re.split(r"[\x20\x09-\x0D]+", line) if w)
-            if len(words) >= ld.MIN_EXACT:
+            if words:
                 lines.append(((order(i, t), k), words, (i, t)))
     first = {}
     for place, words, _ in lines:
@@ -74,6 +75,25 @@ def test_documents(documents):
     check(documents)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """A line that repeats nothing stays, whatever row has the id of another one; rows keep their own lines' order."""
+    rng = random.Random(4)
+    ten, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, ten), (5, ten.replace("d", "z")), (5, other), (5, other + "\n" + ten)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        check(df)
+        assert {r["text"] for r in ld.dedup_lines(df).collect() if r["n_removed"] == 0} >= {ten}
+    lines = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    many = [(rng.choice([None, None, 3, 4, -2]), "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 3)))) for _ in range(120)]
+    check(spark.createDataFrame(many, "doc_id long, text string"))
+
+
+def test_places_beyond_a_long(spark):
+    rows = [(2**62, "one two three four five"), (-(2**62), "one two three four six"), (7, "one two three four five")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_empty_table(nothing):
     assert ld.dedup_lines(nothing).count() == 0
 

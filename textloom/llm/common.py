@@ -26,6 +26,11 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(x) for a value that it needs several times: the value is computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def plain_white(text: Column) -> Column:
     """The text with a space for each other ASCII white space but the newline: byte searches, no pattern."""
     for c in "\t\r\x0b\x0c":

@@ -1,8 +1,8 @@
 """Line dedup: lines that an earlier line of any document equals, or nearly equals, are removed.
 
-Lines are sequences of words. A line of MIN_EXACT words or more goes if an earlier line has the same words; a line of
-MIN_NEAR words or more also goes if an earlier line is one word's insertion, deletion or replacement away. Earlier is by
-doc_id, then line number.
+Lines are sequences of words. A line with a word goes if an earlier line has the same words; a line of MIN_NEAR words or
+more (one word is a third of a shorter line) also goes if an earlier line is one word's insertion, deletion or
+replacement away. Earlier is by doc_id, then the text's hash, then line number.
 
 Near lines are found by deletion neighbourhoods: a line's variants are the line itself and the line without each of its
 words, as hashed keys. A line and another that lacks one of its words share a key; two lines that differ in one word
@@ -20,44 +20,62 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WHITE, stored, table, text_of
+from textloom.llm.common import let, partitions, plain_white, scratch, stored, table, text_of
 
-MIN_EXACT, MIN_NEAR = 1, 4
+#: Words of a line that near matches are looked for.
+MIN_NEAR = 4
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents whose lists of lines are broadcast, at most (with 8 lines each on average, some 30 MB); more are joined by a shuffle.
 BROADCAST_LISTS = 250_000
 BATCH_KEYS = 1 << 18
-#: Places for documents without an id.
-NAMELESS = 1 << 20
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """doc_id, text_key, number: the distinct rows of ids (doc_id, text_key), numbered from 0 by both, null ids last.
+
+    Rows are cut into ranges, which are numbered each from the sum of those before.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text_key")]
+    ranged = ids.distinct().repartitionByRange(partitions(ids.sparkSession), *order).select("*", F.spark_partition_id().alias("part"))
+    ranged = stored(ranged, "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("own", own).join(F.broadcast(starts), "part").select("doc_id", "text_key", (F.col("start") + F.col("own")).alias("number"))
+
+
 def placed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with base: a number that, plus a line's number, orders lines by document, then line.
+    """docs (doc_id, text) with text_key and base: a number that, plus a line's number, orders all lines and is one line's only.
 
-    Documents without an id are last, by a hash of their text. It is a long if the largest id and the longest text let it, else a decimal: one
-    pass over the lengths decides.
+    It is the id times the longest text where every row has an id of its own, else the number among all documents. It
+    is a long if the largest one lets it, else a decimal: one pass over ids and lengths decides.
     """
-    r = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.octet_length("text")).alias("n")).first()
-    last, most = (r["b"] or 0) + 1, (r["n"] or 0) + 2
-    kind = "long" if max(abs(r["a"] or 0), abs(last) + NAMELESS) * most < 2**62 else "decimal(38,0)"
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(last) + F.pmod(F.xxhash64(text_of()), F.lit(NAMELESS)))
-    return docs.select("doc_id", "text", (order.cast(kind) * F.lit(most).cast(kind)).cast(kind).alias("base"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    by_id = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("m"))
+    r = by_id.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("n").alias("n"), F.sum("n").alias("all"), F.max("m").alias("m"), F.max(F.col("doc_id").isNull()).alias("nameless")).first()
+    most, number, largest = (r["m"] or 0) + 2, F.col("doc_id").cast("long"), max(abs(r["a"] or 0), abs(r["b"] or 0))
+    if (r["n"] or 0) > 1 or r["nameless"]:
+        numbers = numbered(rows.select("doc_id", "text_key")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "number")
+        rows = rows.join(numbers, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_key"] == F.col("_key")))
+        number, largest = F.col("number"), r["all"]
+    kind = "long" if (largest + 1) * most < 2**62 else "decimal(38,0)"
+    return rows.select("doc_id", "text", "text_key", (number.cast(kind) * F.lit(most).cast(kind)).cast(kind).alias("base"))
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, text_key, line_no, place, words of the lines with ``least`` words or more; docs are placed."""
     kind = docs.schema["base"].dataType
-    lines = F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line")
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "base", lines).withColumn("place", (F.col("base") + F.col("line_no")).cast(kind))
-    worded = split.select("doc_id", "text_key", "line_no", "place", F.array_remove(F.split("line", WHITE), "").alias("words"))
+    lines = F.posexplode(F.split(plain_white(text_of()), "\n")).alias("line_no", "line")
+    split = docs.select("doc_id", "text_key", "base", lines).withColumn("place", (F.col("base") + F.col("line_no")).cast(kind))
+    worded = split.select("doc_id", "text_key", "line_no", "place", F.array_remove(F.split("line", " "), "").alias("words"))
     return worded.where(F.size("words") >= least)
 
 
@@ -70,7 +88,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     half = lambda c, k: F.when(n >= MIN_NEAR, F.xxhash64(F.lit(k), c))
     head, tail = lambda c: F.slice("words", F.lit(1), c), lambda c: F.slice("words", n - c + 1, c)
     one, two = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return lines_of(docs, MIN_EXACT).select(
+    return lines_of(docs, 1).select(
         "doc_id", "text_key", "line_no", "place", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("b"), "words").alias("k2"),
         F.when(
             n >= MIN_NEAR,
@@ -190,18 +208,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Every row and every other column is kept; columns named like the counts are replaced. Null texts stay null and have
     no lines; a text whose lines all go becomes empty; lines without a word stay. Rows alike in doc_id and text
-    are one document (none of them counts as earlier than the other). Rows without doc_id come last, by a hash of their text.
+    are one document (none of them counts as earlier than the other). Rows with one doc_id and different texts are different
+    documents, by a hash of their text. Rows without doc_id come last, by a hash of their text.
     """
     added = ["n_lines", "n_removed", "n_near"]
     kept = docs.drop(*added)
-    dead = repeated_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_dead_id"), F.col("text_key").alias("_dead_key"), F.col("dead").alias("_dead"), F.col("n_near").alias("_near"))
-    dead = stored(dead, "dead")
+    with scratch("dead"):
+        dead = repeated_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_dead_id"), F.col("text_key").alias("_dead_key"), F.col("dead").alias("_dead"), F.col("n_near").alias("_near"))
+        dead = stored(dead, "dead")
     size = dead.agg(F.count("*").alias("n"), F.sum(F.size("_dead")).alias("m")).first()
     few = size["n"] <= BROADCAST_LISTS and (size["m"] or 0) <= 8 * BROADCAST_LISTS
     both = kept.join(F.broadcast(dead) if few else dead, kept["doc_id"].eqNullSafe(F.col("_dead_id")) & (F.xxhash64(kept["text"]) == F.col("_dead_key")), "left")
     lines = F.split(kept["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dead"))
-    text = F.when(F.col("_dead").isNull(), kept["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("_dead").isNull(), kept["text"]).otherwise(F.array_join(let(lines, lambda x: F.transform(left, lambda i: F.get(x, i))), "\n"))
     n = F.when(kept["text"].isNull(), 0).otherwise(F.size(lines)).cast("long")
     return both.select(
         *[text.alias(c) if c == "text" else kept[c] for c in kept.columns], n.alias("n_lines"),
