@@ -21,18 +21,23 @@ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
 
-code = lambda w: " + ".join(f"CASE WHEN length({w}) >= {k} THEN CAST(unicode(substr({w}, length({w}) - {k - 1}, 1)) AS BIGINT) ELSE 0 END * {m}" for k, m in ((3, 1_000_003), (2, 1_009), (1, 1)))
+#: CRC-32 byte by byte: its table, and the checksum of a string in UTF-8.
+CRC_TABLE = "SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)"
+octets = lambda s: f"list_transform(range(1, strlen({s}) + 1), lambda k: CAST('0x' || substr(hex(encode({s})), 2 * k - 1, 2) AS BIGINT))"
+checksum = lambda s, t: f"xor(list_reduce({octets(s)}, lambda c, b: xor(c >> 8, {t}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
 
 RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words("text")} AS a FROM documents),
 u AS (SELECT doc_id, unnest(a) AS w, unnest(range(len(a))) AS i FROM d),
-e AS (SELECT doc_id, i, {code("w")} AS x FROM u),
-g AS (SELECT doc_id, i, (coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), 0) * 69069 + x * 7919) % {quality_rules.N_BUCKETS} AS b FROM e),
-q AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {quality_rules.TRUSTED_IDS}),
+e AS (SELECT doc_id, i, 0 AS o, w AS gram FROM u UNION ALL SELECT doc_id, i, 1, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '') || ' ' || w FROM u),
+crc AS ({CRC_TABLE}),
+h AS (SELECT gram, {checksum("gram", "t")} % {quality_rules.N_BUCKETS} AS b FROM (SELECT DISTINCT gram FROM e), crc),
+g AS (SELECT doc_id, i, o, b FROM e JOIN h USING (gram)),
+q AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 k AS (SELECT b, count(*) AS raw, count(q.doc_id) AS good FROM g LEFT JOIN q USING (doc_id) GROUP BY b),
 z AS (SELECT sum(raw) AS all_raw, sum(good) AS all_good FROM k),
 v AS (SELECT b, CAST(ln((good + {quality_rules.SHRINK}::DOUBLE) / (raw * all_good::DOUBLE / all_raw + {quality_rules.SHRINK}::DOUBLE)) AS FLOAT) AS weight FROM k, z),
-s AS (SELECT doc_id, list_sum(list(CAST(weight AS DOUBLE) ORDER BY i)) / count(*) AS score FROM g JOIN v USING (b) GROUP BY doc_id),
+s AS (SELECT doc_id, list_sum(list(CAST(weight AS DOUBLE) ORDER BY o, i)) / count(*) AS score FROM g JOIN v USING (b) GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(a[i:i + 4], ' ') AS x FROM (SELECT doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM d WHERE len(a) >= 5)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY doc_id),
@@ -40,8 +45,8 @@ c AS (SELECT doc_id, len(a) AS n_words, length(array_to_string(a, '')) AS word_c
       list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 f AS (SELECT c.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(s.score, 0.0) AS score
       FROM c LEFT JOIN cov USING (doc_id) LEFT JOIN s USING (doc_id)),
-h AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {quality_rules.THRESHOLD} AS kept, round(score, 6) AS score FROM h
+z2 AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {quality_rules.THRESHOLD} AS kept, round(score, 6) AS score FROM z2
 """
 
 number = lambda part, *columns: f"CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}:{part}', {', '.join(columns)})), 1, 8) AS BIGINT)"

@@ -1,10 +1,9 @@
 """Quality rules: repetition rules, and a hashed n-gram log-likelihood ratio of trusted text against the raw corpus.
 
-All of it is DataFrame work. Each word is reduced to its last three characters; pairs of such endings of neighbouring
-words (a document's first word pairs with a blank) are hashed to ``N_BUCKETS`` buckets. Two multinomials over the
-buckets are counted: one over every document, one over the trusted documents. A document's score is the mean of the
-smoothed log ratio over its pairs, so that it doesn't depend on its length; every document is compared with one fixed
-threshold.
+All of it is DataFrame work. A document's grams are its words and its pairs of neighbouring words (the first word's
+neighbour is empty), hashed by CRC-32 to ``N_BUCKETS`` buckets. Two multinomials over the buckets are counted: one over
+every document, one over the trusted documents. A document's score is the mean of the smoothed log ratio over its
+grams, so that it doesn't depend on its length; every document is compared with one fixed threshold.
 """
 
 from __future__ import annotations
@@ -12,16 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, stored, table, text_of, words_of
+from textloom.llm.common import WORD, let, stored, table, text_of, words_of
 
-#: Buckets of the multinomials; the weights sent to every task are as many floats (64 KB).
-N_BUCKETS = 16_384
-#: Trusted documents that the SQL counts, at most. The operator counts all of them; up to here both say the same.
-TRUSTED_IDS = 20_000
+#: Buckets of the multinomials (a power of two); the weights sent to every task are as many floats (256 KB).
+N_BUCKETS = 65_536
 #: Trusted ids that are broadcast, at most (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Counts that pull a bucket's ratio to 1 where the trusted text has few.
-SHRINK = 20.0
+SHRINK = 10.0
 #: Documents with a lower mean log ratio are rejected.
 THRESHOLD = -0.12
 
@@ -82,19 +79,11 @@ def covered(hashes: Column) -> Column:
 
 
 def buckets_of(words: Column) -> Column:
-    """The bucket of each word's pair (ending of the word before, ending of the word)."""
-    code = lambda w, k: F.when(F.length(w) >= k, F.ascii(F.substring(w, -k, 1))).otherwise(0).cast("long")
-    ends = F.transform(words, lambda w: code(w, 3) * 1_000_003 + code(w, 2) * 1_009 + code(w, 1))
-    return F.get(
-        F.transform(
-            F.array(ends),
-            lambda e: F.transform(
-                e,
-                lambda x, i: F.pmod(F.when(i > 0, F.get(e, i - 1)).otherwise(0) * 69_069 + x * 7_919, F.lit(N_BUCKETS)).cast("int"),
-            ),
-        ),
-        F.lit(0),
-    )
+    """The buckets of the grams: of each word, then of each word with the one before it."""
+    bucket = lambda gram: F.crc32(gram.cast("binary")).bitwiseAND(F.lit(N_BUCKETS - 1)).cast("int")
+    before = lambda x, i: F.when(i > 0, F.get(x, i - 1)).otherwise("")
+    pairs = lambda x: F.transform(x, lambda w, i: bucket(F.concat(before(x, i), F.lit(" "), w)))
+    return let(words, lambda x: F.concat(F.transform(x, bucket), pairs(x)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
