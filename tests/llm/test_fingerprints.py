@@ -51,9 +51,10 @@ def plain(text):
         seen[h] += 1
         v = hash_int(number, hash_long(h, 42)) >> fp.PLACE_BITS << fp.PLACE_BITS | place
         bins.setdefault(v >> (64 - fp.BIN_BITS), []).append(v if v < 1 << 63 else v - (1 << 64))
-    out = []
+    out, ring = [], sorted(v for found in bins.values() for v in found)
     for b, found in sorted(bins.items()):
-        chosen = sorted(sorted(found)[: fp.PICKS], key=lambda v: v & ((1 << fp.PLACE_BITS) - 1))
+        at = ring.index(min(found))
+        chosen = sorted((ring + ring)[at : at + min(fp.PICKS, len(ring))], key=lambda v: v & ((1 << fp.PLACE_BITS) - 1))
         h = 42
         for v in chosen:
             h = hash_long((v >> fp.PLACE_BITS) & MASK, h)

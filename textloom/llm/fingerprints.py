@@ -1,8 +1,9 @@
 """Document fingerprints by order MinHash.
 
 A text's k-mers are its runs of K_WORDS words, each numbered by its occurrence, so that repeats count. Their hashes fall
-into BINS bins; of each bin the PICKS smallest are selected, put back in text order and hashed as a tuple. The tuples
-by bin are the signature: the share of equal ones falls with the edit distance, also where only the order differs.
+into BINS bins; for each bin in use the PICKS smallest from its start on (of the bins that follow, where it has fewer) are
+selected, put back in text order and hashed as a tuple. The tuples by bin are the signature: the share of equal ones
+falls with the edit distance, also where only the order differs, in short texts too.
 
 Everything is DataFrame work on one row at a time: hashes are sorted with the position in their low bits, and runs of
 equal hashes give the occurrence numbers.
@@ -13,18 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import partitions, table, text_of, words_of
+from textloom.llm.common import let, partitions, table, text_of, words_of
 
 #: Words of a k-mer, bins (a power of two), k-mers selected from a bin.
 K_WORDS, BINS, PICKS = 3, 64, 2
 BIN_BITS = BINS.bit_length() - 1
-#: Bits of a packed number that hold the position: texts of up to 16 million words keep their order exactly.
-PLACE_BITS = 24
-
-
-def let(value: Column, use) -> Column:
-    """use(x) for a value that it needs several times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: Bits of a packed number that hold the position: no array is longer.
+PLACE_BITS = 31
+#: Bytes of text in a range of neighbouring documents, about.
+RANGE_BYTES = 16 << 20
 
 
 def kmer_hashes(words: Column) -> Column:
@@ -65,21 +63,14 @@ def bin_of(x: Column) -> Column:
 def signature(kmers: Column) -> Column:
     """The entries (bin in the high half, tuple hash in the low one) of the used bins, from numbered k-mers.
 
-    kmers must be sorted: k-mers of a bin are neighbours, smallest first.
+    kmers must be sorted: k-mers of a bin are neighbours, smallest first; the first ones follow the last ones.
     """
-    chosen = F.filter(kmers, lambda x, i: (i < PICKS) | (bin_of(F.get(kmers, F.greatest(i - PICKS, F.lit(0)))) != bin_of(x)))
-    in_order = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(bin_of(x).alias("b"), place_of(x).alias("p"), F.shiftright(x, PLACE_BITS).alias("h"))))
-
-    def tuples(c: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i)["b"] != F.get(c, F.greatest(i - 1, F.lit(0)))["b"]))
-        return F.transform(
-            begins,
-            lambda i: F.shiftleft(F.get(c, i)["b"], 32).bitwiseOR(
-                F.shiftrightunsigned(F.xxhash64(F.transform(F.filter(F.slice(c, i + 1, PICKS), lambda y: y["b"] == F.get(c, i)["b"]), lambda y: y["h"])), 32)
-            ),
-        )
-
-    return F.when(F.size(kmers) == 0, F.array().cast("array<bigint>")).otherwise(let(in_order(chosen), tuples))
+    begins = F.filter(F.sequence(F.lit(0), F.size(kmers) - 1), lambda i: (i == 0) | (bin_of(F.get(kmers, i)) != bin_of(F.get(kmers, F.greatest(i - 1, F.lit(0))))))
+    ring = F.concat(kmers, F.slice(kmers, 1, PICKS - 1))
+    picked = lambda r, i: F.slice(r, i + 1, F.least(F.lit(PICKS), F.size(kmers)))
+    in_order = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(place_of(x).alias("p"), F.shiftright(x, PLACE_BITS).alias("h"))))
+    entry = lambda r, i: F.shiftleft(bin_of(F.get(r, i)), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.transform(in_order(picked(r, i)), lambda y: y["h"])), 32))
+    return F.when(F.size(kmers) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(let(ring, lambda r: F.transform(begins, lambda i: entry(r, i)))))
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -105,12 +96,13 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """df (doc_id, _tie, ...) with next_<column> from the row with the next smaller doc_id; the last gets the first's.
 
-    Null ids are the smallest; equal ids go by _tie. The ids are cut into ranges by quantiles (a number for each
-    partition goes to the driver); each range is one window, and its first row also stands behind the range before.
+    Null ids are the smallest; equal ids go by _tie. The ids are cut into ranges by quantiles, as many as the texts'
+    bytes ask for (a number for each goes to the driver); each range is one window, and its first row also stands
+    behind the range before.
     """
     spark = df.sparkSession
-    n = partitions(spark)
-    cuts = df.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"]
+    n = max(partitions(spark), 1 + (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+    cuts = df.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first()["q"]
     cuts = sorted(set(cuts or []))
     part = lambda c: F.coalesce(sum([(F.col(c) > x).cast("int") for x in cuts], F.lit(0)) if len(cuts) <= 64 else F.size(F.filter(F.lit(cuts), lambda x: x < F.col(c))), F.lit(0))
     firsts = {r["part"]: r["id"] for r in df.select(part("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("id")).collect()}
@@ -133,12 +125,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text's hash, null ids last. Extra columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("_tie"))
-    own = with_signature(with_next(slim, ["text"]), "text", "own")
+    own = with_next(with_signature(slim, "text", "own"), ["text", "own"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = own.select("doc_id", F.length("text").cast("long").alias("n_chars"), "next_text", edited.alias("edited"), "own")
-    rows = with_signature(rows.select("doc_id", "n_chars", "next_text", "edited", F.sha2("edited", 256).alias("edited_sha256"), "own"), "edited", "other")
-    rows = with_signature(rows.select("doc_id", "n_chars", "edited_sha256", "next_text", "own", "other"), "next_text", "following")
+    rows = own.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("following"))
+    rows = rows.select("doc_id", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "own", "following")
+    rows = with_signature(rows, "edited", "other")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
