@@ -1,8 +1,11 @@
 """Main text of pages with one template and with others."""
 
 import html
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from textloom.llm import html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><style>p{{x}}</style><script>var a="</p>";</script></head><body>
@@ -66,3 +69,50 @@ def test_copies_of_a_page_are_no_template(spark):
     rows = [(k, f"<article><p>Own {k}</p><p>More {k}</p></article>") for k in (0, 0, 0, 0, 1, 2)]
     assert shown(spark, rows) == [(k, f"Own {k} More {k}") for k in (0, 0, 0, 0, 1, 2)]
     assert shown(spark, [(k, f"<article><p>Gone</p></article><p>{k}") for k in range(4)]) == [(k, "Gone") for k in range(4)]
+
+
+UNNAMED = """<html><body><div class="k1"><div class="k2"><p>Home</p><p>News</p><p>About us</p></div></div>
+<div class="k3"><div class="k4"><p>Lead {k} of this page</p></div><div class="k5"><p>Body {k}, and more of it</p>{extra}</div></div>
+<div class="k6"><p>All rights reserved</p></div></body></html>"""
+
+
+def test_unnamed_boilerplate_goes_by_its_vector(spark, monkeypatch):
+    """No class name is listed: the repeated texts are the template's, and lead and body are one slot. A name that one
+    page has says nothing. With vectors of chance there is no template, and other text comes out."""
+    rows = [(k, UNNAMED.format(k=k, extra='<div class="share"><p>Part of the text</p></div>' if k == 5 else "")) for k in range(8)]
+    want = [(k, f"Lead {k} of this page Body {k}, and more of it" + " Part of the text" * (k == 5)) for k in range(8)]
+    assert shown(spark, rows) == want
+    token_table = html_text.token_table
+    monkeypatch.setattr(html_text, "token_table", lambda pages: token_table(pages).withColumn("vector", F.xxhash64("token", "vector")))
+    assert shown(spark, rows) != want
+
+
+def test_named_slots_of_a_template(spark):
+    """Comments that differ from page to page are told by the name of their slot, inside the article too."""
+    make = lambda k: f"<html><body><article><p>Text {k}</p><div class='comments'><p>I say {k}</p></div></article></body></html>"
+    assert shown(spark, [(k, make(k)) for k in range(6)]) == [(k, f"Text {k}") for k in range(6)]
+    assert shown(spark, [(1, make(1))]) == [(1, "Text 1")]
+
+
+def brute_template(pages):
+    """The texts (with their paths) that share the vector of counts of some tag, comparing all vectors of one host's pages."""
+    counts = {}
+    for k, page in enumerate(pages):
+        tokens, blocks = html_text.parsed(page)
+        for t in [*tokens, *((b.path, html_text.text_in(b)) for b in blocks if not b.bad and html_text.text_in(b))]:
+            counts.setdefault(t, [0] * len(pages))[k] += 1
+    enough = lambda v: sum(x > 0 for x in v) >= max(html_text.MIN_PAGES, html_text.MIN_SHARE * len(pages))
+    tags = [v for t, v in counts.items() if isinstance(t, str)]
+    return {t for t, v in counts.items() if isinstance(t, tuple) and enough(v) and v in tags}
+
+
+def test_template_texts_against_all_vectors(spark):
+    rng = random.Random(21)
+    pages = []
+    for k in range(9):
+        parts = [f"<p>own {k} {j}</p>" for j in range(rng.randint(1, 3))] + [f"<section><p>{t}</p></section>" for t in "ab" if rng.random() < 0.6] + [f"<p>{t}</p>" for t in "cd" if rng.random() < 0.5]
+        pages.append(f"<html><body><article>{''.join(parts)}</article><div><p>same</p></div></body></html>")
+    df = spark.createDataFrame([("h", k, p) for k, p in enumerate(pages)], "host string, page long, html string")
+    (row,) = html_text.templates(df).collect()
+    wanted = {html_text.text_key(path, text) for path, text in brute_template(pages)}
+    assert wanted and set(row["same"]) == wanted and row["mains"] == [">html>body>article"]

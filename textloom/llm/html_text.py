@@ -4,9 +4,13 @@ The tokens of a page are its structural tags and its paragraphs' texts, each wit
 in. Over the pages of one host, tokens that occur equally often on every page share an occurrence vector and are one
 equivalence class. Classes of several tokens that span enough pages are valid; nested by their paths, they are the host's
 template. A text in a class with tags is the template's, so it is boilerplate wherever it stands; a text whose vector
-no tag has is a page's own. A slot is the article's if it is marked as such (article, main), or else if it holds most of
-the text that isn't boilerplate. Pages are then read again: the text of the host's article slot is kept, without the
-template's texts and the menus, notices, forms and comments in it. A page with nothing else in the slot keeps them.
+no tag has is a page's own. A slot is the article's if it is marked as such (article, main), or else it is the smallest
+container of all text that isn't boilerplate. Pages are then read again: the text of the host's article slot is kept,
+without the template's texts and the slots for menus, forms and the like in it. A page with nothing else in the slot
+keeps the texts.
+
+What vectors can't tell, comments and adverts that differ from page to page, is told by the names of the template's
+containers (SLOT_NAMES); a name that only some pages have, inside their articles, says nothing.
 
 Vectors are never gathered: a class is known by the sum of the hashes of (page, count). Pages alike in html count once,
 so copies of a page don't make its text a template. A host's table has the tags of its pages, and of texts those that
@@ -30,8 +34,8 @@ from textloom.llm.common import stored, table, text_of
 
 #: Pages that a host needs for a template, and the share of them that a valid class spans.
 MIN_PAGES, MIN_SHARE = 3, 0.3
-#: The share of the text outside boilerplate that an unmarked article slot holds.
-MAIN_SHARE = 0.6
+#: The share of the text outside boilerplate that the unmarked article of a page without a template holds.
+MAIN_SHARE = 0.9
 #: Pages handled at a time.
 BATCH_ROWS = 256
 
@@ -39,7 +43,7 @@ RAW = frozenset(["script", "style", "title", "textarea", "noscript", "template",
 CONTAINERS = frozenset(["html", "body", "head", "div", "section", "article", "main", "aside", "nav", "header", "footer", "ul", "ol", "dl", "table", "form", "fieldset", "figure", "blockquote", "menu", "dialog", "details", "select", "button", "center"])
 LEAVES = frozenset(["p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "tr", "td", "th", "dt", "dd", "pre", "address", "caption", "figcaption", "summary", "legend", "tbody", "thead", "tfoot", "option"])
 BOILERPLATE_TAGS = frozenset(["head", "nav", "aside", "footer", "form", "menu", "dialog", "select", "button"])
-BOILERPLATE_WORDS = frozenset(
+SLOT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal overlay"
     " newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar"
     " comment comments commentlist reply replies disqus respond share sharing social related recommended recommendations pagination pager toolbar search".split()
@@ -64,23 +68,30 @@ class Block:
 
 
 def boilerplate(tag: str, attributes: str, inside_marked: bool) -> tuple[str, bool]:
-    """The element's name with its class words, and whether it is boilerplate. The body's own names don't count."""
-    if not attributes:
-        return tag, tag in BOILERPLATE_TAGS or (tag == "header" and not inside_marked)
+    """The element's name with its class words, and whether its tag, role or state makes it boilerplate."""
     named, bad = [], tag in BOILERPLATE_TAGS or (tag == "header" and not inside_marked)
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
+    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         value = (a or b or c).lower()
         if name.lower() == "role":
             bad |= value in BOILERPLATE_ROLES
         elif name.lower() == "hidden":
             bad = True
         else:
-            words = WORDS.findall(value)
-            named += words
-            bad |= any(w in BOILERPLATE_WORDS for w in words)
+            named += WORDS.findall(value)
     return ".".join([tag, *dict.fromkeys(named)]), bad and tag not in ("html", "body", "article", "main")
 
 
+def parents(path: str) -> list[str]:
+    """The paths of the containers of a path, from the outermost to itself."""
+    return [path[:i] for i in (m.start() for m in re.finditer(">", path)) if i] + [path] * bool(path)
+
+
+def named_slot(path: str) -> bool:
+    """Whether a container's own class words name it as something else than an article."""
+    tag, *words = path.rpartition(">")[2].split(".")
+    return tag not in ("html", "body", "article", "main") and not SLOT_NAMES.isdisjoint(words)
+
+
 def parsed(page: str) -> tuple[list[str], list[Block]]:
     """The structural tokens in page order, and the blocks of text with the path that each stands in.
 
@@ -141,15 +152,14 @@ def text_key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - (1 << 63)
 
 
-def main_path(sizes: dict[str, int], marked: list[str]) -> str:
-    """The path of the article: the topmost marked container with most text, or the deepest that holds most of it."""
+def main_path(sizes: dict[str, int], marked: list[str], share: float = 1.0) -> str:
+    """The path of the article: the topmost marked container with most text, or the deepest that holds that share of it."""
     inside = lambda p: sum(n for q, n in sizes.items() if q == p or q.startswith(p + ">"))
     tops = [p for p in marked if not any(p.startswith(q + ">") for q in marked)]
     if tops:
         return max(tops, key=lambda p: (inside(p), -len(p), p))
     total = sum(sizes.values())
-    prefixes = {q[:i] for q in sizes for i in [*(m.start() for m in re.finditer(">", q)), len(q)]}
-    good = [p for p in prefixes if total and inside(p) >= MAIN_SHARE * total]
+    good = [p for p in {p for q in sizes for p in parents(q)} if total and inside(p) >= share * total]
     return max(good, key=lambda p: (p.count(">"), inside(p), p), default="")
 
 
@@ -157,20 +167,23 @@ def is_marked(path: str) -> bool:
     return path.rpartition(">")[2].partition(".")[0] in MARKED
 
 
-def extracted(page: str, mains: list[str], same: frozenset[int] = frozenset()) -> str:
+def extracted(page: str, mains: list[str], same: frozenset[int] = frozenset(), others: frozenset[str] = frozenset()) -> str:
     """The article's text: of the host's article paths that the page has, else of the path that the page itself shows.
 
-    same: the keys of the template's texts, which go unless nothing else is there.
+    same: the keys of the template's texts, which go unless nothing else is there. others: the template's slots that
+    their names tell from the article; a page that is judged by itself has those that its own names tell.
     """
     tokens, blocks = parsed(page)
     found = set(tokens)
     mains = [p for p in mains if p in found or p == ""]
-    good = [b for b in blocks if not b.bad]
-    if not mains:
+    own = not mains
+    good = [b for b in blocks if not b.bad and not any(named_slot(p) if own else p in others for p in parents(b.path))]
+    if own:
         sizes: dict[str, int] = {}
         for b in good:
-            sizes[b.path] = sizes.get(b.path, 0) + sum(map(len, b.parts))
-        mains = [main_path(sizes, [p for p in dict.fromkeys(tokens) if is_marked(p)])]
+            if size := len("".join(b.parts).strip()):
+                sizes[b.path] = sizes.get(b.path, 0) + size
+        mains = [main_path(sizes, [p for p in dict.fromkeys(tokens) if is_marked(p)], MAIN_SHARE)]
     kept = [b for b in good if any(b.path == p or b.path.startswith(p + ">") or not p for p in mains)]
     texts = [(b.path, t) for b in kept if (t := text_in(b))]
     return " ".join([t for p, t in texts if text_key(p, t) not in same] or [t for _, t in texts])
@@ -197,7 +210,7 @@ def token_table(pages: DataFrame) -> DataFrame:
                         counts[t] = counts.get(t, 0) + 1
                     for b in blocks:
                         if not b.bad and b.parts:
-                            size = sum(map(len, b.parts))
+                            size = len("".join(b.parts).strip())
                             chars[b.path] = chars.get(b.path, 0) + size
                             if own := text_in(b):
                                 t = f"{TEXT}{text_key(b.path, own) + (1 << 63):016x}{b.path}"
@@ -212,8 +225,8 @@ def token_table(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, mains and same: the paths of the article slots in each host's template and the keys of its texts; hosts
-    without a template have no row.
+    """host, mains, same, others: the paths of the article slots in each host's template, the keys of its texts, and the
+    paths of slots with other names; hosts without a template have no row.
 
     pages: host, page (a number of its own for each html), html.
     """
@@ -224,13 +237,13 @@ def templates(pages: DataFrame) -> DataFrame:
     of_host = F.max(F.when(F.col("token") == "", F.col("n_pages"))).over(Window.partitionBy("host"))
     tokens = tokens.withColumn("most", of_host).where(~F.col("token").startswith(TEXT) | (F.col("n_pages") >= MIN_SHARE * F.col("most"))).drop("most")
     # A class: the tokens of a host with one occurrence vector. Its size tells the template from chance.
-    schema = "host string, mains array<string>, same array<long>"
+    schema = "host string, mains array<string>, same array<long>, others array<string>"
 
     def deduce(t: pd.DataFrame) -> pd.DataFrame:
         host, whole = t["host"].iloc[0], t[t["token"] == ""]
         n = int(whole["n_pages"].iloc[0]) if len(whole) else 0
         if n < MIN_PAGES:
-            return pd.DataFrame({"host": [], "mains": [], "same": []}, dtype=object)
+            return pd.DataFrame({"host": [], "mains": [], "same": [], "others": []}, dtype=object)
         classes = t[(t["token"] != "") & (t["n_pages"] >= max(MIN_PAGES, MIN_SHARE * n))].groupby(["n_pages", "n", "vector"])["token"].agg(list)
         template, texts = set(), set()
         for group in classes:
@@ -239,7 +252,8 @@ def templates(pages: DataFrame) -> DataFrame:
                 template.update(tags)
                 texts.update(p for p in group if p[0] == TEXT)
             template.update(p for p in tags if is_marked(p))  # says itself what it is
-        nested = {p for p in template if all(p[:i] in template for i in (m.start() for m in re.finditer(">", p)) if i)}
+        nested = {p for p in template if all(q in template for q in parents(p))}
+        others = {p for p in nested if named_slot(p)}
         texts = {p for p in texts if p[17:] in nested or not p[17:]}
         sizes: dict[str, int] = {}
         for path, chars in zip(t["token"], t["chars"], strict=True):
@@ -250,11 +264,12 @@ def templates(pages: DataFrame) -> DataFrame:
                 at, chars = path[17:], -chars
             while at and at not in nested:  # text in what isn't of the template belongs to the slot around it
                 at = at.rpartition(">")[0]
-            sizes[at] = sizes.get(at, 0) + int(chars)
+            if others.isdisjoint(parents(at)):
+                sizes[at] = sizes.get(at, 0) + int(chars)
         marked = [p for p in nested if is_marked(p)]
         tops = [p for p in marked if not any(p.startswith(q + ">") for q in marked)]
         mains = sorted(tops) or [main_path({p: c for p, c in sizes.items() if c}, [])]
-        return pd.DataFrame({"host": [host], "mains": [mains], "same": [sorted(int(p[1:17], 16) - (1 << 63) for p in texts)]})
+        return pd.DataFrame({"host": [host], "mains": [mains], "same": [sorted(int(p[1:17], 16) - (1 << 63) for p in texts)], "others": [sorted(others)]})
 
     return tokens.groupBy("host").applyInPandas(deduce, schema)
 
@@ -272,10 +287,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(a, BATCH_ROWS)
-                texts = [extracted(x, m or [], frozenset(s or [])) for x, m, s in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                texts = [extracted(x, m or [], frozenset(s or ()), frozenset(o or ())) for x, m, s, o in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    with_main = rows.join(known, "host", "left").select("page_id", "url", "html", "mains", "same")
+    with_main = rows.join(known, "host", "left").select("page_id", "url", "html", "mains", "same", "others")
     schema = pages.select("page_id", "url", F.lit("").alias("text")).schema
     return with_main.mapInArrow(run, schema).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
