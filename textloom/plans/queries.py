@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import facts as fx
 from textloom.functions import text as tx
 from textloom.operators import chunking, evidence, lines, retrieval, search
+from textloom.sources import corpus
 
 #: What the registered searches look for.
 LITERAL, PATTERN, OVERLAP, FALLBACK = "the of", r"\bth[a-z]*tion\b", "from what is that", "zzqx from the missing"
@@ -19,7 +20,7 @@ QUERIES_OF = 50
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return corpus.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

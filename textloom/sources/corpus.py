@@ -11,6 +11,15 @@ SNIFFED = 512
 MAGIC = ("25504446", "89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961", "504B0304", "1F8B08", "526172211A07", "377ABCAF271C", "7F454C46", "4D5A", "CAFEBABE", "00000100", "52494646", "4F676753", "494433", "424D")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A table as it is read, dealt anew where it has fewer splits than there are cores: a small file of one split, say.
+
+    A large table keeps its splits and isn't shuffled.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def binary(content: Column) -> Column:
     """Whether the first bytes are of a binary format or hold control characters that text doesn't have."""
     head = F.hex(F.substring(content, 1, SNIFFED))
