@@ -12,13 +12,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import corpus
+
 #: A word is a run of characters other than the ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; those of texts are dealt over all cores where they are few splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return corpus.spread(df) if name in ("documents", "pages") else df
 
 
 def text_of(column: str | Column = "text") -> Column:
