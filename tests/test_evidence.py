@@ -73,6 +73,7 @@ def test_fusion_and_weakness(spark):
     fused = retrieval.fused(hits)
     assert [(r["path"], r["score"], r["start_line"], r["end_line"], r["text"]) for r in fused.orderBy("rank").collect()] == [("a", 1 / 61 + 1 / 62, 3, 9, "x"), ("b", 1 / 61, 1, 2, "y")]
     assert rows(retrieval.weak(fused)) == [(0, True)]
+    assert rows(retrieval.weak(fused, spark.createDataFrame([(0,), (9,)], "prompt_id int"))) == [(0, True), (9, True)]
     assert rows(retrieval.weak(fused.withColumn("similarity", F.lit(0.2)))) == [(0, False)]
 
 

@@ -107,3 +107,27 @@ def test_chunk_table(docs):
     assert [r["chunk_id"] for r in rows] == list(range(len(rows))) and "\n".join(r["text"] for r in rows) == CYRILLIC
     tokens = chunking.chunk_by_tokens(docs, 60, 10).where("path = 'a.txt'").orderBy("chunk_id").collect()
     assert all(r["token_count"] + 10 == r["request_tokens"] <= 36 for r in tokens)
+
+
+def test_java_patterns_are_taken(spark):
+    docs = spark.createDataFrame([("a", "x1\n22\nнет")], "path string, text string")
+    lines = lambda pattern: [r["line_no"] for r in search.regex_matches(docs, pattern).orderBy("line_no").collect()]
+    assert lines(r"^\p{L}+\z") == [3] and lines(r"(?P<n>\d)\Q2\E") == [2]
+    with pytest.raises(ValueError, match="invalid_arguments"):
+        search.regex("[нет")
+
+
+def test_unknown_path_and_context(spark):
+    docs = spark.createDataFrame([("a", "zero\none match\ntwo"), ("b", "match")], "path string, text string")
+    with pytest.raises(ValueError, match="unknown path"):
+        search.search(docs, "match", only="c")
+    got = search.search(docs, "match", context=1).orderBy("path").collect()
+    assert [(r["path"], r["context_before"], r["context_after"]) for r in got] == [("a", ["zero"], ["two"]), ("b", [], [])]
+    assert [r["path"] for r in search.search(docs, "match", only=" b ").collect()] == ["b"]
+
+
+def test_totals_of_an_empty_page(spark):
+    docs = spark.createDataFrame([("a", "match\nmatch")], "path string, text string")
+    rows = search.literal_matches(docs, "match")
+    assert [tuple(r) for r in lines.page_totals(rows, 1).collect()] == [(2, True, 1)]
+    assert [tuple(r) for r in lines.page_totals(rows, 5, 99).collect()] == [(2, False, 0)]

@@ -64,6 +64,13 @@ def page(rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0
     return part.join(F.broadcast(total)).select(*rows.columns, "total_matches", more.alias("has_more"), F.when(more, offset + limit).otherwise(0).cast("long").alias("next_offset"))
 
 
+def page_totals(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row with total_matches, has_more and next_offset of a page, also where the page itself is empty."""
+    end = max(0, limit) + max(0, offset)
+    more = F.col("total_matches") > end
+    return rows.agg(F.count("*").alias("total_matches")).select("total_matches", more.alias("has_more"), F.when(more, end).otherwise(0).cast("long").alias("next_offset"))
+
+
 def list_files(docs: DataFrame, limit: int = 50, offset: int = 0, path: str = "path") -> DataFrame:
     """A page of paths: 50 unless asked, 200 at most."""
     return page(docs.select(path), [path], 50 if limit <= 0 else min(limit, 200), offset)

@@ -87,10 +87,14 @@ def fused(hits: DataFrame, key: str = "prompt_id", k: int = TOP_K) -> DataFrame:
     return ranked(merged, [key], order, k if k > 0 else 1 << 30)
 
 
-def weak(hits: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """key and weak: whether the best hit has little similarity and little overlap. Prompts without hits have no row."""
+def weak(hits: DataFrame, prompts: DataFrame | None = None, key: str = "prompt_id") -> DataFrame:
+    """key and weak: whether the best hit has little similarity and little overlap.
+
+    Prompts (key) without hits are weak; if no prompts are given, they have no row.
+    """
     test = (F.col("similarity") < WEAK_SIMILARITY) & (F.col("overlap") < WEAK_OVERLAP)
-    return hits.where("rank = 0").select(key, test.alias("weak"))
+    found = hits.where("rank = 0").select(key, test.alias("weak"))
+    return found if prompts is None else prompts.select(key).distinct().join(found, key, "left").select(key, F.coalesce("weak", F.lit(True)).alias("weak"))
 
 
 def spread(group: pd.DataFrame, most: int) -> pd.DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
@@ -31,14 +32,16 @@ def literal(query: str) -> Column:
 
 
 def regex(pattern: str) -> Column:
-    """Case-insensitive search. Back-references and look-around are refused, as are broken patterns."""
+    """Case-insensitive search. Java's patterns, and named groups as (?P<n>...), are taken; back-references, look-around
+    and broken patterns are refused before any task runs."""
     if re.search(r"\\[1-9]|\\k<|\(\?(?:[=!>]|<[=!])", pattern):
         raise ValueError("invalid_arguments: back-references and look-around aren't supported")
+    pattern = "(?iud)" + pattern.replace("(?P<", "(?<")
     try:
-        re.compile(pattern)
-    except re.error as e:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
         raise ValueError(f"invalid_arguments: {e}") from e
-    return F.col("content").rlike("(?iud)" + pattern)
+    return F.col("content").rlike(pattern)
 
 
 def numbered(docs: DataFrame, path: str, text: str) -> DataFrame:
@@ -78,14 +81,33 @@ def matches(docs: DataFrame, query: str, mode: str = "auto", path: str = "path",
     return {"literal": literal_matches, "regex": regex_matches}.get(mode, auto_matches)(docs, query.strip(), path, text)
 
 
-def search(docs: DataFrame, query: str, mode: str = "auto", limit: int = 0, offset: int = 0, only: str | None = None, path: str = "path", text: str = "text") -> DataFrame:
-    """A page of matches: best score first, then path and line. A query for one path must not be empty."""
-    mode, limit, offset, _ = normalized(mode, limit, offset, 0)
-    if only is not None:
-        if not query.strip():
-            raise ValueError("invalid_arguments: query must not be empty")
-        docs = docs.where(F.col(path) == only.strip())
-    return page(matches(docs, query, mode, path, text), [F.col("score").desc(), F.col(path), F.col("line_no")], limit, offset)
+def restricted(docs: DataFrame, only: str | None, path: str = "path") -> DataFrame:
+    """The document of one path, or all of docs if none is named; a path that docs doesn't have is an error."""
+    if only is None:
+        return docs
+    found = docs.where(F.col(path) == only.strip())
+    if found.select(path).isEmpty():
+        raise ValueError(f"invalid_arguments: unknown path {only.strip()!r}")
+    return found
+
+
+def search(docs: DataFrame, query: str, mode: str = "auto", limit: int = 0, offset: int = 0, only: str | None = None, path: str = "path", text: str = "text", context: int = 0) -> DataFrame:
+    """A page of matches: best score first, then path and line. A query for one path must not be empty.
+
+    With context, context_before and context_after hold up to as many lines; they are cut out of the documents of the
+    page's few matches.
+    """
+    mode, limit, offset, context = normalized(mode, limit, offset, context)
+    if only is not None and not query.strip():
+        raise ValueError("invalid_arguments: query must not be empty")
+    docs = restricted(docs, only, path)
+    found = page(matches(docs, query, mode, path, text), [F.col("score").desc(), F.col(path), F.col("line_no")], limit, offset)
+    if not context:
+        return found
+    at, k = (F.col("line_no") - 1).cast("int"), F.lit(context)
+    whole = docs.select(path, F.transform(line_array(F.col(text)), content).alias("_lines")).join(F.broadcast(found), path)
+    before = F.slice("_lines", F.greatest(at - k, F.lit(0)) + 1, F.least(at, k))
+    return whole.select(*found.columns, before.alias("context_before"), F.slice("_lines", at + 2, k).alias("context_after"))
 
 
 def with_context(docs: DataFrame, keep, k: int, path: str = "path", text: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ def ask(prompts: DataFrame, chunks: DataFrame, embed: Embed, options: RetrievalO
     best = retrieval.top_k(slim, o.top_k).join(known.drop("query_vector"), "query_id").join(chunks.drop("vector"), ["path", "chunk_id"])
     hits = retrieval.fused(retrieval.reranked(best, mode=o.rerank, k=o.top_k), k=o.top_k)
     picked = retrieval.selected(hits, retrieval.spread, o.final_k)
-    return {"hits": hits, "selected": picked, "weak": retrieval.weak(hits), "citations": evidence.cited(evidence.from_hits(picked))}
+    return {"hits": hits, "selected": picked, "weak": retrieval.weak(hits, prompts), "citations": evidence.cited(evidence.from_hits(picked))}
 
 
 def map_facts(chunks: DataFrame, chat: Chat, tries: int = 4) -> DataFrame:

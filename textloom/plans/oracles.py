@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from textloom.functions.facts import BULLET, INSTRUCTION_PREFIXES, LEAD_INS, MOST_FACTS, REPORTING
 from textloom.functions.text import STOP_WORDS
-from textloom.plans.queries import AROUND, CONTEXT, FALLBACK, FIRST, LAST, LITERAL, OVERLAP, PATTERN, QUERIES_OF
+from textloom.plans.queries import AROUND, CONTEXT, FALLBACK, FIRST, LAST, LITERAL, ONE_PATH, OVERLAP, PATTERN, QUERIES_OF
 
 quoted = lambda words: ", ".join("'" + w + "'" for w in words)
 LINES = """
@@ -36,7 +36,7 @@ HITS = COSINE + f"""
 , placed AS (SELECT s.*, d.source AS path, d.text FROM sims s JOIN documents d ON d.doc_id = s.chunk_id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path, chunk_id) AS r FROM placed) WHERE r <= 8),
 asked AS (SELECT best.*, b.text AS question, query_id // {QUERIES_OF} // 5 AS prompt_id, (query_id // {QUERIES_OF}) % 5 AS query_ord, chunk_id % 3 + 1 AS start_line
-          FROM best JOIN benchmark b ON b.item_id = (query_id // {QUERIES_OF}) % 40),
+          FROM best JOIN benchmark b ON b.item_id = (query_id // {QUERIES_OF}) % (SELECT count(*) FROM benchmark)),
 worded AS (SELECT *, list_distinct({TOKENS.format('question')}) AS wanted FROM asked),
 lapped AS (SELECT *, CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda t: contains(lower(text), t))) / len(wanted)::DOUBLE ELSE 0.0 END AS overlap FROM worded),
 scored AS (SELECT *, similarity + 0.25::DOUBLE * overlap + CASE WHEN trim(question) <> '' AND contains(lower(text), lower(trim(question))) THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
@@ -72,6 +72,13 @@ ORACLES: dict[str, str] = {
     "lines_with_offsets": f"WITH {LINES} SELECT doc_id, line_no, text, CAST(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - strlen(text) - 1 AS BIGINT) AS byte_start, strlen(text) AS byte_len FROM raw_lines",
     "search_literal": f"WITH {LINES} {FOUND}",
     "search_literal_page": f"WITH {LINES}, m AS ({FOUND}) SELECT *, (SELECT count(*) FROM m) AS total_matches, (SELECT count(*) FROM m) > 15 AS has_more, CASE WHEN (SELECT count(*) FROM m) > 15 THEN 15 ELSE 0 END::BIGINT AS next_offset FROM m ORDER BY score DESC, doc_id, line_no LIMIT 10 OFFSET 5",
+    "search_overlap_page": f"""WITH {LINES}, m AS (SELECT doc_id, line_no, content, 1.0::DOUBLE AS score, 'literal_match' AS reason FROM lines WHERE contains(lower(content), '{FALLBACK}')
+        UNION ALL {overlap(FALLBACK, f"NOT EXISTS (SELECT 1 FROM lines WHERE contains(lower(content), '{FALLBACK}'))")}), p AS (SELECT * FROM m ORDER BY score DESC, doc_id, line_no LIMIT 10 OFFSET 10)
+        SELECT p.*, (SELECT count(*) FROM m) AS total_matches, (SELECT count(*) FROM m) > 20 AS has_more, CASE WHEN (SELECT count(*) FROM m) > 20 THEN 20 ELSE 0 END::BIGINT AS next_offset,
+        coalesce(b.content, '') AS context_before, coalesce(a.content, '') AS context_after FROM p LEFT JOIN lines b ON b.doc_id = p.doc_id AND b.line_no = p.line_no - 1 LEFT JOIN lines a ON a.doc_id = p.doc_id AND a.line_no = p.line_no + 1""",
+    "search_one_path": f"""WITH {LINES}, m AS (SELECT * FROM lines WHERE doc_id = (SELECT min(doc_id) FROM documents) AND regexp_matches(content, '{ONE_PATH}')), n AS (SELECT count(*) AS n FROM m)
+        SELECT doc_id, line_no, content, 1.0::DOUBLE AS score, 'regex_match' AS reason, n AS total_matches, n > 20 AS has_more, CASE WHEN n > 20 THEN 20 ELSE 0 END::BIGINT AS next_offset FROM m, n ORDER BY line_no LIMIT 20""",
+    "search_totals": f"WITH {LINES} SELECT count(*) AS total_matches, false AS has_more, 0::BIGINT AS next_offset FROM lines WHERE {literal}",
     "search_regex": f"WITH {LINES} SELECT doc_id, line_no, content, 1.0::DOUBLE AS score, 'regex_match' AS reason FROM lines WHERE regexp_matches(content, '{PATTERN}', 'i')",
     "search_token_overlap": f"WITH {LINES} {overlap(OVERLAP)}",
     "search_auto_hit": f"WITH {LINES} {FOUND} UNION ALL {overlap(LITERAL, f'NOT EXISTS (SELECT 1 FROM lines WHERE {literal})')}",

@@ -15,6 +15,7 @@ from textloom.sources import corpus
 #: What the registered searches look for.
 LITERAL, PATTERN, OVERLAP, FALLBACK = "the of", r"\bth[a-z]*tion\b", "from what is that", "zzqx from the missing"
 CONTEXT, AROUND, FIRST, LAST = 2, 3, 2, 4
+ONE_PATH = r"(?P<start>\p{L}+)"
 #: Every row whose id this divides is a query, against all rows.
 QUERIES_OF = 50
 
@@ -39,6 +40,24 @@ def search_literal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs(spark, sf_dir), LITERAL, "literal", limit=10, offset=5, path="doc_id")
 
 
+def search_overlap_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of an auto search that falls back to overlap, with a line of context on both sides."""
+    found = search.search(docs(spark, sf_dir), FALLBACK, limit=10, offset=10, path="doc_id", context=1)
+    return found.select("doc_id", "line_no", "content", "score", "reason", "total_matches", "has_more", "next_offset", F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"))
+
+
+def search_one_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in one document: that of the smallest id."""
+    own = docs(spark, sf_dir)
+    first = own.agg(F.min("doc_id")).first()[0]
+    return search.search(own, ONE_PATH, "regex", limit=20, only=str(first), path="doc_id")
+
+
+def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total of a page beyond the last match."""
+    return lines.page_totals(search.literal_matches(docs(spark, sf_dir), LITERAL, "doc_id"), 10, 10**9)
+
+
 def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.regex_matches(docs(spark, sf_dir), PATTERN, "doc_id")
 
@@ -105,8 +124,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors whose id 50 divides as queries, five to a prompt; a query's question is a benchmark item's text."""
     e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % QUERIES_OF == 0)
-    n = (F.col("vec_id") / QUERIES_OF).cast("long")
-    asked = e.select(F.col("vec_id").alias("query_id"), F.floor(n / 5).alias("prompt_id"), (n % 5).alias("query_ord"), F.col("embedding").alias("query_vector"), (n % 40).alias("item_id"))
+    n, items = (F.col("vec_id") / QUERIES_OF).cast("long"), max(1, table(spark, sf_dir, "benchmark").count())
+    asked = e.select(F.col("vec_id").alias("query_id"), F.floor(n / 5).alias("prompt_id"), (n % 5).alias("query_ord"), F.col("embedding").alias("query_vector"), (n % items).alias("item_id"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     return asked.join(b, "item_id").drop("item_id")
 
@@ -138,7 +157,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.weak(rrf(spark, sf_dir))
+    return retrieval.weak(rrf(spark, sf_dir), questions(spark, sf_dir))
 
 
 def select_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +223,7 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lines_with_offsets, search_literal, search_literal_page, search_regex, search_token_overlap, search_auto_hit, search_auto_fallback, search_context_lines,
+        lines_with_offsets, search_literal, search_literal_page, search_overlap_page, search_one_path, search_totals, search_regex, search_token_overlap, search_auto_hit, search_auto_fallback, search_context_lines,
         read_lines, read_around, list_documents_page, tokenize_distinct, approx_tokens, seed_queries, overlap_ratio, cosine_topk, heuristic_rerank, rrf_fusion, weak_gate,
         select_evidence, verification_reads, merge_ranges, subtract_ranges, evidence_sources, instruction_lines, fact_ranking, conversation_context, chunk_bytes, chunk_tokens,
     )
