@@ -36,15 +36,13 @@ def base_columns() -> list[Column]:
 
 def window_hashes(words: Column) -> Column:
     """The hashes of the 5-word windows in text order."""
-    n = F.size(words)
-    at = lambda i, k: F.get(words, i + k)
-    return F.when(
-        n >= 5,
-        F.transform(
-            F.slice(words, 1, F.greatest(n - 4, F.lit(0))),
-            lambda w, i: F.xxhash64(w, at(i, 1), at(i, 2), at(i, 3), at(i, 4)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(x: Column) -> Column:
+        at = lambda i, k: F.get(x, i + k)
+        windows = F.slice(x, 1, F.greatest(F.size(x) - 4, F.lit(0)))
+        return F.when(F.size(x) >= 5, F.transform(windows, lambda w, i: F.xxhash64(w, at(i, 1), at(i, 2), at(i, 3), at(i, 4)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, hashes)
 
 
 def covered(hashes: Column) -> Column:
