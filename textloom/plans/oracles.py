@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from textloom.functions.facts import BULLET, INSTRUCTION_PREFIXES, LEAD_INS, MOST_FACTS, REPORTING
 from textloom.functions.text import STOP_WORDS
-from textloom.plans.queries import AROUND, CONTEXT, FALLBACK, FIRST, LAST, LITERAL, ONE_PATH, OVERLAP, PATTERN, QUERIES_OF
+from textloom.operators import chunking
+from textloom.operators.chunking import CHUNK_BYTES, OVERLAP_BYTES
+from textloom.plans.queries import AROUND, CONTEXT, FALLBACK, FIRST, LAST, LITERAL, ONE_PATH, OVERLAP, PATTERN, QUERIES_OF, TOKENS_MOST, TOKENS_REQUEST
 
 quoted = lambda words: ", ".join("'" + w + "'" for w in words)
 LINES = """
@@ -63,6 +65,47 @@ gone AS (SELECT DISTINCT path, unnest(range(start_line, end_line + 1)) AS p FROM
 kept AS (SELECT *, p - row_number() OVER (PARTITION BY path, s ORDER BY p) AS run FROM points ANTI JOIN gone USING (path, p)),
 left_over AS (SELECT path, min(p) AS start_line, max(p) AS end_line FROM kept GROUP BY path, s, run)
 """
+#: Rank by rank: a hit is chosen by a rule over those chosen before it; verification goes through the ranks twice.
+CHOSEN = """WITH RECURSIVE {fused}, f AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY prompt_id) AS n FROM fused),
+walk AS (SELECT DISTINCT prompt_id, n, 0::BIGINT AS i, CAST([] AS BIGINT[]) AS chosen FROM f
+  UNION ALL SELECT w.prompt_id, w.n, w.i + 1, CASE WHEN len(w.chosen) < 4 AND {rule} THEN list_append(w.chosen, f.rank) ELSE w.chosen END
+  FROM walk w JOIN f ON f.prompt_id = w.prompt_id AND f.rank = w.i % w.n LEFT JOIN LATERAL (SELECT coalesce(bool_or({near}), false) AS near, coalesce(bool_or(c.path = f.path), false) AS same
+    FROM f c WHERE c.prompt_id = w.prompt_id AND list_contains(w.chosen, c.rank)) ON true WHERE w.i < {rounds} * w.n),
+done AS (SELECT * FROM walk WHERE i = {rounds} * n)
+"""
+SPREAD = CHOSEN.format(fused=FUSED, rounds=1, near="c.path = f.path AND abs(c.chunk_id - f.chunk_id) <= 1", rule="NOT (near AND w.n - w.i > 4 - len(w.chosen))")
+APART = CHOSEN.format(fused=FUSED, rounds=2, near="c.path = f.path AND f.start_line <= c.end_line AND c.start_line <= f.end_line", rule="NOT near AND (w.i >= w.n OR NOT same)")
+#: Chunk by chunk: where one starts decides where it ends and where the next one starts; longer lines are cut by characters.
+BYTES = f"""WITH RECURSIVE {LINES},
+sized AS (SELECT *, strlen(text) + CASE WHEN line_no < max(line_no) OVER (PARTITION BY doc_id) OR (SELECT ends_with(d.text, chr(10)) FROM documents d WHERE d.doc_id = raw_lines.doc_id) THEN 1 ELSE 0 END AS n FROM raw_lines),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS e FROM sized),
+whole AS MATERIALIZED (SELECT doc_id, list(text ORDER BY line_no) AS a, list_prepend(0, list(e ORDER BY line_no)) AS e FROM summed GROUP BY doc_id),
+walk AS (SELECT doc_id, 0::BIGINT AS s, 0::BIGINT AS b, 0::BIGINT AS t FROM whole
+  UNION ALL SELECT doc_id, t, b2, CASE WHEN b2 = t THEN t + 1 WHEN b2 = last THEN last WHEN back > t THEN back ELSE b2 END
+  FROM (SELECT *, len(list_filter(e, lambda x: x <= e[b2 + 1] - {OVERLAP_BYTES})) - 1 AS back FROM (SELECT w.doc_id, w.t, o.e, len(o.a) AS last, len(list_filter(o.e, lambda x: x <= o.e[w.t + 1] + {CHUNK_BYTES})) - 1 AS b2
+  FROM walk w JOIN whole o USING (doc_id) WHERE w.t < len(o.a)))),
+starts AS (SELECT doc_id, s, b FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, b, t) AS k FROM walk) WHERE k > 1),
+long AS (SELECT doc_id, s, a[s + 1] AS line, e[s + 1] AS off FROM starts JOIN whole USING (doc_id) WHERE b = s),
+letters AS (SELECT doc_id, s, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, s, regexp_extract_all(line, '(?s).') AS x FROM long)),
+marks AS MATERIALIZED (SELECT doc_id, s, list_prepend(0, list(n ORDER BY i)) AS n FROM (SELECT doc_id, s, i, sum(strlen(c)) OVER (PARTITION BY doc_id, s ORDER BY i)::BIGINT AS n FROM letters) GROUP BY ALL),
+cuts AS (SELECT doc_id, s, -1::BIGINT AS p, 0::BIGINT AS q, 0::BIGINT AS t FROM marks
+  UNION ALL SELECT doc_id, s, t, q2, CASE WHEN q2 = len(n) - 1 THEN q2 ELSE t + len(list_filter(n[t + 1:t + {CHUNK_BYTES} + 1], lambda x: x <= n[t + 1] + {CHUNK_BYTES - OVERLAP_BYTES})) - 1 END
+  FROM (SELECT c.*, m.n, c.t + len(list_filter(m.n[c.t + 1:c.t + {CHUNK_BYTES} + 1], lambda x: x <= m.n[c.t + 1] + {CHUNK_BYTES})) - 1 AS q2 FROM cuts c JOIN marks m USING (doc_id, s) WHERE c.t < len(m.n) - 1)),
+chunks AS (SELECT doc_id, s, 0 AS p, s + 1 AS start_line, b AS end_line, e[s + 1] AS byte_offset, array_to_string(a[s + 1:b], chr(10)) AS text FROM starts JOIN whole USING (doc_id) WHERE b > s
+  UNION ALL SELECT doc_id, s, p, s + 1, s + 1, off + n[p + 1], substring(line, p + 1, q - p) FROM cuts JOIN marks USING (doc_id, s) JOIN long USING (doc_id, s) WHERE p >= 0)
+"""
+TOKEN_CHARS = (chunking.budget(TOKENS_MOST) - TOKENS_REQUEST) * chunking.CHARS
+PIECES = f"""WITH RECURSIVE {LINES},
+bare AS (SELECT doc_id, line_no, CASE WHEN ends_with(text, chr(13)) THEN text[1:length(text) - 1] ELSE text END AS text FROM raw_lines),
+summed AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS e FROM bare),
+whole AS MATERIALIZED (SELECT doc_id, list(text ORDER BY line_no) AS a, list_prepend(0, list(e ORDER BY line_no)) AS e, list(line_no - 1 ORDER BY line_no) FILTER (text <> '') AS filled FROM summed GROUP BY doc_id),
+walk AS (SELECT doc_id, 0::BIGINT AS s, 0::BIGINT AS b, 0::BIGINT AS t FROM whole
+  UNION ALL SELECT doc_id, s2, b2, greatest(b2, s2 + 1) FROM (SELECT *, len(list_filter(e, lambda x: x <= e[s2 + 1] + {TOKEN_CHARS} + 1)) - 1 AS b2
+  FROM (SELECT w.doc_id, o.e, list_min(list_filter(o.filled, lambda x: x >= w.t)) AS s2 FROM walk w JOIN whole o USING (doc_id)) WHERE s2 IS NOT NULL)),
+starts AS (SELECT doc_id, s, b FROM walk WHERE t > 0),
+chunks AS (SELECT doc_id, s, 0::BIGINT AS p, array_to_string(a[s + 1:b], chr(10)) AS text FROM starts JOIN whole USING (doc_id) WHERE b > s
+  UNION ALL SELECT doc_id, s, p, substring(a[s + 1], p + 1, {TOKEN_CHARS}) FROM (SELECT *, unnest(range(0, length(a[s + 1]), {TOKEN_CHARS})) AS p FROM starts JOIN whole USING (doc_id) WHERE b = s))
+"""
 SPAN = "string_agg(CASE WHEN start_line = end_line THEN CAST(start_line AS VARCHAR) ELSE start_line || '-' || end_line END, ', ' ORDER BY start_line, end_line)"
 starts = lambda c, words: "(" + " OR ".join(f"starts_with({c}, '{w}')" for w in words) + ")"
 holds = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
@@ -102,6 +145,14 @@ ORACLES: dict[str, str] = {
     "heuristic_rerank": f"WITH {HITS} SELECT query_id, path, chunk_id, similarity, overlap, round(score, 9) AS score, rank FROM hits",
     "rrf_fusion": f"WITH {FUSED} SELECT prompt_id, path, chunk_id, round(score, 12) AS score, similarity, overlap, start_line, end_line, rank FROM fused",
     "weak_gate": f"WITH {FUSED} SELECT prompt_id, similarity < 0.18 AND overlap < 0.1 AS weak FROM fused WHERE rank = 0",
+    "select_evidence": f"""{SPREAD}, picks AS (SELECT f.*, CASE WHEN list_contains(chosen, rank) THEN list_position(chosen, rank) - 1 ELSE len(chosen) + rank - len(list_filter(chosen, lambda c: c < rank)) END AS pick FROM f JOIN done USING (prompt_id))
+        SELECT prompt_id, path, chunk_id, pick::BIGINT AS pick FROM picks WHERE pick < 4""",
+    "verification_reads": f"""{APART}, picks AS (SELECT f.*, list_position(chosen, rank) - 1 AS pick, end_line - start_line + 1 AS size FROM f JOIN done USING (prompt_id) WHERE list_contains(chosen, rank))
+        SELECT prompt_id, path, chunk_id, pick::BIGINT AS pick, CASE WHEN size <= 40 THEN 'read_lines' ELSE 'read_around' END AS tool,
+        CASE WHEN size <= 40 THEN start_line ELSE greatest(1, start_line + size // 2 - 20) END AS read_start, CASE WHEN size <= 40 THEN end_line ELSE start_line + size // 2 + 20 END AS read_end FROM picks""",
+    "chunk_bytes": f"{BYTES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, p, end_line DESC) - 1 AS chunk_id, start_line, end_line, byte_offset, sha256(text) AS text_sha256 FROM chunks",
+    "chunk_tokens": f"""{PIECES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, p) - 1 AS chunk_id, (length(text) + 2) // 3 AS token_count, strlen(text) AS byte_count,
+        {TOKENS_REQUEST} + (length(text) + 2) // 3 AS request_tokens, sha256(text) AS text_sha256 FROM chunks""",
     "merge_ranges": f"WITH {RANGES} SELECT * FROM merged",
     "subtract_ranges": f"WITH {LEFT} SELECT * FROM left_over",
     "evidence_sources": f"WITH {LEFT} SELECT 'verified' AS kind, path, {SPAN} AS lines FROM merged WHERE kind = 'verified' GROUP BY path UNION ALL SELECT 'retrieved', path, {SPAN} FROM left_over GROUP BY path",

@@ -16,6 +16,8 @@ from textloom.sources import corpus
 LITERAL, PATTERN, OVERLAP, FALLBACK = "the of", r"\bth[a-z]*tion\b", "from what is that", "zzqx from the missing"
 CONTEXT, AROUND, FIRST, LAST = 2, 3, 2, 4
 ONE_PATH = r"(?P<start>\p{L}+)"
+#: Tokens of a model's context, and of a request without its chunk.
+TOKENS_MOST, TOKENS_REQUEST = 1000, 80
 #: Every row whose id this divides is a query, against all rows.
 QUERIES_OF = 50
 
@@ -217,7 +219,7 @@ def chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_by_tokens(docs(spark, sf_dir), 1000, 80, path="doc_id").select("doc_id", "chunk_id", "token_count", "byte_count", "request_tokens", F.sha2("text", 256).alias("text_sha256"))
+    return chunking.chunk_by_tokens(docs(spark, sf_dir), TOKENS_MOST, TOKENS_REQUEST, path="doc_id").select("doc_id", "chunk_id", "token_count", "byte_count", "request_tokens", F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
