@@ -48,6 +48,29 @@ def test_ranges_as_points(spark):
     assert left == {p: x for p, x in want.items() if x}
 
 
+def test_source_lists(spark):
+    df = spark.createDataFrame([(1, "retrieved", "b", 1, 5), (1, "verified", "b", 2, 3), (1, "retrieved", "a", 8, 8), (2, "retrieved", "b", 4, 4)], "prompt_id int, kind string, path string, start_line long, end_line long")
+    cited = evidence.cited(df, ("prompt_id",))
+    assert rows(evidence.source_list(cited, "prompt_id")) == [(1, "Verified:\n\n- b:\n  2-3\n\nRetrieved:\n\n- a:\n  8\n- b:\n  1, 4-5"), (2, "Retrieved:\n\n- b:\n  4")]
+    assert rows(evidence.source_list(cited.where("prompt_id = 2"), "prompt_id", headed=False)) == [(2, "- b:\n  4")]
+    texts = spark.createDataFrame([(" yes ", None), ("no", ""), ("x", "- a:\n  1")], "a string, s string").select(evidence.with_sources(F.col("a"), F.col("s")))
+    assert rows(texts) == [("no\n\nSources:\n\n- none",), ("x\n\nSources:\n\n- a:\n  1",), ("yes\n\nSources:\n\n- none",)]
+
+
+def test_evidence_of_matches_reads_and_files(spark):
+    df = spark.createDataFrame([("a", 3, 2, 9)], "path string, line_no long, read_start long, read_end long")
+    assert rows(evidence.from_matches(df)) == [("verified", "a", 3, 3)] and rows(evidence.from_reads(df)) == [("verified", "a", 2, 9)]
+    files = spark.createDataFrame([("a", "x\r\ny\n"), ("b", ""), ("c", None), ("d", "one")], "path string, text string")
+    assert rows(evidence.whole_files(files)) == [("retrieved", "a", 1, 3), ("retrieved", "d", 1, 1)]
+
+
+def test_history_and_query_context(spark):
+    turns = spark.createDataFrame([(1, 0, "first"), (1, 1, ""), (1, 2, "third"), (2, 0, "other")], "conv int, turn int, question string")
+    got = retrieval.with_history(turns, "conv", "turn").select("conv", "turn", "history", retrieval.query_context(F.col("history"), F.col("question")))
+    assert rows(got)[2] == (1, 2, ["first"], "Earlier questions:\n- first\n\nQuestion: third")
+    assert [r[3] for r in rows(got.where("turn = 0"))] == ["first", "other"]
+
+
 def test_novel(spark):
     seen = spark.createDataFrame([("a", 1)], "path string, line_no int")
     assert rows(evidence.novel(spark.createDataFrame([("a", 1), ("a", 2)], "path string, line_no int"), seen, ["path", "line_no"])) == [("a", 2)]

@@ -20,11 +20,19 @@ def found(df):
 
 
 def test_lines(docs):
-    got = lines.with_offsets(lines.lines(docs)).where("path = 'b.txt'").orderBy("line_no").collect()
+    got = lines.lines_with_offsets(docs).where("path = 'b.txt'").orderBy("line_no").collect()
     assert [(r["line_no"], r["text"], r["byte_start"], r["byte_len"]) for r in got] == [(1, "zero", 0, 4), (2, "one match", 5, 9), (3, "two\r", 15, 4)]
     assert lines.lines(docs).where("path IN ('c.txt', 'd.txt')").count() == 0
 
 
+def test_offsets_of_many_lines(spark):
+    texts = ["", "\n\nx\n", "äö\n" * 1000 + "end", "\n".join("w" * (k % 7) for k in range(513)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    want = [(k, i + 1, sum(len(x.encode()) + 1 for x in t.split("\n")[:i])) for k, t in enumerate(texts) if t for i, _ in enumerate(t.removesuffix("\n").split("\n"))]
+    got = sorted((r["path"], r["line_no"], r["byte_start"]) for r in lines.lines_with_offsets(df).collect())
+    assert [g for g in got if g[0] != 2] == [w for w in want if w[0] != 2] and [g for g in got if g[0] == 2] == [(2, i + 1, 5 * i) for i in range(1001)]
+
+
 def test_regex_and_literal(docs):
     assert found(search.regex_matches(docs, "текстом$")) == [("a.txt", 2), ("a.txt", 4)]
     assert found(search.literal_matches(docs, "СТРОКА")) == [("a.txt", 1), ("a.txt", 3), ("a.txt", 5)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 
 def line_array(text: Column) -> Column:
     """The lines of a text: no line after a last newline, none in an empty text."""
@@ -25,11 +27,23 @@ def lines(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     )
 
 
-def with_offsets(rows: DataFrame, path: str = "path") -> DataFrame:
-    """Lines with byte_start and byte_len, in bytes of UTF-8; newlines count to the offsets only."""
-    size = F.octet_length("text").cast("long")
-    before = Window.partitionBy(path).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("*", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).alias("byte_start"), size.alias("byte_len"))
+def sums_before(sizes: Column) -> Column:
+    """For each size of an array the sum of those before it, inside the row: sums over 1, 2, 4 ... sizes, doubled while
+    the array is longer."""
+    steps = lambda x: F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < F.size(x))
+    add = lambda acc, p: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - p), F.lit(0)))
+    return let(sizes, lambda x: F.transform(F.aggregate(steps(x), x, add), lambda v, i: v - F.get(x, i)))
+
+
+def lines_with_offsets(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path, line_no, text, byte_start and byte_len of each line, in bytes of UTF-8; newlines count to the offsets only.
+
+    Offsets are summed in the document's own row, without a shuffle.
+    """
+    rows = docs.select(path, line_array(F.col(text)).alias("_lines"))
+    starts = sums_before(F.transform("_lines", lambda x: (F.octet_length(x) + 1).cast("long")))
+    each = rows.select(path, F.posexplode(F.arrays_zip(F.col("_lines").alias("x"), starts.alias("b"))).alias("_at", "_z"))
+    return each.select(path, (F.col("_at") + 1).cast("long").alias("line_no"), F.col("_z.x").alias("text"), F.col("_z.b").alias("byte_start"), F.octet_length("_z.x").cast("long").alias("byte_len"))
 
 
 def read_lines(docs: DataFrame, start: Column | int, end: Column | int, path: str = "path", text: str = "text") -> DataFrame:

@@ -97,6 +97,21 @@ def weak(hits: DataFrame, prompts: DataFrame | None = None, key: str = "prompt_i
     return found if prompts is None else prompts.select(key).distinct().join(found, key, "left").select(key, F.coalesce("weak", F.lit(True)).alias("weak"))
 
 
+def with_history(turns: DataFrame, by: str, order: str, question: str = "question") -> DataFrame:
+    """turns with history: the questions before it in its conversation, in order, without blank ones.
+
+    What a turn returns grows with its conversation, as the follow-up search asks for all earlier questions.
+    """
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("history", F.array_remove(F.collect_list(question).over(before), ""))
+
+
+def query_context(history: Column, question: Column) -> Column:
+    """What a follow-up question is searched by: the earlier questions and itself; alone it is searched as it is."""
+    current = tx.trimmed(question)
+    return F.when(F.size(history) == 0, current).otherwise(F.concat(F.lit("Earlier questions:\n- "), F.array_join(history, "\n- "), F.lit("\n\nQuestion: "), current))
+
+
 def spread(group: pd.DataFrame, most: int) -> pd.DataFrame:
     """Ranked hits of a prompt, ``most`` of them: neighbours of chosen chunks wait while enough others are left."""
     rows = list(group.sort_values("rank").itertuples())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import facts as fx
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.with_offsets(lines.lines(docs(spark, sf_dir), "doc_id"), "doc_id")
+    return lines.lines_with_offsets(docs(spark, sf_dir), "doc_id")
 
 
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,10 +208,8 @@ def fact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question of a conversation with the questions before it, in order."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", tx.trimmed(F.col("text")).alias("question"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    history = F.array_remove(F.collect_list("question").over(before), "")
-    return turns.select("conv_id", "turn", "question", F.array_join(history, "\n- ").alias("history"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", tx.trimmed(F.col("text")).alias("question"))
+    return retrieval.with_history(asked, "conv_id", "turn").select("conv_id", "turn", "question", F.array_join("history", "\n- ").alias("history"))
 
 
 def chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
