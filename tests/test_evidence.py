@@ -124,3 +124,27 @@ def test_index(spark, tmp_path):
         index.write_index(chunks, base, "h", "m", 1800, 200)
     assert index.load_index(spark, base, "h").count() == 2
     assert index.load_index(spark, base, "h", timedelta(0)) is None and index.load_index(spark, base, "other") is None
+
+
+def test_index_race_and_clearing(spark, tmp_path):
+    base, chunks = str(tmp_path), spark.createDataFrame([("a", 0)], "path string, chunk_id int")
+
+    def slower():
+        index.write_index(chunks, base, "h", "m", 1800, 200)
+        return chunks.union(chunks)
+
+    assert index.build_or_load(spark, base, "h", slower, "m", 1800, 200).count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["h"]
+    (tmp_path / "own").mkdir()
+    assert index.clear_indexes(spark, base) == [] and index.clear_indexes(spark, f"{base}/none") == []
+    assert index.clear_indexes(spark, base, timedelta(seconds=-60)) == ["h"]
+    assert [p.name for p in tmp_path.iterdir()] == ["own"]
+
+
+def test_names_and_aliases(spark):
+    named = lambda *paths: [r["path"] for r in corpus.disambiguated(spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, full int"), "full").orderBy("full").collect()]
+    assert named("a", "a#2", "a", "b", "a") == ["a", "a#2", "a#3", "b", "a#4"]
+    assert named("a", "a", "a#2") == ["a", "a#2", "a#2#2"]
+    one = spark.createDataFrame([("notes.txt", "dir/notes.txt")], "path string, source string")
+    known = lambda name: one.where(corpus.alias(name, F.col("path"), F.col("source"))).count()
+    assert [known(n) for n in ("", " notes.txt ", "dir/notes.txt", "other", "dir")] == [1, 1, 1, 0, 0]

@@ -82,8 +82,8 @@ def matches(docs: DataFrame, query: str, mode: str = "auto", path: str = "path",
 
 
 def restricted(docs: DataFrame, only: str | None, path: str = "path") -> DataFrame:
-    """The document of one path, or all of docs if none is named; a path that docs doesn't have is an error."""
-    if only is None:
+    """The document of one path, or all of docs if none or a blank one is named; a path that docs doesn't have is an error."""
+    if only is None or not only.strip():
         return docs
     found = docs.where(F.col(path) == only.strip())
     if found.select(path).isEmpty():

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a file that tell text from binary.
@@ -50,9 +51,35 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def disambiguated(docs: DataFrame, order: str) -> DataFrame:
-    """docs with repeated paths told apart: the second is path#2, the third path#3."""
-    n = F.row_number().over(Window.partitionBy("path").orderBy(order))
-    return docs.withColumn("_n", n).withColumn("path", F.when(F.col("_n") > 1, F.concat("path", F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col("path"))).drop("_n")
+    """docs with repeated paths told apart in order of a unique column: the second is path#2, the third path#3; taken names are skipped.
+
+    Names can only meet where they are the same without their numbers; texts don't go with them.
+    """
+
+    def named(group: pd.DataFrame) -> pd.DataFrame:
+        used: dict[str, int] = {}
+        names = []
+        for path in group.sort_values("_order")["path"]:
+            name, k = path, used.get(path, 0)
+            while name in used:
+                k += 1
+                name = f"{path}#{k}"
+            if name != path:
+                used[path] = k
+            used[name] = 1
+            names.append(name)
+        return pd.DataFrame({"_order": group["_order"].sort_values(), "_name": names})
+
+    keys = docs.select(F.col(order).alias("_order"), "path")
+    family = keys.withColumn("_root", F.regexp_replace("path", r"(#[0-9]+)+$", "")).groupBy("_root")
+    names = family.applyInPandas(named, keys.select("_order", F.col("path").alias("_name")).schema)
+    return docs.join(names, F.col(order) == F.col("_order")).withColumn("path", F.col("_name")).drop("_order", "_name")
+
+
+def alias(only: str, path: Column, source: Column) -> Column:
+    """Whether a name stands for a single file: its path, the name it was opened by, or the last part of that."""
+    name = only.strip()
+    return F.lit(not name) | (path == name) | (source == name) | (F.element_at(F.split(source, "/"), -1) == name)
 
 
 def entry(path: Column, text: Column) -> Column:

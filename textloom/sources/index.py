@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +19,51 @@ class IndexExists(ValueError):
     """The index is there already."""
 
 
+class IndexBroken(RuntimeError):
+    """The index can't be read although it was just written, by this or another writer."""
+
+
+def files_of(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and the folder's path in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def write_index(chunks: DataFrame, base: str, input_hash: str, model: str, size: int, overlap: int) -> None:
-    """Writes the chunks, then the manifest: an index without a manifest isn't there."""
+    """Writes chunks and manifest beside the index's place and moves them there at once; raises if another writer was first."""
     spark = chunks.sparkSession
     if read_manifest(spark, base, input_hash) is not None:
         raise IndexExists(input_hash)
-    folder = f"{base.rstrip('/')}/{input_hash}"
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    n = spark.read.parquet(f"{folder}/chunks").count()
-    row = (VERSION, datetime.now(timezone.utc), input_hash, model, size, overlap, n)
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    draft, folder = f"{base.rstrip('/')}/{input_hash}.{uuid4().hex}", f"{base.rstrip('/')}/{input_hash}"
+    fs, target = files_of(spark, folder)
+    source = files_of(spark, draft)[1]
+    try:
+        chunks.write.parquet(f"{draft}/chunks")
+        n = spark.read.parquet(f"{draft}/chunks").count()
+        row = (VERSION, datetime.now(timezone.utc), input_hash, model, size, overlap, n)
+        spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{draft}/manifest")
+        if fs.exists(target) or not fs.rename(source, target):
+            raise IndexExists(input_hash)
+    finally:
+        fs.delete(source, True)
+
+
+def clear_indexes(spark: SparkSession, base: str, ttl: timedelta = TTL) -> list[str]:
+    """Deletes the indexes below base, whole ones and drafts, that were last changed longer ago than ttl; returns their names.
+
+    Folders that aren't indexes are left alone.
+    """
+    fs, top = files_of(spark, base)
+    if not fs.exists(top):
+        return []
+    below = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    oldest, gone = (datetime.now(timezone.utc) - ttl).timestamp() * 1000, []
+    for status in fs.listStatus(top):
+        here = status.getPath()
+        ours = status.isDirectory() and any(fs.exists(below(here, p)) for p in ("manifest", "chunks"))
+        if ours and status.getModificationTime() < oldest and fs.delete(here, True):
+            gone.append(here.getName())
+    return sorted(gone)
 
 
 def read_manifest(spark: SparkSession, base: str, input_hash: str):
@@ -55,10 +91,15 @@ def build_or_load(spark: SparkSession, base: str, input_hash: str, build: Callab
     """The index's chunks, built and written if it isn't there, stale or broken."""
     found = load_index(spark, base, input_hash, ttl)
     if found is None:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{input_hash}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        write_index(build(), base, input_hash, model, size, overlap)
+        fs, folder = files_of(spark, f"{base.rstrip('/')}/{input_hash}")
+        fs.delete(folder, True)
+        try:
+            write_index(build(), base, input_hash, model, size, overlap)
+        except IndexExists:  # another writer was faster: its index is as good
+            pass
         found = load_index(spark, base, input_hash, ttl)
+        if found is None:
+            raise IndexBroken(input_hash)
     return found
 
 
