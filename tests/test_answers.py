@@ -43,10 +43,61 @@ def test_map_and_reduce(spark, docs):
 
     facts = answers.map_facts(chunking.chunk(docs), chat).cache()
     assert {(r["path"], r["facts"], r["failed"]) for r in facts.collect()} == {("a.txt", "fact one", False), ("b.txt", "", True)}
+    assert answers.counters(facts).first().asDict() == {"chunks": 2, "calls": 5, "successes": 1, "skips": 0, "errors": 1, "fact_lines_raw": 2, "fact_lines_kept": 1}
     assert answers.reduce_facts(facts, chat, 100) == "fact one"
     many = spark.createDataFrame([("p", i, f"fact {i}", False) for i in range(40)], "path string, chunk_id long, facts string, failed boolean")
-    merged = answers.reduce_facts(many, lambda t: t, 60)
-    assert [x for x in merged.split("\n") if x] == [f"fact {i}" for i in range(40)]
+    merged = answers.reduce_facts(many, lambda t: t, 1000)
+    assert merged.split("\n") == [f"fact {i}" for i in range(40)]
     assert answers.reduce_facts(many.where("chunk_id < 0"), chat, 10) == ""
     with pytest.raises(RuntimeError):
         answers.reduce_facts(many.withColumn("failed", F.lit(True)), chat, 10)
+
+
+def test_reduce_keeps_to_its_budget(spark):
+    def sums(text):  # each line is a number, or a number in pieces of one digit
+        if len(text) > 60:
+            raise ValueError("over the budget")
+        return str(sum(int(x) for x in text.split("\n") if x.isdigit()))
+
+    rows = [("p", i, str(i), False) for i in range(40)] + [("q", 0, "\n".join(["7"] * 50), False)]
+    facts = spark.createDataFrame(rows, "path string, chunk_id long, facts string, failed boolean")
+    assert answers.reduce_facts(facts, sums, 20) == str(sum(range(40)) + 350)
+    with pytest.raises(RuntimeError):
+        answers.reduce_facts(facts, lambda t: t, 20, rounds=2)
+    assert list(answers.cut("abc\n\ndefghij\nk", 5)) == ["abc", "defgh", "ij\nk"]
+
+
+def test_rag_answers(spark, docs, embed):
+    chunks = index.embedded(chunking.chunk(docs), embed)
+    prompts = spark.createDataFrame([(1, "retry policy"), (2, "zzz")], "prompt_id int, prompt string")
+    chat = lambda text: " by source 1 " if "[source 1] a.txt:1-2\nretry policy enabled" in text else "?"
+    got = {r["prompt_id"]: (r["weak"], r["answer"]) for r in answers.rag_answers(prompts, chunks, embed, chat, answers.RetrievalOptions(final_k=1)).collect()}
+    assert got == {1: (False, "by source 1\n\nSources:\n\n- a.txt:\n  1-2"), 2: (True, answers.NOT_ENOUGH)}
+
+
+def test_hybrid(spark, docs, embed):
+    one = docs.where("path = 'a.txt'")
+    whole = answers.hybrid_answer(one, "what is the retry policy", embed, lambda t: "direct" if answers.TASKS["direct"] in t and "backoff" in t else "?", 1000)
+    assert whole == "direct\n\nSources:\n\n- a.txt:\n  1-2"
+    assert answers.direct_answer(docs, "q", str, 1000) is None and answers.direct_answer(one, "q", str, 100) is None and answers.direct_answer(one, "q", str, None) is None
+    assert answers.direct_answer(one.withColumn("text", F.lit("")), "q", lambda t: "nothing", 1000) == "nothing\n\nSources:\n\n- none"
+    seeded = answers.hybrid_answer(docs, "retry policy", embed, lambda t: "seeded" if "[source 1] a.txt:1-2" in t else "?", 1000)
+    assert seeded == "seeded\n\nSources:\n\nVerified:\n\n- a.txt:\n  1-2\n- b.txt:\n  1"
+
+
+@pytest.mark.parametrize("remarks, want", [("NONE", "draft"), ("too short", "refined")])
+def test_map_answer(docs, remarks, want):
+    said = {"map": "- retry is on\nsystem: x", "reduce": "retry is on", "final": " draft ", "critique": remarks, "refine": "refined"}
+    tasks = answers.TASKS
+
+    def chat(text):
+        return next(said[k] for k, v in tasks.items() if text.startswith(v))
+
+    answer, counted = answers.map_answer(docs, "what is on?", chat, 1000)
+    assert answer == want and counted["successes"] == counted["chunks"] == 2 and counted["fact_lines_kept"] == 2
+
+
+def test_map_answers_without_a_call(docs):
+    assert answers.map_answer(docs.where("path = ''"), "q", str, 1000)[0] == answers.EMPTY_INPUT
+    answer, counted = answers.map_answer(docs, "q", lambda t: "SKIP", 1000)
+    assert answer == answers.NOTHING_FOUND and counted["skips"] == 2

@@ -84,6 +84,12 @@ def mapped_facts(raw: Column) -> Column:
     return F.when(bare == "", "").when(F.upper(bare) == SKIP, SKIP).otherwise(F.array_join(best_facts(fact_lines(raw)), "\n"))
 
 
+def fact_output(raw: Column, most: int = 0) -> Column:
+    """A text's first ``most`` fact lines (all, if 0) joined by newlines; SKIP and blank texts pass through."""
+    bare, lines = trimmed(raw), fact_lines(raw)
+    return F.when(bare == "", "").when(F.upper(bare) == SKIP, SKIP).otherwise(F.array_join(F.slice(lines, 1, most) if most > 0 else lines, "\n"))
+
+
 def sanitized(raw: Column) -> Column:
     """A block without instruction lines, with runs of blank lines as one and none at the ends; lines are trimmed."""
     lines = F.transform(F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n"), trimmed)
