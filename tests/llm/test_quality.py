@@ -1,10 +1,13 @@
 """The classifier by held-out accuracy, the rules against plain Python."""
 
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from textloom.llm import quality_classifier as qc
@@ -28,6 +31,35 @@ def test_additive_model_learns_pairs():
     assert ((p > 0.5) == (y > 0)).mean() > 0.9
 
 
+def plain_features(text):
+    text = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x]
+    chars, n = max(1, len(text)), max(1, len(words))
+    held = lambda pattern: len(regex.findall(pattern, text))
+    return {
+        "words": math.log1p(len(words)), "word_length": sum(map(len, words)) / n, "distinct_words": len(set(words)) / n,
+        "symbols": held(r"[#*$%&<>@^~_=+\\/]") / chars, "bars": text.count("|") / chars, "shouts": text.count("!") / chars,
+        "stops": text.count(".") / n, "commas": text.count(",") / n, "upper": held(r"\p{Lu}") / chars, "digits": held("[0-9]") / chars,
+        "other": held(r"[^\p{L}\x20\x09-\x0D.,]") / chars, "line_words": math.log1p(n / max(1, len(lines))), "distinct_lines": len(set(lines)) / max(1, len(lines)),
+    }
+
+
+def plain_score(model, text):
+    """The score of a text, feature by feature and pair by pair."""
+    x = list(plain_features(text).values())
+    total = model.intercept + sum(t[bisect_right(list(e), v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+    total += sum(t[bisect_right(list(a), x[i]), bisect_right(list(b), x[j])] for i, j, a, b, t in model.pairs)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def test_scores_against_plain_python(documents, clashing, labels):
+    model = qc.train(documents, labels)
+    assert model.pairs and list(qc.features()) == list(plain_features(""))
+    for df in (documents, clashing):
+        for r in qc.score(df, model, "text").collect():
+            assert abs(r["score"] - plain_score(model, r["text"])) < 1e-9, r["text"]
+
+
 def test_one_label_and_no_rows():
     assert (qc.fit(np.zeros((3, 2)), np.ones(3)).score(np.zeros((2, 2))) == 0.8).all()
     assert (qc.fit(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((2, 2))) == 0.5).all()
