@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprints, html_text, jaccard, line_dedup, mixing, oracles, periodic_runs, quality_classifier, quality_rules, sharding, token_alignment, token_counts
+from textloom.llm import bpe, fingerprints, html_text, jaccard, line_dedup, mixing, oracles, periodic_runs, quality_classifier, quality_rules, sharding, token_alignment, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html_text.op8_html_text,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_toxicity": toxicity.op11_toxicity,
         "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
