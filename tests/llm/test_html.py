@@ -3,7 +3,9 @@
 import html
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import html_text
@@ -116,3 +118,23 @@ def test_template_texts_against_all_vectors(spark):
     (row,) = html_text.templates(df).collect()
     wanted = {html_text.text_key(path, text) for path, text in brute_template(pages)}
     assert wanted and set(row["same"]) == wanted and row["mains"] == [">html>body>article"]
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden gem"', 'data-role="form"', "data-hidden", 'class="x" data-id=\'role="menu"\'', "title=hidden", 'data-class="comments"', 'alt="a>b" role="article"'])
+def test_attributes_count_by_their_whole_names(attributes):
+    assert html_text.extracted(f"<article><p>one two</p><div {attributes}><p>Hello text three</p></div></article>", []) == "one two Hello text three"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', "hidden='until-found'", 'aria-hidden="true"', 'role="menu"', "class=comments", 'id="x" class="a comments b"'])
+def test_attributes_that_tell_boilerplate(attributes):
+    assert html_text.extracted(f"<article><p>one two</p><div {attributes}><p>Hello text three</p></div></article>", []) == "one two"
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<div>" * 20_000 + "in" + "</div>" * 20_000, "in"), ("<div>" * 20_000 + "x", "x"), ("<div>" * 10_000 + "</section>" * 10_000 + "x", "x"), ("<a " * 20_000, " ".join(["<a"] * 20_000)), ("<a " * 20_000 + "<p>x", None), ("<!x " * 20_000, None), ("<div class=\"" * 20_000 + "<p>x", None),
+    ("<p>" * 20_000 + "x", "x"), ("".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}>t{i}</div>" for i in range(5000)), " ".join(f"t{i}" for i in range(5000))), ("".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26)}>" for i in range(600)) + "deep", "deep"), ("<script>" * 20_000, ""), ("a <!-- b > c", "a"),
+])
+def test_odd_markup_is_read_in_linear_time(page, text):
+    began = time.perf_counter()
+    got = html_text.extracted(page, [])
+    assert time.perf_counter() - began < 5 and (text is None or got == text)  # a second on an idle machine

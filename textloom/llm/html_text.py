@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -53,8 +54,11 @@ MARKED = frozenset(["article", "main"])
 #: The first character of tokens that are texts; the text's hash in 16 digits and its path follow.
 TEXT = "\x01"
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Containers deeper than this count as the one at this depth, as in browsers; their texts stay.
+MOST_DEEP = 256
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[A-Za-z]+")
 
 
@@ -68,19 +72,23 @@ class Block:
 
 
 def boilerplate(tag: str, attributes: str, inside_marked: bool) -> tuple[str, bool]:
-    """The element's name with its class words, and whether its tag, role or state makes it boilerplate."""
+    """The element's name with its class words, and whether its tag, role or state makes it boilerplate.
+
+    Attributes count by their whole names: hidden, whatever its value, and aria-hidden="true" hide an element.
+    """
     named, bad = [], tag in BOILERPLATE_TAGS or (tag == "header" and not inside_marked)
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
-        value = (a or b or c).lower()
-        if name.lower() == "role":
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if name == "role":
             bad |= value in BOILERPLATE_ROLES
-        elif name.lower() == "hidden":
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             bad = True
-        else:
+        elif name in ("class", "id"):
             named += WORDS.findall(value)
     return ".".join([tag, *dict.fromkeys(named)]), bad and tag not in ("html", "body", "article", "main")
 
 
+@lru_cache(256)
 def parents(path: str) -> list[str]:
     """The paths of the containers of a path, from the outermost to itself."""
     return [path[:i] for i in (m.start() for m in re.finditer(">", path)) if i] + [path] * bool(path)
@@ -95,15 +103,21 @@ def named_slot(path: str) -> bool:
 def parsed(page: str) -> tuple[list[str], list[Block]]:
     """The structural tokens in page order, and the blocks of text with the path that each stands in.
 
-    Missing end tags are made up at the container's end; end tags that nothing opened are skipped.
+    Missing end tags are made up at the container's end; end tags that nothing opened are skipped. What begins like a tag
+    and isn't ended before the next one is text. The work is linear in the page's length.
     """
     tokens: list[str] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, boilerplate, marked
+    opened: dict[str, int] = {}
     path, bad, marked = "", False, False
     block = Block("", False, False)
     blocks = [block]
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
+        if at > last:  # no tag can end any more
+            rest = page[at:]
+            block.parts.append(rest.partition("<!--")[0])
+            break
         m = TOKEN.match(page, at)
         at = m.end()
         tag = m[2]
@@ -119,14 +133,17 @@ def parsed(page: str) -> tuple[list[str], list[Block]]:
             continue
         if tag in CONTAINERS:
             if m[1]:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if k is not None:
-                    del stack[k:]
+                if opened.get(tag):
+                    ended = ""
+                    while ended != tag:
+                        ended = stack.pop()[0]
+                        opened[ended] -= 1
                     path, bad, marked = stack[-1][1:] if stack else ("", False, False)
             else:
                 name, own = boilerplate(tag, m[3], marked)
-                path, bad, marked = f"{path}>{name}", bad or own, marked or tag in MARKED
+                path, bad, marked = f"{path}>{name}" if len(stack) < MOST_DEEP else path, bad or own, marked or tag in MARKED
                 stack.append((tag, path, bad, marked))
+                opened[tag] = opened.get(tag, 0) + 1
                 tokens.append(path)
             block = Block(path, bad, marked)
             blocks.append(block)
@@ -154,13 +171,21 @@ def text_key(path: str, text: str) -> int:
 
 def main_path(sizes: dict[str, int], marked: list[str], share: float = 1.0) -> str:
     """The path of the article: the topmost marked container with most text, or the deepest that holds that share of it."""
-    inside = lambda p: sum(n for q, n in sizes.items() if q == p or q.startswith(p + ">"))
-    tops = [p for p in marked if not any(p.startswith(q + ">") for q in marked)]
-    if tops:
-        return max(tops, key=lambda p: (inside(p), -len(p), p))
+    inside: dict[str, int] = {}
+    for q, n in sizes.items():
+        for p in parents(q):
+            inside[p] = inside.get(p, 0) + n
+    if tops := topmost(marked):
+        return max(tops, key=lambda p: (inside.get(p, 0), -len(p), p))
     total = sum(sizes.values())
-    good = [p for p in {p for q in sizes for p in parents(q)} if total and inside(p) >= share * total]
-    return max(good, key=lambda p: (p.count(">"), inside(p), p), default="")
+    good = [p for p, n in inside.items() if total and n >= share * total]
+    return max(good, key=lambda p: (p.count(">"), inside[p], p), default="")
+
+
+def topmost(paths: list[str]) -> list[str]:
+    """Those of the paths that stand in no other one of them."""
+    known = set(paths)
+    return [p for p in paths if known.isdisjoint(parents(p)[:-1])]
 
 
 def is_marked(path: str) -> bool:
@@ -177,14 +202,16 @@ def extracted(page: str, mains: list[str], same: frozenset[int] = frozenset(), o
     found = set(tokens)
     mains = [p for p in mains if p in found or p == ""]
     own = not mains
-    good = [b for b in blocks if not b.bad and not any(named_slot(p) if own else p in others for p in parents(b.path))]
+    other = cache(lambda path: any(named_slot(p) if own else p in others for p in parents(path)))
+    good = [b for b in blocks if not b.bad and not other(b.path)]
     if own:
         sizes: dict[str, int] = {}
         for b in good:
             if size := len("".join(b.parts).strip()):
                 sizes[b.path] = sizes.get(b.path, 0) + size
         mains = [main_path(sizes, [p for p in dict.fromkeys(tokens) if is_marked(p)], MAIN_SHARE)]
-    kept = [b for b in good if any(b.path == p or b.path.startswith(p + ">") or not p for p in mains)]
+    within = cache(lambda path: any(not p or path == p or path.startswith(p + ">") for p in mains))
+    kept = [b for b in good if within(b.path)]
     texts = [(b.path, t) for b in kept if (t := text_in(b))]
     return " ".join([t for p, t in texts if text_key(p, t) not in same] or [t for _, t in texts])
 
@@ -267,8 +294,7 @@ def templates(pages: DataFrame) -> DataFrame:
             if others.isdisjoint(parents(at)):
                 sizes[at] = sizes.get(at, 0) + int(chars)
         marked = [p for p in nested if is_marked(p)]
-        tops = [p for p in marked if not any(p.startswith(q + ">") for q in marked)]
-        mains = sorted(tops) or [main_path({p: c for p, c in sizes.items() if c}, [])]
+        mains = sorted(topmost(marked)) or [main_path({p: c for p, c in sizes.items() if c}, [])]
         return pd.DataFrame({"host": [host], "mains": [mains], "same": [sorted(int(p[1:17], 16) - (1 << 63) for p in texts)], "others": [sorted(others)]})
 
     return tokens.groupBy("host").applyInPandas(deduce, schema)
