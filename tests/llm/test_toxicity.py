@@ -97,7 +97,7 @@ def test_counts(spark, odd, most, monkeypatch):
     label = {r["labelled_id"]: (r["label"], r["half"]) for r in known.collect()}
     want, table = {}, toxicity.Buckets()
     for r in odd.collect():
-        for b in {int(b) for w in toxicity.words_in(r["text"]) for b in table.rows[table[w]]}:
+        for b in {int(b) for w in toxicity.words_in(r["text"]) for b in table.rows[table.places([w])[0]]}:
             own = want.setdefault(b, [0] * 5)
             own[0] += 1
             if r["doc_id"] in label:

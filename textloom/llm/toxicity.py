@@ -30,6 +30,8 @@ from textloom.llm.common import stored, table
 N_BUCKETS = 1 << 20
 #: A word's tokens: itself and its first letters, so many of them.
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: What tells a whole word's checksum from that of a beginning.
+WHOLE = 0x5BD1E995
 #: The priors' weight beside the labelled documents, and the standard errors that a log-odds is lessened by.
 PRIOR, ERRORS = 0.05, 2.0
 #: Labelled documents that the calibration is fitted on, at most (the smallest by MD5 of their id).
@@ -41,7 +43,7 @@ EXPECTED = 0.05
 #: Documents that score so much or more are toxic.
 THRESHOLD = 0.7
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 PASSAGES = T.ArrayType(T.StructType([T.StructField(k, t, False) for k, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("score", T.DoubleType()), ("expected", T.DoubleType()))]), False)
 
@@ -52,24 +54,55 @@ def words_in(text: str | None) -> list[str]:
 
 
 class Buckets(dict):
-    """For each word its row in ``rows``, the buckets of its tokens. A worker's table is begun anew when it is full."""
+    """For each word its place in ``rows``, the buckets of its tokens, and in ``gain``, what the strongest of them weighs.
 
-    def __init__(self):
+    A worker's table is begun anew when it is full.
+    """
+
+    def __init__(self, weight: np.ndarray | None = None):
         super().__init__()
-        self.rows = np.empty((REMEMBERED, 1 + len(BEGINNINGS)), np.int32)
+        self.weight, self.fresh = weight, []
+        self.rows, self.gain = np.empty((REMEMBERED, 1 + len(BEGINNINGS)), np.int32), np.zeros(REMEMBERED, np.float32)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
-        whole = zlib.crc32(word.encode()) % N_BUCKETS
-        self.rows[at] = [whole, *(zlib.crc32(f"{k} {word[:k]}".encode()) % N_BUCKETS if len(word) >= k else whole for k in BEGINNINGS)]
+        checksum, n, row = 0, 0, []
+        for k in BEGINNINGS:  # each goes on from the shorter one
+            if len(word) < k:
+                break
+            checksum, n = zlib.crc32(word[n:k].encode(), checksum), k
+            row.append((checksum ^ k) % N_BUCKETS)
+        whole = (zlib.crc32(word[n:].encode(), checksum) ^ WHOLE) % N_BUCKETS
+        self.fresh.append([whole, *row, *[whole] * (len(BEGINNINGS) - len(row))])
         return at
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self) + len(words) > len(self.rows):
             self.clear()
             if len(words) > len(self.rows):
-                self.rows = np.empty((len(words), self.rows.shape[1]), np.int32)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+                self.rows, self.gain = np.empty((len(words), self.rows.shape[1]), np.int32), np.zeros(len(words), np.float32)
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            new = slice(len(self) - len(self.fresh), len(self))
+            self.rows[new] = self.fresh
+            if self.weight is not None:
+                self.gain[new] = self.weight[self.rows[new]].max(axis=1)
+            self.fresh = []
+        return found
+
+
+class Once:
+    """Distinct numbers below a bound, in time in proportion to how many are asked of."""
+
+    def __init__(self, bound: int):
+        self.last = np.empty(bound, np.int32)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        if len(numbers) and numbers.max() >= len(self.last):
+            self.last = np.empty(numbers.max() + 1, np.int32)
+        own = np.arange(len(numbers), dtype=np.int32)
+        self.last[numbers] = own
+        return numbers[self.last[numbers] == own]
 
 
 def in_fold(doc_id: str = "doc_id") -> tuple[Column, Column]:
@@ -105,9 +138,10 @@ def bucket_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sums = Buckets(), np.zeros((len(COUNTS), N_BUCKETS), np.int32)
+        words_once, buckets_once = Once(REMEMBERED), Once(N_BUCKETS)
         for batch in batches:
             for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.unique(table.rows[np.unique(table.places(words_in(text)))])
+                own = buckets_once(table.rows[words_once(table.places(words_in(text)))].ravel())
                 sums[0][own] += 1
                 if label is not None:
                     sums[1 + 2 * half + label][own] += 1
@@ -235,17 +269,17 @@ def fit_link(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def gaining(table: Buckets, weight: np.ndarray, words: list[str]) -> tuple[list[int], list[float]]:
+def gaining(table: Buckets, words: list[str]) -> tuple[list[int], list[float]]:
     """The places and gains of the words that some token of theirs speaks for. A word gains its score where it comes first
     in a text, half of it where it comes again, a third the next time: documents are what was counted."""
-    if not words:
-        return [], []
     places = table.places(words)
-    gain = weight[table.rows[places]].max(axis=1)
+    gain = table.gain[places]
     at = np.flatnonzero(gain)
+    if not len(at):
+        return [], []
     order = np.argsort(places[at], kind="stable")
     own = places[at][order]
-    fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else order
+    fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     times = np.empty(len(at), np.int64)
     times[order] = np.arange(len(at)) - np.repeat(fresh, np.diff(np.append(fresh, len(at)))) + 1
     return at.tolist(), (gain[at] / times).astype(float).tolist()
@@ -278,12 +312,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = CALIBRATION_ROWS) -> M
     shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Buckets()
+        tables = [Buckets(w) for w in shared.value]
         for batch in batches:
             out = []
             for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_in(text)
-                out.append((label, len(words), *gaining(table, shared.value[half], words)))
+                out.append((label, len(words), *gaining(tables[half], words)))
             arrays = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)] if out else []
             if arrays:
                 yield pa.RecordBatch.from_arrays(arrays, names=["label", "n", "at", "gain"])
@@ -306,12 +340,13 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, m = Buckets(), shared.value
+        m = shared.value
+        table = Buckets(m.weight)
         for batch in batches:
             scores, passages = [], []
             for value in batch.column(text):
                 words = words_in(value.as_py())
-                found = segments(*gaining(table, m.weight, words), m.law.drift)
+                found = segments(*gaining(table, words), m.law.drift)
                 scores.append(m.chance(m.law.surprise([s for *_, s in found], len(words))))
                 told = [{"start": a, "end": b, "score": s, "expected": m.law.expected(s, len(words))} for a, b, s in found]
                 passages.append([p for p in told if p["expected"] <= EXPECTED])
