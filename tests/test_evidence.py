@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import evidence, retrieval
+from textloom.operators import evidence, retrieval, search
 from textloom.sources import corpus, index
 
 
@@ -146,5 +146,5 @@ def test_names_and_aliases(spark):
     assert named("a", "a#2", "a", "b", "a") == ["a", "a#2", "a#3", "b", "a#4"]
     assert named("a", "a", "a#2") == ["a", "a#2", "a#2#2"]
     one = spark.createDataFrame([("notes.txt", "dir/notes.txt")], "path string, source string")
-    known = lambda name: one.where(corpus.alias(name, F.col("path"), F.col("source"))).count()
+    known = lambda name: one.where(search.alias(name, F.col("path"), F.col("source"))).count()
     assert [known(n) for n in ("", " notes.txt ", "dir/notes.txt", "other", "dir")] == [1, 1, 1, 0, 0]

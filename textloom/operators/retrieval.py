@@ -27,16 +27,16 @@ def blocks(queries: DataFrame, key: str) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, key: str = "query_id") -> DataFrame:
+def similarities(queries: DataFrame, chunks: DataFrame, key: str = "query_id", on: list[str] | None = None) -> DataFrame:
     """Each query (key, query_vector) with each chunk (path, chunk_id, vector) and their cosine, block by block.
 
-    Norms are computed once for each vector.
+    on: columns of both that must be equal, such as the path. Norms are computed once for each vector.
     """
     normed = chunks.withColumn("_norm", tx.norm(F.col("vector")))
     out = None
     for block in blocks(queries, key):
         asked = block.withColumn("_query_norm", tx.norm(F.col("query_vector")))
-        scored = normed.join(F.broadcast(asked)).withColumn("similarity", tx.cosine(F.col("query_vector"), F.col("vector"), F.col("_query_norm"), F.col("_norm")))
+        scored = normed.join(F.broadcast(asked), on).withColumn("similarity", tx.cosine(F.col("query_vector"), F.col("vector"), F.col("_query_norm"), F.col("_norm")))
         scored = scored.drop("_norm", "_query_norm", "query_vector", "vector")
         out = scored if out is None else out.unionByName(scored)
     return out

@@ -81,11 +81,23 @@ def matches(docs: DataFrame, query: str, mode: str = "auto", path: str = "path",
     return {"literal": literal_matches, "regex": regex_matches}.get(mode, auto_matches)(docs, query.strip(), path, text)
 
 
-def restricted(docs: DataFrame, only: str | None, path: str = "path") -> DataFrame:
-    """The document of one path, or all of docs if none or a blank one is named; a path that docs doesn't have is an error."""
+def alias(only: str, path: Column, source: Column) -> Column:
+    """Whether a name stands for a single file: its path, the name it was opened by, or the last part of that."""
+    name = only.strip()
+    return F.lit(not name) | (path == name) | (source == name) | (F.element_at(F.split(source, "/"), -1) == name)
+
+
+def restricted(docs: DataFrame, only: str | None, path: str = "path", source: str | None = None) -> DataFrame:
+    """The document of one path, or all of docs if none or a blank one is named; a path that docs doesn't have is an error.
+
+    source: the column of the name that a document was opened by. Where docs is a single document, that name and its last
+    part stand for it too.
+    """
     if only is None or not only.strip():
         return docs
     found = docs.where(F.col(path) == only.strip())
+    if source and found.select(path).isEmpty() and docs.select(path).limit(2).count() == 1:
+        found = docs.where(alias(only, F.col(path), F.col(source)))
     if found.select(path).isEmpty():
         raise ValueError(f"invalid_arguments: unknown path {only.strip()!r}")
     return found

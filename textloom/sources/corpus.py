@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from typing import BinaryIO
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a file that tell text from binary.
-SNIFFED = 512
-#: The first bytes of common binary formats.
-MAGIC = ("25504446", "89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961", "504B0304", "1F8B08", "526172211A07", "377ABCAF271C", "7F454C46", "4D5A", "CAFEBABE", "00000100", "52494646", "4F676753", "494433", "424D")
+from textloom.functions.media import is_text
+from textloom.sources import index, spool, walk
 
+#: Digests that are hashed together in a corpus's hash.
+FAN = 4096
 
 def spread(docs: DataFrame) -> DataFrame:
     """A table as it is read, dealt anew where it has fewer splits than there are cores: a small file of one split, say.
@@ -21,35 +25,40 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def binary(content: Column) -> Column:
-    """Whether the first bytes are of a binary format or hold control characters that text doesn't have."""
-    head = F.hex(F.substring(content, 1, SNIFFED))
-    known = F.lit(False)
-    for m in MAGIC:
-        known = known | head.startswith(m)
-    mark = head.startswith("FEFF") | head.startswith("FFFE") | head.startswith("EFBBBF")
-    control = head.rlike("^(..)*?(0[0-8BEF]|1[0-9ACDEF])")
-    return (F.length(content) > 0) & (known | (control & ~mark))
-
-
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative), text of the text files below a folder, at any depth; folders that start with a dot are skipped.
-
-    Spark's listing leaves out files that start with a dot or an underscore.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
-    relative = F.substring_index(F.col("path"), root + "/", -1)
-    return files.where(~binary(F.col("content"))).select(relative.alias("path"), F.col("content").cast("string").alias("text")).where(~F.col("path").rlike(r"(^|/)\.[^/]*/"))
+    """path (relative), text of the text files below a folder, at any depth, also of those whose names start with a dot;
+    links and folders that start with a dot are left out."""
+    return walk.texts(walk.walked(spark, folder))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path (base name, with #2, #3 ... where it repeats) and text of single files."""
     files = spark.read.format("binaryFile").load(paths)
-    named = files.where(~binary(F.col("content"))).select(F.col("path").alias("full"), F.element_at(F.split("path", "/"), -1).alias("path"), F.col("content").cast("string").alias("text"))
+    named = files.where(is_text(F.col("content"))).select(F.col("path").alias("full"), F.element_at(F.split("path", "/"), -1).alias("path"), F.col("content").cast("string").alias("text"))
     return disambiguated(named, "full").drop("full")
 
 
+def open_input(spark: SparkSession, path: str | None = None, handle: BinaryIO | None = None) -> tuple[str, DataFrame]:
+    """What a question is asked of, as its kind (directory, file or stdin) and documents (path, text, source).
+
+    A folder is its text files, and an error without any; a file is one document, text or not, under its base name; no
+    path, or a blank one, is the handle, by default standard input, which is spooled to the shared folder.
+    """
+    if not path or not path.strip():
+        found = spool.spooled(spark, handle or sys.stdin.buffer)
+        return "stdin", spool.document(spark, found).withColumn("source", F.lit("stdin"))
+    fs, place = index.files_of(spark, path)
+    if not fs.exists(place):
+        raise FileNotFoundError(path)
+    if fs.isDirectory(place):
+        docs = read_folder(spark, path)
+        if docs.isEmpty():
+            raise ValueError(f"{path} holds no text files")
+        return "directory", docs.withColumn("source", F.lit(path))
+    one = spark.createDataFrame([(path.rstrip("/").rpartition("/")[2], walk.as_uri(path))], "path string, full string")
+    return "file", walk.contents(one).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(path).alias("source"))
+
+
 def disambiguated(docs: DataFrame, order: str) -> DataFrame:
     """docs with repeated paths told apart in order of a unique column: the second is path#2, the third path#3; taken names are skipped.
 
@@ -76,12 +85,6 @@ def disambiguated(docs: DataFrame, order: str) -> DataFrame:
     return docs.join(names, F.col(order) == F.col("_order")).withColumn("path", F.col("_name")).drop("_order", "_name")
 
 
-def alias(only: str, path: Column, source: Column) -> Column:
-    """Whether a name stands for a single file: its path, the name it was opened by, or the last part of that."""
-    name = only.strip()
-    return F.lit(not name) | (path == name) | (source == name) | (F.element_at(F.split(source, "/"), -1) == name)
-
-
 def entry(path: Column, text: Column) -> Column:
     """A document as a part of a corpus text: a header line, the text, and a newline where it has none at its end."""
     end = F.when((text == "") | text.endswith("\n"), "").otherwise("\n")
@@ -93,9 +96,32 @@ def corpus_parts(docs: DataFrame) -> DataFrame:
     return docs.select("path", entry(F.col("path"), F.col("text")).alias("part"))
 
 
-def content_hash(docs: DataFrame, *options: object) -> str:
-    """A hash of options and all documents: of each document's own hash, added up, so no task sees the whole corpus."""
-    each = F.sha2(F.concat(F.octet_length("path").cast("string"), F.lit(":"), F.col("path"), F.octet_length("text").cast("string"), F.lit(":"), F.col("text")), 256)
-    part = lambda k: F.sum(F.conv(F.substring(each, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
-    sums = docs.agg(F.count("*").alias("n"), *[part(k).alias(f"s{k}") for k in range(4)])
-    return sums.select(F.sha2(F.concat_ws("|", *[F.lit(str(o)) for o in options], "n", *[F.col(f"s{k}").cast("string") for k in range(4)]), 256)).first()[0]
+def sized(value: Column) -> Column:
+    """A value with the number of its bytes before it, so that joined values can't be taken for others."""
+    return F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
+
+
+def content_hash(docs: DataFrame, *options: object, order: tuple[str, ...] = ("path",)) -> str:
+    """A hash of options and of all documents (path, text) in order; null texts count as empty.
+
+    A tree: each document's digest, in the order of the columns ``order`` (unique, else equal rows in the order of their
+    digests), then those of ``FAN`` neighbours at a time, up to one. Any partitioning gives the same; documents that swap
+    texts or places give another. Only digests are sorted, and no task sees more than ``FAN`` of them at once.
+    """
+    leaf = F.sha2(F.concat(sized(F.col("path").cast("string")), sized(F.coalesce("text", F.lit("")))), 256).alias("digest")
+    slim = docs.select(F.struct(*order, leaf).alias("at"))
+    placed = slim.repartitionByRange("at").sortWithinPartitions("at").select(F.col("at.digest").alias("digest"), F.monotonically_increasing_id().alias("id"))
+    placed = placed.checkpoint()  # its partitions' numbers and sizes are asked for, and then used
+    part = F.shiftright("id", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))  # a row for each partition
+    level = placed.join(F.broadcast(starts), part == F.col("part")).select((F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"), "digest")
+    n = placed.count()
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])
+    while n > 1:
+        level = level.groupBy(F.floor(F.col("place") / FAN).alias("node")).agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest")).withColumnRenamed("node", "place")
+        n = -(-n // FAN)
+    root = level.first()
+    parts = [f"{len(str(o).encode())}:{o}" for o in options] + [root["digest"] if root else "none"]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()

@@ -1,18 +1,31 @@
-"""Chunk indexes: a table of chunks with vectors and a manifest, found by the hash of their source."""
+"""Chunk indexes: tables of chunks with vectors and a manifest, found by the hash of their source, in generations."""
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from textloom.functions.text import folded
+from textloom.operators import chunking
+from textloom.operators.semantic import path_bucket
 
 #: The layout's version; other versions count as missing.
-VERSION = 1
+VERSION = 3
+#: Parts of an index by path, and how many of a path's chunks go together before another file takes the next ones.
+BUCKETS, RUN = 64, 1 << 16
 TTL = timedelta(hours=24)
-MANIFEST = "version int, created_at timestamp, input_hash string, model string, chunk_size int, chunk_overlap int, item_count long"
+MANIFEST = "version int, created_at timestamp, input_hash string, model string, chunk_size int, chunk_overlap int, item_count long, columns string"
 
 
 class IndexExists(ValueError):
@@ -29,74 +42,106 @@ def files_of(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def write_index(chunks: DataFrame, base: str, input_hash: str, model: str, size: int, overlap: int) -> None:
-    """Writes chunks and manifest beside the index's place and moves them there at once; raises if another writer was first."""
-    spark = chunks.sparkSession
-    if read_manifest(spark, base, input_hash) is not None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/")
+
+
+def generations(spark: SparkSession, base: str, input_hash: str) -> list[tuple[int, str]]:
+    """(generation, name) of the indexes written for a hash, the one that counts first: the latest generation, of those
+    written at once the one whose name is first."""
+    fs, folder = files_of(spark, f"{base.rstrip('/')}/{input_hash}")
+    names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+    found = [m.groups() for n in names if (m := re.fullmatch(r"g(\d+)-([0-9a-f]+)", n))]
+    return sorted(((int(g), name) for g, name in found), key=lambda x: (-x[0], x[1]))
+
+
+def write_index(chunks: DataFrame, base: str, input_hash: str, model: str, size: int, overlap: int, ttl: timedelta = TTL) -> None:
+    """Writes chunks and manifest into a folder of their own and names it the hash's latest generation by an empty file.
+
+    Raises if a fresh index is there by then. Nothing that is written is ever replaced or deleted here, so writers at the
+    same time don't harm each other: each one's index is whole before it is named, and all readers take the same one.
+    Chunks lie in a folder for each path_bucket, by path, so that a search in one path reads its own part alone. The
+    chunks of a very long document are many files.
+    """
+    spark, name = chunks.sparkSession, uuid4().hex
+    folder = f"{base.rstrip('/')}/{input_hash}"
+    if load_index(spark, base, input_hash, ttl) is not None:
         raise IndexExists(input_hash)
-    draft, folder = f"{base.rstrip('/')}/{input_hash}.{uuid4().hex}", f"{base.rstrip('/')}/{input_hash}"
-    fs, target = files_of(spark, folder)
-    source = files_of(spark, draft)[1]
+    fs, own = files_of(spark, f"{folder}/data-{name}")
     try:
-        chunks.write.parquet(f"{draft}/chunks")
-        n = spark.read.parquet(f"{draft}/chunks").count()
-        row = (VERSION, datetime.now(timezone.utc), input_hash, model, size, overlap, n)
-        spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{draft}/manifest")
-        if fs.exists(target) or not fs.rename(source, target):
+        placed = chunks.withColumn("path_bucket", path_bucket(F.col("path"), BUCKETS))
+        runs = F.floor(F.col("chunk_id") / RUN) if "chunk_id" in chunks.columns else F.lit(0)
+        placed.repartition("path_bucket", runs).sortWithinPartitions("path_bucket", "path").write.partitionBy("path_bucket").parquet(f"{folder}/data-{name}/chunks")
+        n = spark.read.schema(placed.schema).parquet(f"{folder}/data-{name}/chunks").count()
+        row = (VERSION, datetime.now(timezone.utc), input_hash, model, size, overlap, n, placed.schema.json())
+        spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{folder}/data-{name}/manifest")
+        if load_index(spark, base, input_hash, ttl) is not None:  # another writer was faster
             raise IndexExists(input_hash)
-    finally:
-        fs.delete(source, True)
+    except BaseException:
+        fs.delete(own, True)
+        raise
+    latest = max([g for g, _ in generations(spark, base, input_hash)], default=0)
+    fs.createNewFile(files_of(spark, f"{folder}/g{latest + 1:010d}-{name}")[1])
 
 
 def clear_indexes(spark: SparkSession, base: str, ttl: timedelta = TTL) -> list[str]:
-    """Deletes the indexes below base, whole ones and drafts, that were last changed longer ago than ttl; returns their names.
+    """Deletes what was written into the indexes below base longer ago than ttl, whole ones and drafts; returns the
+    hashes of which something went.
 
-    Folders that aren't indexes are left alone.
+    Folders that aren't indexes are left alone, and so is all that is younger, whatever lies beside it.
     """
     fs, top = files_of(spark, base)
     if not fs.exists(top):
         return []
-    below = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     oldest, gone = (datetime.now(timezone.utc) - ttl).timestamp() * 1000, []
-    for status in fs.listStatus(top):
-        here = status.getPath()
-        ours = status.isDirectory() and any(fs.exists(below(here, p)) for p in ("manifest", "chunks"))
-        if ours and status.getModificationTime() < oldest and fs.delete(here, True):
-            gone.append(here.getName())
+    for status in (s for s in fs.listStatus(top) if s.isDirectory()):
+        parts = [p for p in fs.listStatus(status.getPath()) if re.fullmatch(r"data-[0-9a-f]+|g\d+-[0-9a-f]+", p.getPath().getName())]
+        old = [p for p in parts if p.getModificationTime() < oldest and fs.delete(p.getPath(), True)]
+        if old:
+            gone.append(status.getPath().getName())
+            if not list(fs.listStatus(status.getPath())):
+                with contextlib.suppress(Exception):  # a writer may have come in between: a folder that isn't empty stays
+                    fs.delete(status.getPath(), False)
     return sorted(gone)
 
 
-def read_manifest(spark: SparkSession, base: str, input_hash: str):
-    from pyspark.errors import AnalysisException
-
+def read_manifest(spark: SparkSession, base: str, input_hash: str, name: str | None = None):
+    """The manifest of one written index, or of the one that counts; None if there is none."""
+    named = [name] if name else [n for _, n in generations(spark, base, input_hash)[:1]]
     try:
-        return spark.read.schema(MANIFEST).parquet(f"{base.rstrip('/')}/{input_hash}/manifest").first()
+        return spark.read.schema(MANIFEST).parquet(f"{base.rstrip('/')}/{input_hash}/data-{named[0]}/manifest").first() if named else None
     except AnalysisException:
         return None
 
 
 def load_index(spark: SparkSession, base: str, input_hash: str, ttl: timedelta = TTL) -> DataFrame | None:
-    """The chunks of a complete index of this layout that isn't too old, else None."""
-    m = read_manifest(spark, base, input_hash)
-    if m is None or m["version"] != VERSION:
-        return None
-    created = m["created_at"].replace(tzinfo=m["created_at"].tzinfo or datetime.now().astimezone().tzinfo)
-    if datetime.now(timezone.utc) - created > ttl:
-        return None
-    chunks = spark.read.parquet(f"{base.rstrip('/')}/{input_hash}/chunks")
-    return chunks if chunks.count() == m["item_count"] else None
+    """The chunks, with path_bucket, of a complete index of this layout that isn't too old, else None. Of the latest
+    generation, one that can't be read is passed over."""
+    found = generations(spark, base, input_hash)
+    for _, name in [x for x in found if x[0] == found[0][0]]:
+        m = read_manifest(spark, base, input_hash, name)
+        if m is None or m["version"] != VERSION:
+            continue
+        created = m["created_at"].replace(tzinfo=m["created_at"].tzinfo or datetime.now().astimezone().tzinfo)
+        if datetime.now(timezone.utc) - created > ttl:
+            continue
+        with contextlib.suppress(PySparkException, Py4JJavaError):  # files that are gone or broken
+            chunks = spark.read.schema(StructType.fromJson(json.loads(m["columns"]))).parquet(f"{base.rstrip('/')}/{input_hash}/data-{name}/chunks")
+            if chunks.count() == m["item_count"]:
+                return chunks
+    return None
 
 
 def build_or_load(spark: SparkSession, base: str, input_hash: str, build: Callable[[], DataFrame], model: str, size: int, overlap: int, ttl: timedelta = TTL) -> DataFrame:
-    """The index's chunks, built and written if it isn't there, stale or broken."""
+    """The index's chunks, built and written as a new generation if there is none, or if it is stale or broken."""
     found = load_index(spark, base, input_hash, ttl)
     if found is None:
-        fs, folder = files_of(spark, f"{base.rstrip('/')}/{input_hash}")
-        fs.delete(folder, True)
-        try:
-            write_index(build(), base, input_hash, model, size, overlap)
-        except IndexExists:  # another writer was faster: its index is as good
-            pass
+        with contextlib.suppress(IndexExists):  # another writer was faster: its index is as good
+            write_index(build(), base, input_hash, model, size, overlap, ttl)
         found = load_index(spark, base, input_hash, ttl)
         if found is None:
             raise IndexBroken(input_hash)
@@ -105,11 +150,13 @@ def build_or_load(spark: SparkSession, base: str, input_hash: str, build: Callab
 
 def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
     """chunks with vector (array of float) from an embedder that takes lists of texts; texts are folded, batches small."""
-    import pyarrow as pa
+    return embedded_counted(chunks, embed, batch)[0]
 
-    from textloom.functions.text import folded
 
+def embedded_counted(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> tuple[DataFrame, Observation]:
+    """The same with an observation of embedding_calls and embedding_tokens (estimated), taken by the job that embeds."""
     rows = chunks.withColumn("_input", folded(F.col("text")))
+    seen, used = Observation(), ("embedding_calls", "embedding_tokens")
 
     def run(batches):
         for whole in batches:
@@ -120,6 +167,9 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]],
                 if len(vectors) != len(texts):
                     raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
                 kept = part.drop_columns(["_input"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*kept.schema.names, "vector"])
+                counts = [pa.array([1] + [0] * (len(texts) - 1), pa.int64()), pa.array([chunking.approx(len(t or "")) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(vectors, pa.list_(pa.float32())), *counts], names=[*kept.schema.names, "vector", *used])
 
-    return rows.mapInArrow(run, chunks.withColumn("vector", F.array().cast("array<float>")).schema)
+    zero = [F.lit(0).cast("long").alias(c) for c in used]
+    out = rows.mapInArrow(run, chunks.select("*", F.array().cast("array<float>").alias("vector"), *zero).schema)
+    return out.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in used]).drop(*used), seen
