@@ -103,3 +103,20 @@ def from_reads(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def novel(keys: DataFrame, seen: DataFrame, by: list[str]) -> DataFrame:
     """The keys that weren't seen before."""
     return keys.join(seen.select(*by).distinct(), by, "left_anti")
+
+
+def novel_counts(shown: DataFrame) -> DataFrame:
+    """session, turn, novel_lines and already_seen: the lines that each call shows and no earlier call of its session did.
+
+    shown: ranges (session, turn, namespace, path, start, end, synthetic) of calls; namespaces don't know of each other,
+    and synthetic calls mark nothing as seen. Each line's first call is a combined minimum; only the lines of synthetic
+    calls meet them again, so that a long session is many tasks' work.
+    """
+    line = ["session", "namespace", "path", "line"]
+    each = shown.where("start <= end").select("session", "turn", "namespace", "path", "synthetic", F.explode(F.sequence("start", "end")).alias("line"))
+    firsts = each.where("NOT synthetic").groupBy(*line).agg(F.min("turn").alias("first"))
+    own = each.where("synthetic").select("turn", *line).distinct().join(firsts, line, "left").where("first IS NULL OR first >= turn")
+    fresh = firsts.select("session", F.col("first").alias("turn")).unionByName(own.select("session", "turn")).groupBy("session", "turn").agg(F.count("*").alias("novel_lines"))
+    calls = shown.select("session", "turn").distinct().join(fresh, ["session", "turn"], "left")
+    novel = F.coalesce("novel_lines", F.lit(0)).cast("long")
+    return calls.select("session", "turn", novel.alias("novel_lines"), (novel == 0).alias("already_seen"))
