@@ -1,5 +1,7 @@
 """Retrieval and map-reduce with scripted models."""
 
+from uuid import uuid4
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,85 @@ def test_map_answers_without_a_call(docs):
     assert answers.map_answer(docs.where("path = ''"), "q", str, 1000)[0] == answers.EMPTY_INPUT
     answer, counted = answers.map_answer(docs, "q", lambda t: "SKIP", 1000)
     assert answer == answers.NOTHING_FOUND and counted["skips"] == 2
+
+
+def test_counts_leave_out_failed_tasks(spark, docs, tmp_path):
+    """Every chunk's first task fails after its call; what it had counted doesn't count."""
+    from pyspark import TaskContext
+
+    def chat(text):
+        if TaskContext.get().attemptNumber() == 0:
+            raise SystemExit("lost")  # ends the task, no try of the call
+        return answers.Reply("- fact", 7, 2) if "retry" in text else "SKIP"
+
+    chunks = chunking.chunk(docs).repartition(2, "path")
+    facts, seen = answers.observed(answers.map_facts(chunks, chat))
+    assert facts.checkpoint().count() == 2
+    skip = chunking.approx(len("database connections stable")) + chunking.approx(4)
+    got = seen.get
+    assert (got["chunks"], got["calls"], got["successes"], got["skips"], got["errors"]) == (2, 2, 1, 1, 0)
+    assert got["prompt_tokens"] + got["completion_tokens"] == 9 + skip
+
+
+def test_waits_between_tries(spark, docs, monkeypatch, tmp_path):
+    waits = tmp_path / "waits"
+    waits.mkdir()
+
+    def chat(text):
+        (waits / f"{len(list(waits.iterdir()))}").write_text("x")
+        raise OSError("down")
+
+    rows = answers.called(docs.where("path = 'a.txt'"), chat, tries=3, delay=0.01).collect()
+    assert [(r["path"], r["answer"], r["failed"], r["calls"], r["prompt_tokens"]) for r in rows] == [("a.txt", "", True, 3, 0)] and len(list(waits.iterdir())) == 3
+
+
+def test_second_run_makes_no_call(spark, tmp_path):
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def chat(text):
+        (made / uuid4().hex).write_text(text)
+        if "bad" in text and len(list(made.iterdir())) < 5:
+            raise OSError("down")
+        return f"- about {text}"
+
+    rows = [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "one"), ("c", 0, "bad")]
+    chunks = spark.createDataFrame(rows, "path string, chunk_id long, text string").coalesce(1)
+    memo = str(tmp_path / "memo")
+    get = lambda: answers.map_facts(chunks, chat, tries=1, memo=memo, model="m").orderBy("path", "chunk_id").collect()
+    first = get()
+    assert [(r["facts"], r["failed"]) for r in first] == [("about one", False), ("about two", False), ("about one", False), ("", True)]
+    assert sum(r["calls"] for r in first) == 3 == len(list(made.iterdir()))
+    (made / "more").write_text("now the bad one works")
+    (made / "and").write_text("x")
+    second = get()
+    assert [(r["facts"], r["failed"], r["calls"]) for r in second] == [("about one", False, 0), ("about two", False, 0), ("about one", False, 0), ("about bad", False, 1)]
+    n = len(list(made.iterdir()))
+    assert get() == [type(r)(**(r.asDict() | {"calls": 0, "prompt_tokens": 0, "completion_tokens": 0})) for r in second] and len(list(made.iterdir())) == n
+    answers.map_facts(chunks, chat, tries=1, memo=memo, model="other").count()
+    assert len(list(made.iterdir())) > n
+
+
+def test_all_calls_are_counted(docs):
+    said = {"map": "- retry is on", "reduce": "retry is on", "final": "draft", "critique": "short", "refine": "refined"}
+
+    def chat(text):
+        return answers.Reply(next(said[k] for k, v in answers.TASKS.items() if text.startswith(v)), 10, 1)
+
+    answer, counted = answers.map_answer(docs, "what is on?", chat, 1000)
+    assert answer == "refined" and (counted["calls"], counted["prompt_tokens"], counted["completion_tokens"]) == (2, 20, 2)
+    assert (counted["reduce_rounds"], counted["all_calls"], counted["all_prompt_tokens"], counted["all_completion_tokens"]) == (1, 6, 60, 6)
+
+
+def test_embedding_calls_are_counted(docs, embed):
+    chunks, seen = index.embedded_counted(chunking.chunk(docs).coalesce(1), embed, batch=1)
+    assert chunks.checkpoint().count() == 2 and set(chunks.columns) == {*chunking.chunk(docs).columns, "vector"}
+    assert seen.get == {"embedding_calls": 2, "embedding_tokens": sum(chunking.approx(len(" ".join(r["text"].split()))) for r in docs.collect())}
+
+
+def test_ask_in_one_path(spark, docs, embed):
+    chunks = index.embedded(chunking.chunk(docs), embed)
+    prompts = spark.createDataFrame([(1, "retry policy")], "prompt_id int, prompt string")
+    assert {r["path"] for r in answers.ask(prompts, chunks, embed, path="b.txt")["hits"].collect()} == {"b.txt"}
+    with pytest.raises(ValueError):
+        answers.ask(prompts, chunks, embed, path="none.txt")

@@ -45,6 +45,25 @@ scored AS (SELECT *, similarity + 0.25::DOUBLE * overlap + CASE WHEN trim(questi
           + CASE WHEN start_line = 1 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS score FROM lapped),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, chunk_id) - 1 AS rank FROM scored)
 """
+#: One request a question, with a path or without one; the eight most similar chunks, reranked, then paged.
+PAGES = """WITH e AS (SELECT vec_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x * x AS DOUBLE)))) AS n FROM embeddings),
+chunks AS (SELECT d.source AS path, vec_id AS chunk_id, d.text, v, n FROM e JOIN documents d ON d.doc_id = vec_id),
+requests AS ({requests}),
+asked AS (SELECT query_id, r.v, r.n, nullif(trim(r.path), '') AS path, CASE WHEN r.lim <= 0 THEN 5 ELSE least(r.lim, 20) END AS lim, greatest(r.off, 0) AS off, trim(b.text) AS question
+  FROM requests r JOIN benchmark b ON b.item_id = (query_id // {of}) % (SELECT count(*) FROM benchmark)),
+sims AS (SELECT a.query_id, c.path, c.chunk_id, c.text, a.question, CASE WHEN a.n > 0 AND c.n > 0 THEN list_sum(list_transform(list_zip(a.v, c.v), lambda z: CAST(z[1] * z[2] AS DOUBLE))) / (a.n * c.n) ELSE 0.0 END AS similarity
+  FROM asked a JOIN chunks c ON a.path IS NULL OR a.path = c.path),
+best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path, chunk_id) <= 8),
+worded AS (SELECT *, list_distinct({tokens}) AS wanted FROM best),
+lapped AS (SELECT *, CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda t: contains(lower(text), t))) / len(wanted)::DOUBLE ELSE 0.0 END AS overlap FROM worded),
+scored AS (SELECT *, similarity + 0.25::DOUBLE * overlap + CASE WHEN contains(lower(text), lower(question)) THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN chunk_id % 3 = 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS score FROM lapped),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, chunk_id) - 1 AS r, count(*) OVER (PARTITION BY query_id) AS total FROM scored),
+sized AS (SELECT a.query_id, a.path, a.lim, coalesce(t.total, 0) AS total, least(a.off, coalesce(t.total, 0)) AS off FROM asked a LEFT JOIN (SELECT DISTINCT query_id, total FROM ranked) t USING (query_id))
+SELECT s.query_id, coalesce(s.path, '') AS path, s.lim AS "limit", s.off AS "offset", least(s.off + s.lim, s.total) - s.off AS match_count, s.total AS total_matches, s.off + s.lim < s.total AS has_more,
+  CASE WHEN s.off + s.lim < s.total THEN s.off + s.lim ELSE 0 END AS next_offset, coalesce(r.r - s.off, -1) AS place, coalesce(r.chunk_id, -1) AS chunk_id, coalesce(r.path, '') AS chunk_path, coalesce(r.similarity, 0.0::DOUBLE) AS similarity,
+  coalesce(r.overlap, 0.0::DOUBLE) AS overlap, coalesce(round(r.score, 9), 0.0::DOUBLE) AS score
+FROM sized s LEFT JOIN ranked r ON r.query_id = s.query_id AND r.r >= s.off AND r.r < s.off + s.lim"""
+pages = lambda requests: PAGES.format(requests=requests, of=QUERIES_OF, tokens=TOKENS.format("question"))
 FUSED = HITS + """
 , merged AS (SELECT prompt_id, path, chunk_id, list_sum(list(1.0::DOUBLE / (60 + rank + 1) ORDER BY query_ord)) AS score, max(similarity) AS similarity, max(overlap) AS overlap,
              min(start_line) AS start_line, max(start_line + 5) AS end_line FROM hits GROUP BY ALL),
@@ -143,6 +162,9 @@ ORACLES: dict[str, str] = {
     "overlap_ratio": f"WITH q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS w FROM benchmark WHERE item_id % {QUERIES_OF} = 0) SELECT * FROM (SELECT item_id, doc_id, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda t: contains(lower(text), t))) / len(w)::DOUBLE ELSE 0.0 END AS overlap FROM q, documents) WHERE overlap > 0",
     "cosine_topk": f"WITH {COSINE} SELECT query_id, chunk_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) - 1 AS rank FROM sims) WHERE rank < 8",
     "heuristic_rerank": f"WITH {HITS} SELECT query_id, path, chunk_id, similarity, overlap, round(score, 9) AS score, rank FROM hits",
+    "semantic_search_pages": pages(f"""SELECT vec_id AS query_id, v, n, CASE WHEN vec_id // {QUERIES_OF} % 2 = 1 THEN d.source END AS path, vec_id // {QUERIES_OF} % 4 AS lim,
+        CASE WHEN vec_id // {QUERIES_OF} % 5 = 4 THEN 50 ELSE (vec_id // {QUERIES_OF}) % 3 * 2 - 1 END AS off FROM e LEFT JOIN documents d ON d.doc_id = vec_id WHERE vec_id % {QUERIES_OF} = 0"""),
+    "semantic_search_path": pages(f"SELECT vec_id AS query_id, v, n, (SELECT min(path) FROM chunks) AS path, 6 AS lim, 1 AS off FROM e WHERE vec_id % {QUERIES_OF} = 0"),
     "rrf_fusion": f"WITH {FUSED} SELECT prompt_id, path, chunk_id, round(score, 12) AS score, similarity, overlap, start_line, end_line, rank FROM fused",
     "weak_gate": f"WITH {FUSED} SELECT prompt_id, similarity < 0.18 AND overlap < 0.1 AS weak FROM fused WHERE rank = 0",
     "select_evidence": f"""{SPREAD}, picks AS (SELECT f.*, CASE WHEN list_contains(chosen, rank) THEN list_position(chosen, rank) - 1 ELSE len(chosen) + rank - len(list_filter(chosen, lambda c: c < rank)) END AS pick FROM f JOIN done USING (prompt_id))
@@ -168,4 +190,26 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(r - 1 AS INTEGER) AS pos, fact FROM r WHERE r <= {MOST_FACTS}""",
     "conversation_context": f"""WITH q AS (SELECT conv_id, turn, {WHITE.format("text")} AS question FROM conversations WHERE role = 'user')
         SELECT conv_id, turn, question, coalesce((SELECT string_agg(p.question, chr(10) || '- ' ORDER BY p.turn) FROM q p WHERE p.conv_id = q.conv_id AND p.turn < q.turn AND p.question <> ''), '') AS history FROM q""",
+    "tool_search_sql": f"""WITH {LINES} SELECT m.doc_id, m.line_no, any_value(m.content) AS content, 1.0::DOUBLE AS score, 'literal_match' AS reason,
+        coalesce(string_agg(n.content, chr(10) ORDER BY n.line_no) FILTER (n.line_no < m.line_no), '') AS context_before,
+        coalesce(string_agg(n.content, chr(10) ORDER BY n.line_no) FILTER (n.line_no > m.line_no), '') AS context_after
+        FROM lines m JOIN lines n ON m.doc_id = n.doc_id AND n.line_no BETWEEN m.line_no - {CONTEXT} AND m.line_no + {CONTEXT} WHERE {literal.replace('content', 'm.content')} GROUP BY m.doc_id, m.line_no""",
+    "tool_ranges_sql": f"""WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no - {CONTEXT} > coalesce(lag(line_no) OVER w + {CONTEXT}, -1000000) THEN 1 ELSE 0 END AS fresh FROM lines WHERE {literal} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM m)
+        SELECT doc_id, greatest(1, min(line_no) - {CONTEXT}) AS start_line, max(line_no) + {CONTEXT} AS end_line, count(*) AS n_matches FROM i GROUP BY doc_id, island""",
+    "session_novelty": """WITH r AS (SELECT conv_id AS session, turn, CASE WHEN turn % 2 = 0 THEN 'files' ELSE 'rag' END AS namespace, turn % 5 = 3 AS synthetic, role AS path, length(text) % 40 + 1 AS a, length(text) % 40 + length(text) % 23 AS b FROM conversations
+          UNION ALL SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'files' ELSE 'rag' END, turn % 5 = 3, 'all', turn * 5, turn * 5 + 9 FROM conversations),
+        k AS (SELECT DISTINCT session, turn, namespace, synthetic, path, unnest(range(a, b + 1)) AS line FROM r),
+        f AS (SELECT session, turn, count(*) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.session = k.session AND o.namespace = k.namespace AND o.path = k.path AND o.line = k.line AND o.turn < k.turn AND NOT o.synthetic) GROUP BY ALL)
+        SELECT DISTINCT r.session, r.turn, coalesce(f.n, 0)::BIGINT AS novel_lines, coalesce(f.n, 0) = 0 AS already_seen FROM r LEFT JOIN f USING (session, turn)""",
+    "tool_calls_in_text": f"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(text, '\\s+', ' ', 'g')[1:30] AS head, turn % 5 = 4 AS broken FROM conversations)
+        SELECT conv_id, turn, {WHITE.format("regexp_replace(text || '  tail', '\\s+', ' ', 'g')")} AS text, true AS detected, CASE WHEN broken THEN 'a call without a function' END AS error,
+        CASE WHEN NOT broken THEN 'text-tool-call-' || turn || '-1' END AS call_id, CASE WHEN NOT broken THEN ['search_file', 'read_around', 'list_files'][turn % 3 + 1] END AS name,
+        CASE WHEN NOT broken THEN '{{"deep":true,"line":' || (turn + 1) || CASE WHEN trim(head) <> '' THEN ',"query":' || CAST(to_json({WHITE.format("head")}) AS VARCHAR) ELSE '' END || '}}' END AS arguments FROM t""",
+    "corpus_hash": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT path, sha256(strlen(path) || ':' || path || strlen(text) || ':' || text) AS digest FROM d),
+        p AS (SELECT digest, row_number() OVER (ORDER BY path, digest) - 1 AS place FROM l),
+        one AS (SELECT place // 4096 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM p GROUP BY place // 4096),
+        two AS (SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest FROM one)
+        SELECT sha256('5:texts|1:1|' || digest) AS content_hash FROM two""",
 }

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import calls as cx
 from textloom.functions import facts as fx
 from textloom.functions import text as tx
-from textloom.operators import chunking, evidence, lines, retrieval, search
-from textloom.sources import corpus
+from textloom.operators import chunking, evidence, lines, retrieval, search, semantic, tools
+from textloom.sources import corpus, index
 
 #: What the registered searches look for.
 LITERAL, PATTERN, OVERLAP, FALLBACK = "the of", r"\bth[a-z]*tion\b", "from what is that", "zzqx from the missing"
@@ -150,6 +151,36 @@ def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("query_id", "path", "chunk_id", "similarity", "overlap", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def shown(found: DataFrame) -> DataFrame:
+    """Pages as rows: a request's envelope with each of its matches, or with none."""
+    some = lambda c, none: F.coalesce(c, F.lit(none))
+    rows = found.select("*", F.posexplode_outer("matches").alias("place", "m"))
+    return rows.select(
+        "query_id", some(F.col("path"), "").alias("path"), "limit", "offset", "match_count", "total_matches", "has_more", some(F.col("next_offset"), 0).alias("next_offset"), some(F.col("place"), -1).cast("long").alias("place"),
+        some(F.col("m.chunk_id"), -1).alias("chunk_id"), some(F.col("m.path"), "").alias("chunk_path"), some(F.col("m.similarity"), 0.0).alias("similarity"), some(F.col("m.overlap"), 0.0).alias("overlap"), some(F.round("m.score", 9), 0.0).alias("score"),
+    )
+
+
+def semantic_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question as a request: every other one in the path of its own vector's document, with limits and offsets of all kinds."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("source").alias("own"))
+    asked = questions(spark, sf_dir).join(d, "query_id", "left")
+    n = (F.col("query_id") / QUERIES_OF).cast("long")
+    offset = F.when(n % 5 == 4, 50).otherwise((n % 3) * 2 - 1)
+    requests = asked.select("query_id", "question", "query_vector", F.when(n % 2 == 1, F.col("own")).alias("path"), (n % 4).alias("limit"), offset.alias("offset"))
+    return shown(semantic.pages(requests, vectors(spark, sf_dir)))
+
+
+def semantic_search_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question in the first path, over an index laid out by path in the shared folder."""
+    chunks = vectors(spark, sf_dir)
+    parts = chunks.select(F.concat_ws(":", "path", F.col("chunk_id").cast("string")).alias("path"), F.concat_ws("\n", "text", F.array_join(F.col("vector").cast("array<string>"), ",")).alias("text"))
+    found = index.build_or_load(spark, f"{index.shared_folder(spark)}/indexes", corpus.content_hash(parts), lambda: chunks, "given", 0, 0)
+    first = found.agg(F.min("path").alias("path"))
+    requests = questions(spark, sf_dir).join(F.broadcast(first)).select("query_id", "question", "query_vector", "path", F.lit(6).alias("limit"), F.lit(1).alias("offset"))
+    return shown(semantic.pages(requests, found, buckets=index.BUCKETS))
+
+
 def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fused(hits(spark, sf_dir))
 
@@ -220,11 +251,48 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_by_tokens(docs(spark, sf_dir), TOKENS_MOST, TOKENS_REQUEST, path="doc_id").select("doc_id", "chunk_id", "token_count", "byte_count", "request_tokens", F.sha2("text", 256).alias("text_sha256"))
 
 
+def tool_search_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search tool called from SQL."""
+    tools.Registry().register(spark)
+    found = spark.sql(f"SELECT * FROM search_file(TABLE({{d}}), '{LITERAL}', 'literal', {CONTEXT})", d=docs(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "line_no", "content", "score", "reason", F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"))
+
+
+def tool_ranges_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of lines around matches, from SQL over lines that are dealt by document and read in order."""
+    tools.Registry().register(spark)
+    return spark.sql(f"SELECT * FROM match_ranges(TABLE({{d}}), '{LITERAL}', 'literal', {CONTEXT})", d=lines.lines(docs(spark, sf_dir), "doc_id"))
+
+
+def session_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn of a conversation shows first, were its text's length the lines of a file that it reads."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+    start = F.col("n") % 40 + 1
+    spans = F.array(F.struct(F.col("role").alias("path"), start.alias("start"), (start + F.col("n") % 23 - 1).alias("end")), F.struct(F.lit("all").alias("path"), (F.col("turn") * 5).alias("start"), (F.col("turn") * 5 + 9).alias("end")))
+    shown = turns.select(F.col("conv_id").alias("session"), "turn", F.when(F.col("turn") % 2 == 0, "files").otherwise("rag").alias("namespace"), (F.col("turn") % 5 == 3).alias("synthetic"), F.inline(spans))
+    return evidence.novel_counts(shown)
+
+
+def tool_calls_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's text with a call written behind it, and some with a broken one: what is called, and the text without."""
+    head = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30)
+    name = F.element_at(F.array(*map(F.lit, ("search_file", "read_around", "list_files"))), (F.col("turn") % 3 + 1).cast("int"))
+    call = F.concat(F.lit("\n<tool_call> <function="), name, F.lit("> <parameter=Query>\n"), head, F.lit("\n<parameter=line> "), (F.col("turn") + 1).cast("string"), F.lit(" <parameter=deep>TRUE</tool_call>"))
+    broken = F.when(F.col("turn") % 5 == 4, " <Tool_Call> <parameter=x> 1 </tool_call>").otherwise("")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", cx.calls_in(F.concat("text", call, broken, F.lit(" tail")), F.col("turn")).alias("c"))
+    return turns.select("conv_id", "turn", "c.text", "c.detected", "c.error", F.explode_outer("c.calls").alias("call")).select("conv_id", "turn", "text", "detected", "error", F.col("call.id").alias("call_id"), "call.name", "call.arguments")
+
+
+def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.content_hash(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text"), "texts", 1)
+    return spark.createDataFrame([(found,)], "content_hash string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_with_offsets, search_literal, search_literal_page, search_overlap_page, search_one_path, search_totals, search_regex, search_token_overlap, search_auto_hit, search_auto_fallback, search_context_lines,
-        read_lines, read_around, list_documents_page, tokenize_distinct, approx_tokens, seed_queries, overlap_ratio, cosine_topk, heuristic_rerank, rrf_fusion, weak_gate,
-        select_evidence, verification_reads, merge_ranges, subtract_ranges, evidence_sources, instruction_lines, fact_ranking, conversation_context, chunk_bytes, chunk_tokens,
+        read_lines, read_around, list_documents_page, tokenize_distinct, approx_tokens, seed_queries, overlap_ratio, cosine_topk, heuristic_rerank, semantic_search_pages, semantic_search_path, rrf_fusion, weak_gate,
+        select_evidence, verification_reads, merge_ranges, subtract_ranges, evidence_sources, instruction_lines, fact_ranking, conversation_context, chunk_bytes, chunk_tokens, tool_search_sql, tool_ranges_sql, session_novelty, tool_calls_in_text, corpus_hash,
     )
 }
