@@ -1,11 +1,13 @@
 """Lines, searches, paging and chunks."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import chunking, lines, search
+from textloom.operators import chunking, lines, retrieval, search
 
 CYRILLIC = "первая строка\nвторая с текстом\nтретья строка\nчетвёртая с текстом\nпятая строка"
 
@@ -139,3 +141,19 @@ def test_totals_of_an_empty_page(spark):
     rows = search.literal_matches(docs, "match")
     assert [tuple(r) for r in lines.page_totals(rows, 1).collect()] == [(2, True, 1)]
     assert [tuple(r) for r in lines.page_totals(rows, 5, 99).collect()] == [(2, False, 0)]
+
+
+def test_nearest_is_the_ranking_of_all_similarities(spark, monkeypatch):
+    rng = random.Random(12)
+    vector = lambda: rng.choice([None, [], [0.0] * 4, [1.0, 2.0, 3.0], *[[round(rng.gauss(0, 1), 1) for _ in range(4)] for _ in range(9)]])
+    rows = [(rng.choice(["a", "b", "ä", None]), i, vector()) for i in range(300)] + [("z", 1000 + i, [1.0, 0.5, 0.25, 0.1]) for i in range(200)]
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "path string, chunk_id long, vector array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, vector()) for i in range(40)] + [(50, [1.0, 0.5, 0.25, 0.1])], "query_id int, query_vector array<float>")
+    want = sorted(map(tuple, retrieval.top_k(retrieval.similarities(asked, chunks)).select("query_id", "rank", "path", "chunk_id", "similarity").collect()))
+    monkeypatch.setattr(retrieval, "TOGETHER", 7)
+    for most in (65_536, 10):
+        monkeypatch.setattr(retrieval, "ASKED", most)
+        got = retrieval.nearest(asked, chunks).select("query_id", "rank", "path", "chunk_id", "similarity").collect()
+        assert sorted(map(tuple, got)) == want and len(want) == 41 * 8
+    assert retrieval.nearest(asked.where("false"), chunks).count() == retrieval.nearest(asked, chunks.where("false")).count() == 0

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as tx
 
@@ -16,12 +22,14 @@ WEAK_SIMILARITY, WEAK_OVERLAP = 0.18, 0.1
 VERIFIED_READS, READ_LINES, READ_AROUND = 4, 40, 20
 #: Queries of one block: a block of query vectors is sent to every task, whatever the number of queries.
 QUERY_BLOCK = 4096
+#: Queries that one scan of all vectors serves (16 MB of 64 numbers each), and those compared at a time.
+ASKED, TOGETHER = 65_536, 128
 
 
-def blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+def blocks(queries: DataFrame, key: str, most: int = QUERY_BLOCK) -> list[DataFrame]:
     """The queries in blocks that are small enough to send to every task."""
     n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
+    parts = max(1, -(-n // most))
     if parts == 1:
         return [queries]
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
@@ -42,6 +50,82 @@ def similarities(queries: DataFrame, chunks: DataFrame, key: str = "query_id", o
     return out
 
 
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The dot product of each row of q with each row of c: products in single precision, summed left to right in double."""
+    out = np.zeros((len(q), len(c)))
+    for k in range(q.shape[1]):
+        out += np.multiply.outer(q[:, k], c[:, k])
+    return out
+
+
+def by_width(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Vectors by their length: their numbers, their values, their norms. Null, empty and zero vectors, and those that hold
+    a null, are like nothing and left out."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    values, starts = vectors.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+    holes = np.concatenate([[0], np.cumsum(pc.is_null(values).to_numpy(zero_copy_only=False))])[starts]
+    flat = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.float32)
+    out = {}
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero((sizes == width) & (np.diff(holes) == 0))
+        own = flat[starts[rows][:, None] + np.arange(width)]
+        norms = np.zeros(len(rows))
+        for k in range(width):
+            norms += own[:, k] * own[:, k]
+        norms = np.sqrt(norms)
+        some = ~(norms <= 0)
+        out[width] = (rows[some], own[some], norms[some])
+    return out
+
+
+def first_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest scores of each row; of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return np.nonzero(np.ones_like(scores, bool))
+    ranked = np.where(np.isnan(scores), np.inf, scores)
+    least = np.partition(ranked, -k, axis=1)[:, -k][:, None]
+    above, equal = ranked > least, ranked == least
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "query_id") -> DataFrame:
+    """The k chunks (path, chunk_id, vector) most like each query (key, query_vector): key, path, chunk_id, similarity, rank
+    from 0; of equal cosines the first path and chunk.
+
+    Exact, over all chunks: each batch of chunks is compared with ``ASKED`` queries at a time as a matrix and gives off k
+    of them a query, of which Spark ranks the best; no pair leaves its task otherwise. A scan serves ``ASKED`` queries.
+    """
+    spark, out = queries.sparkSession, None
+    fields = {f.name: f.dataType for f in chunks.select("path", "chunk_id").schema.fields}
+    schema = T.StructType([T.StructField("_query", T.IntegerType()), *[T.StructField(n, t) for n, t in fields.items()], T.StructField("similarity", T.DoubleType())])
+    for block in blocks(queries.select(key, "query_vector"), key, ASKED):
+        asked = block.toArrow().combine_chunks()
+        vectors = asked.column("query_vector").chunk(0) if asked.num_rows else pa.array([], pa.list_(pa.float32()))
+        shared = spark.sparkContext.broadcast((asked.num_rows, by_width(vectors)))
+        names = spark.createDataFrame(asked.select([key]).append_column("_query", pa.array(np.arange(asked.num_rows, dtype=np.int32))), T.StructType([queries.schema[key], T.StructField("_query", T.IntegerType())]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            n, known = shared.value
+            for whole in batches:
+                batch = whole.take(pc.sort_indices(whole.select(["path", "chunk_id"]), [("path", "ascending"), ("chunk_id", "ascending")], null_placement="at_start"))
+                mine = by_width(batch.column("vector"))
+                for a in range(0, n, TOGETHER):
+                    scores = np.zeros((min(TOGETHER, n - a), batch.num_rows))
+                    for width, (rows, q, norms) in known.items():
+                        if width in mine:
+                            s, e = np.searchsorted(rows, [a, a + TOGETHER])
+                            at, c, lengths = mine[width]
+                            scores[np.ix_(rows[s:e] - a, at)] = products(q[s:e], c) / np.multiply.outer(norms[s:e], lengths)
+                    i, j = first_of(scores, k)
+                    part = pa.array(j)
+                    yield pa.RecordBatch.from_arrays([pa.array((i + a).astype(np.int32)), batch.column("path").take(part), batch.column("chunk_id").take(part), pa.array(scores[i, j])], names=["_query", "path", "chunk_id", "similarity"])
+
+        found = top_k(chunks.select("path", "chunk_id", "vector").mapInArrow(run, schema), k, "_query").join(F.broadcast(names), "_query").drop("_query")
+        out = found if out is None else out.unionByName(found)
+    return out.select(key, "path", "chunk_id", "similarity", "rank")
+
+
 def ranked(hits: DataFrame, by: list[str | Column], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank from 0; Spark cuts before the shuffle."""
     window = Window.partitionBy(*by).orderBy(*order)

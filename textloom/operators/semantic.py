@@ -72,8 +72,8 @@ def pages(requests: DataFrame, chunks: DataFrame, key: str = "query_id", top_k:
     slim = chunks.select("chunk_id", "vector", *on)
     asking = lambda test: asked.where(test).select(key, "query_vector", *on)
     own = retrieval.similarities(asking("path IS NOT NULL"), slim, key, on).select(key, "path", "chunk_id", "similarity")
-    every = retrieval.similarities(asking("path IS NULL").select(key, "query_vector"), slim.drop("path_bucket"), key).select(key, "path", "chunk_id", "similarity")
-    best = retrieval.top_k(own.unionByName(every), top_k, key)
+    every = retrieval.nearest(asking("path IS NULL"), slim, top_k, key)
+    best = retrieval.top_k(own, top_k, key).unionByName(every)
     texts = chunks.select("path", "chunk_id", "start_line", "end_line", "text")
     hits = retrieval.reranked(best.join(asked.select(key, "question"), key).join(texts, ["path", "chunk_id"]), key, mode, top_k)
     # the order within a page is the rank's; a request without hits keeps its row

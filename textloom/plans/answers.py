@@ -94,8 +94,7 @@ def ask(prompts: DataFrame, chunks: DataFrame, embed: Embed, options: RetrievalO
     vectors = embed([" ".join(r["question"].split()) for r in rows]) if rows else []
     known = spark.createDataFrame([(*r, v) for r, v in zip(rows, vectors, strict=True)], asked.select("prompt_id", "query_ord", "question", F.array().cast("array<float>").alias("query_vector")).schema)
     known = known.withColumn("query_id", F.struct("prompt_id", "query_ord"))
-    slim = retrieval.similarities(known.select("query_id", "query_vector"), chunks.select("path", "chunk_id", "vector"))
-    best = retrieval.top_k(slim, o.top_k).join(known.drop("query_vector"), "query_id").join(chunks.drop("vector"), ["path", "chunk_id"])
+    best = retrieval.nearest(known, chunks, o.top_k).join(known.drop("query_vector"), "query_id").join(chunks.drop("vector"), ["path", "chunk_id"])
     hits = retrieval.fused(retrieval.reranked(best, mode=o.rerank, k=o.top_k), k=o.top_k)
     picked = retrieval.selected(hits, retrieval.spread, o.final_k)
     return {"hits": hits, "selected": picked, "weak": retrieval.weak(hits, prompts), "citations": evidence.cited(evidence.from_hits(picked, ("prompt_id",)), ("prompt_id",))}

@@ -136,14 +136,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "embeddings").select(F.lit("").alias("path"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % QUERIES_OF == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.top_k(retrieval.similarities(asked, chunks)).select("query_id", "chunk_id", "similarity", F.col("rank").cast("long").alias("rank"))
+    return retrieval.nearest(asked, chunks).select("query_id", "chunk_id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's top-k: ranked on vectors alone, then joined with the texts of the few that are left, then reranked."""
     chunks, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
-    slim = retrieval.similarities(asked.select("query_id", "query_vector"), chunks.select("path", "chunk_id", "vector"))
-    best = retrieval.top_k(slim).join(asked.drop("query_vector"), "query_id")
+    best = retrieval.nearest(asked, chunks).join(asked.drop("query_vector"), "query_id")
     return retrieval.reranked(best.join(chunks.drop("vector"), ["path", "chunk_id"]))
 
 
