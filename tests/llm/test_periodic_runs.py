@@ -123,3 +123,15 @@ def test_odd_rows(spark, clashing, nothing, tmp_path):
 def test_known(spark, text, runs, collapsed):
     row = periodic_runs.find_runs(spark.createDataFrame([(text,)], "text string").select(words_of().alias("words"))).first()
     assert [tuple(r) for r in row["runs"]] == runs and row["collapsed"] == collapsed
+
+
+def test_query_against_sql(spark, small):
+    duckdb = pytest.importorskip("duckdb")
+    from textloom.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    found = con.execute(ORACLES["op13_periodic_runs"])
+    names = [d[0] for d in found.description]
+    got = periodic_runs.op13_periodic_runs(spark, small).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))

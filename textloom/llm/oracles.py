@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from textloom.llm import mixing, quality_rules
+from textloom.llm import mixing, periodic_runs, quality_rules
 from textloom.llm.jaccard import PERCENT, SHINGLE
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -79,4 +79,24 @@ SELECT doc_id, size, t.source_size, target, CAST(coalesce(times, 0) * size + coa
 FROM pl LEFT JOIN e USING (k, nk, shard) JOIN t USING (k, nk)
 """
 
-ORACLES = {"op4_mix_sources": MIX, "op5_jaccard_components": JACCARD, "op9_quality_rules": RULES}
+#: All pairs of equal words a period apart; neighbouring ones are a stretch, and the smallest period of equal stretches counts.
+PERIODIC = f"""
+WITH crc AS ({CRC_TABLE}),
+d AS (SELECT doc_id, {words("text")} AS a, {checksum("CAST(doc_id AS VARCHAR)", "t")}::BIGINT AS h FROM documents, crc),
+s AS (SELECT *, len(a)::BIGINT AS n, h // 10 AS g FROM d),
+e AS (SELECT doc_id, a, n, h % 10 = 0 AND n > 0 AS repeats, CASE WHEN n > 0 THEN g % n ELSE 0 END AS s, 1 + (n - CASE WHEN n > 0 THEN g % n ELSE 0 END) // (3 + g % 8) AS p FROM s),
+u AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN repeats AND i >= s THEN a[s + (i - s) % p + 1] ELSE a[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+q AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // {periodic_runs.PERIODS}),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+st AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM k GROUP BY doc_id, q, island HAVING count(*) + q >= greatest({periodic_runs.LEAST}, {periodic_runs.PERIODS} * q)),
+r AS MATERIALIZED (SELECT doc_id, s, len, min(q) AS q FROM st GROUP BY doc_id, s, len),
+b AS (SELECT doc_id, s, len, q FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len::DOUBLE / q DESC, s, q) = 1),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+left_over AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(t.n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+  sha256(coalesce(t.told, '')) AS runs_sha256, sha256(coalesce(left_over.text, '')) AS collapsed_sha256
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+ORACLES = {"op4_mix_sources": MIX, "op5_jaccard_components": JACCARD, "op9_quality_rules": RULES, "op13_periodic_runs": PERIODIC}
