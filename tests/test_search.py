@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textloom.functions import text as tx
 from textloom.operators import chunking, lines, retrieval, search
 
 CYRILLIC = "первая строка\nвторая с текстом\nтретья строка\nчетвёртая с текстом\nпятая строка"
@@ -150,10 +151,16 @@ def test_nearest_is_the_ranking_of_all_similarities(spark, monkeypatch):
     rng.shuffle(rows)
     chunks = spark.createDataFrame(rows, "path string, chunk_id long, vector array<float>").repartition(5)
     asked = spark.createDataFrame([(i, vector()) for i in range(40)] + [(50, [1.0, 0.5, 0.25, 0.1])], "query_id int, query_vector array<float>")
-    want = sorted(map(tuple, retrieval.top_k(retrieval.similarities(asked, chunks)).select("query_id", "rank", "path", "chunk_id", "similarity").collect()))
+    pairs = asked.join(chunks).withColumn("similarity", tx.cosine(F.col("query_vector"), F.col("vector")))
+    best = lambda rows: sorted(map(tuple, retrieval.top_k(rows).select("query_id", "rank", "path", "chunk_id", "similarity").collect()))
+    want = best(pairs)
+    own = asked.withColumn("path", F.when(F.col("query_id") % 3 > 0, F.element_at(F.array(F.lit("a"), F.lit("ä"), F.lit("z"), F.lit("none")), F.col("query_id") % 4 + 1)))
+    inside = best(own.withColumnRenamed("path", "of").join(chunks).where("of IS NULL OR of = path").withColumn("similarity", tx.cosine(F.col("query_vector"), F.col("vector"))))
     monkeypatch.setattr(retrieval, "TOGETHER", 7)
     for most in (65_536, 10):
         monkeypatch.setattr(retrieval, "ASKED", most)
         got = retrieval.nearest(asked, chunks).select("query_id", "rank", "path", "chunk_id", "similarity").collect()
         assert sorted(map(tuple, got)) == want and len(want) == 41 * 8
+        got = retrieval.nearest(own, chunks).select("query_id", "rank", "path", "chunk_id", "similarity").collect()
+        assert sorted(map(tuple, got)) == inside and 0 < len(inside) < len(want)
     assert retrieval.nearest(asked.where("false"), chunks).count() == retrieval.nearest(asked, chunks.where("false")).count() == 0

@@ -20,7 +20,7 @@ OVERLAP_WEIGHT, CONTAINS_WEIGHT, FIRST_LINE_WEIGHT = 0.25, 0.15, 0.01
 RANK_OFFSET = 60
 WEAK_SIMILARITY, WEAK_OVERLAP = 0.18, 0.1
 VERIFIED_READS, READ_LINES, READ_AROUND = 4, 40, 20
-#: Queries of one block: a block of query vectors is sent to every task, whatever the number of queries.
+#: Queries of one block of texts: a block is sent to every task, whatever the number of queries.
 QUERY_BLOCK = 4096
 #: Queries that one scan of all vectors serves (16 MB of 64 numbers each), and those compared at a time.
 ASKED, TOGETHER = 65_536, 128
@@ -35,21 +35,6 @@ def blocks(queries: DataFrame, key: str, most: int = QUERY_BLOCK) -> list[DataFr
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, key: str = "query_id", on: list[str] | None = None) -> DataFrame:
-    """Each query (key, query_vector) with each chunk (path, chunk_id, vector) and their cosine, block by block.
-
-    on: columns of both that must be equal, such as the path. Norms are computed once for each vector.
-    """
-    normed = chunks.withColumn("_norm", tx.norm(F.col("vector")))
-    out = None
-    for block in blocks(queries, key):
-        asked = block.withColumn("_query_norm", tx.norm(F.col("query_vector")))
-        scored = normed.join(F.broadcast(asked), on).withColumn("similarity", tx.cosine(F.col("query_vector"), F.col("vector"), F.col("_query_norm"), F.col("_norm")))
-        scored = scored.drop("_norm", "_query_norm", "query_vector", "vector")
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The dot product of each row of q with each row of c: products in single precision, summed left to right in double."""
     out = np.zeros((len(q), len(c)))
@@ -89,37 +74,54 @@ def first_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
 
 
+def compared(batch: pa.RecordBatch, known: dict, numbers: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest chunks of a batch, in order of path and chunk, for each of the queries ``numbers``, whose vectors are known."""
+    mine, n = by_width(batch.column("vector")), len(numbers)
+    for a in range(0, n, TOGETHER):
+        scores = np.zeros((min(TOGETHER, n - a), batch.num_rows))
+        for width, (rows, q, norms) in known.items():
+            if width in mine:
+                s, e = np.searchsorted(rows, [a, a + TOGETHER])
+                at, c, lengths = mine[width]
+                scores[np.ix_(rows[s:e] - a, at)] = products(q[s:e], c) / np.multiply.outer(norms[s:e], lengths)
+        i, j = first_of(scores, k)
+        part = pa.array(j)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[i + a]), batch.column("path").take(part), batch.column("chunk_id").take(part), pa.array(scores[i, j])], names=["_query", "path", "chunk_id", "similarity"])
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "query_id") -> DataFrame:
     """The k chunks (path, chunk_id, vector) most like each query (key, query_vector): key, path, chunk_id, similarity, rank
-    from 0; of equal cosines the first path and chunk.
+    from 0; of equal cosines the first path and chunk. A query that also has a path searches that path's chunks alone.
 
     Exact, over all chunks: each batch of chunks is compared with ``ASKED`` queries at a time as a matrix and gives off k
     of them a query, of which Spark ranks the best; no pair leaves its task otherwise. A scan serves ``ASKED`` queries.
     """
     spark, out = queries.sparkSession, None
+    path = F.col("path") if "path" in queries.columns else F.lit(None)
     fields = {f.name: f.dataType for f in chunks.select("path", "chunk_id").schema.fields}
     schema = T.StructType([T.StructField("_query", T.IntegerType()), *[T.StructField(n, t) for n, t in fields.items()], T.StructField("similarity", T.DoubleType())])
-    for block in blocks(queries.select(key, "query_vector"), key, ASKED):
+    for block in blocks(queries.select(key, "query_vector", path.cast("string").alias("path")), key, ASKED):
         asked = block.toArrow().combine_chunks()
+        numbers = np.arange(asked.num_rows, dtype=np.int32)
         vectors = asked.column("query_vector").chunk(0) if asked.num_rows else pa.array([], pa.list_(pa.float32()))
-        shared = spark.sparkContext.broadcast((asked.num_rows, by_width(vectors)))
-        names = spark.createDataFrame(asked.select([key]).append_column("_query", pa.array(np.arange(asked.num_rows, dtype=np.int32))), T.StructType([queries.schema[key], T.StructField("_query", T.IntegerType())]))
+        of: dict[str | None, list[int]] = {}
+        for i, name in enumerate(asked.column("path").to_pylist()):
+            of.setdefault(name, []).append(i)
+        shared = spark.sparkContext.broadcast({name: (numbers[own], by_width(vectors.take(pa.array(own)))) for name, own in of.items()})
+        names = spark.createDataFrame(asked.select([key]).append_column("_query", pa.array(numbers)), T.StructType([queries.schema[key], T.StructField("_query", T.IntegerType())]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            n, known = shared.value
+            groups = shared.value
             for whole in batches:
                 batch = whole.take(pc.sort_indices(whole.select(["path", "chunk_id"]), [("path", "ascending"), ("chunk_id", "ascending")], null_placement="at_start"))
-                mine = by_width(batch.column("vector"))
-                for a in range(0, n, TOGETHER):
-                    scores = np.zeros((min(TOGETHER, n - a), batch.num_rows))
-                    for width, (rows, q, norms) in known.items():
-                        if width in mine:
-                            s, e = np.searchsorted(rows, [a, a + TOGETHER])
-                            at, c, lengths = mine[width]
-                            scores[np.ix_(rows[s:e] - a, at)] = products(q[s:e], c) / np.multiply.outer(norms[s:e], lengths)
-                    i, j = first_of(scores, k)
-                    part = pa.array(j)
-                    yield pa.RecordBatch.from_arrays([pa.array((i + a).astype(np.int32)), batch.column("path").take(part), batch.column("chunk_id").take(part), pa.array(scores[i, j])], names=["_query", "path", "chunk_id", "similarity"])
+                if None in groups:
+                    yield from compared(batch, groups[None][1], groups[None][0], k)
+                if len(groups) > (None in groups):
+                    paths = batch.column("path").cast(pa.string()).to_pylist()
+                    starts = [i for i in range(len(paths)) if not i or paths[i] != paths[i - 1]] + [len(paths)]
+                    for a, b in zip(starts[:-1], starts[1:], strict=True):
+                        if paths[a] is not None and paths[a] in groups:
+                            yield from compared(batch.slice(a, b - a), groups[paths[a]][1], groups[paths[a]][0], k)
 
         found = top_k(chunks.select("path", "chunk_id", "vector").mapInArrow(run, schema), k, "_query").join(F.broadcast(names), "_query").drop("_query")
         out = found if out is None else out.unionByName(found)

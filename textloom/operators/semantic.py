@@ -65,15 +65,12 @@ def pages(requests: DataFrame, chunks: DataFrame, key: str = "query_id", top_k:
     buckets: the parts of an index that is laid out by path_bucket; those that no request names are not read.
     """
     asked = normalized(requests, key)
-    on = ["path"]
     if buckets:
-        asked, on = asked.withColumn("path_bucket", path_bucket(F.col("path"), buckets)), ["path", "path_bucket"]
+        asked = asked.withColumn("path_bucket", path_bucket(F.col("path"), buckets))
     checked(asked, chunks)
-    slim = chunks.select("chunk_id", "vector", *on)
-    asking = lambda test: asked.where(test).select(key, "query_vector", *on)
-    own = retrieval.similarities(asking("path IS NOT NULL"), slim, key, on).select(key, "path", "chunk_id", "similarity")
-    every = retrieval.nearest(asking("path IS NULL"), slim, top_k, key)
-    best = retrieval.top_k(own, top_k, key).unionByName(every)
+    if buckets and asked.where("path IS NULL").isEmpty():  # the parts that are named; there are few parts in all
+        chunks = chunks.where(F.col("path_bucket").isin([r["path_bucket"] for r in asked.select("path_bucket").distinct().collect()]))
+    best = retrieval.nearest(asked.select(key, "query_vector", "path"), chunks, top_k, key)
     texts = chunks.select("path", "chunk_id", "start_line", "end_line", "text")
     hits = retrieval.reranked(best.join(asked.select(key, "question"), key).join(texts, ["path", "chunk_id"]), key, mode, top_k)
     # the order within a page is the rank's; a request without hits keeps its row

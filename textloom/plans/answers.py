@@ -59,7 +59,7 @@ def request_column(task: str, question: Column, name: str, text: Column) -> Colu
 
 def request_tokens(task: str, question: str, **blocks: str) -> int:
     """Estimated tokens of a call, with its blocks' texts."""
-    return chunking.REQUEST + chunking.MESSAGE + chunking.approx(len("user")) + chunking.approx(len(request(task, question, **blocks)))
+    return chunking.overhead([("user", request(task, question, **blocks))]) + chunking.approx(1)
 
 
 @dataclass(frozen=True)

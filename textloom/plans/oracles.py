@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from textloom.functions.facts import BULLET, INSTRUCTION_PREFIXES, LEAD_INS, MOST_FACTS, REPORTING
 from textloom.functions.text import STOP_WORDS
-from textloom.operators import chunking
 from textloom.operators.chunking import CHUNK_BYTES, OVERLAP_BYTES
-from textloom.plans.queries import AROUND, CONTEXT, FALLBACK, FIRST, LAST, LITERAL, ONE_PATH, OVERLAP, PATTERN, QUERIES_OF, TOKENS_MOST, TOKENS_REQUEST
+from textloom.plans.queries import AROUND, CONTEXT, FALLBACK, FIRST, LAST, LITERAL, ONE_PATH, OVERLAP, PATTERN, QUERIES_OF, TOKENS_REQUEST
 
 quoted = lambda words: ", ".join("'" + w + "'" for w in words)
 LINES = """
@@ -113,7 +112,8 @@ cuts AS (SELECT doc_id, s, -1::BIGINT AS p, 0::BIGINT AS q, 0::BIGINT AS t FROM
 chunks AS (SELECT doc_id, s, 0 AS p, s + 1 AS start_line, b AS end_line, e[s + 1] AS byte_offset, array_to_string(a[s + 1:b], chr(10)) AS text FROM starts JOIN whole USING (doc_id) WHERE b > s
   UNION ALL SELECT doc_id, s, p, s + 1, s + 1, off + n[p + 1], substring(line, p + 1, q - p) FROM cuts JOIN marks USING (doc_id, s) JOIN long USING (doc_id, s) WHERE p >= 0)
 """
-TOKEN_CHARS = (chunking.budget(TOKENS_MOST) - TOKENS_REQUEST) * chunking.CHARS
+#: Three fifths of 1000 tokens without the 80 of the request, three characters each.
+TOKEN_CHARS = 1560
 PIECES = f"""WITH RECURSIVE {LINES},
 bare AS (SELECT doc_id, line_no, CASE WHEN ends_with(text, chr(13)) THEN text[1:length(text) - 1] ELSE text END AS text FROM raw_lines),
 summed AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS e FROM bare),
@@ -130,6 +130,16 @@ starts = lambda c, words: "(" + " OR ".join(f"starts_with({c}, '{w}')" for w in
 holds = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 WHITE = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
+#: A text's lines as facts: (doc_id, i, fact), bullets off, instructions and blank lines out.
+FACTS = f"""t AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM t),
+b AS (SELECT doc_id, i, {WHITE.format("regexp_replace(" + WHITE.format("line") + ", '" + BULLET.replace("(?U)", "") + "', '')")} AS fact FROM u),
+f AS (SELECT * FROM b WHERE fact <> '' AND NOT {starts("lower(fact)", INSTRUCTION_PREFIXES)})"""
+FIRST_BYTES = ["text/plain; charset=utf-8", "text/plain; charset=utf-8", "image/gif", "audio/wave", "application/octet-stream", "text/html; charset=utf-8", "text/xml; charset=utf-8"]
+SCRIPT = f"""{PIECES}, c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, p) - 1 AS chunk_id, text, string_split(text, chr(10))[1] AS first FROM chunks),
+said AS (SELECT *, length(text) < 200 AS skip, {WHITE.format("first")} AS fact FROM c),
+told AS (SELECT doc_id, chunk_id, CASE WHEN skip THEN '' WHEN fact = '' OR {starts("lower(fact)", INSTRUCTION_PREFIXES)} THEN '--' ELSE fact || chr(10) || '--' END AS facts, skip,
+  CASE WHEN skip THEN 1 ELSE 3 END::BIGINT AS raw_lines, length(text) AS prompt_tokens, CASE WHEN skip THEN 1 ELSE 2 END::BIGINT AS completion_tokens FROM said)"""
+
 ORACLES: dict[str, str] = {
     "lines_with_offsets": f"WITH {LINES} SELECT doc_id, line_no, text, CAST(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - strlen(text) - 1 AS BIGINT) AS byte_start, strlen(text) AS byte_len FROM raw_lines",
     "search_literal": f"WITH {LINES} {FOUND}",
@@ -166,7 +176,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN vec_id // {QUERIES_OF} % 5 = 4 THEN 50 ELSE (vec_id // {QUERIES_OF}) % 3 * 2 - 1 END AS off FROM e LEFT JOIN documents d ON d.doc_id = vec_id WHERE vec_id % {QUERIES_OF} = 0"""),
     "semantic_search_path": pages(f"SELECT vec_id AS query_id, v, n, (SELECT min(path) FROM chunks) AS path, 6 AS lim, 1 AS off FROM e WHERE vec_id % {QUERIES_OF} = 0"),
     "rrf_fusion": f"WITH {FUSED} SELECT prompt_id, path, chunk_id, round(score, 12) AS score, similarity, overlap, start_line, end_line, rank FROM fused",
-    "weak_gate": f"WITH {FUSED} SELECT prompt_id, similarity < 0.18 AND overlap < 0.1 AS weak FROM fused WHERE rank = 0",
+    "weak_gate": f"WITH {FUSED} SELECT prompt_id, similarity < 0.18 AND overlap < 0.1 AS weak FROM fused WHERE rank = 0 UNION ALL SELECT -1, true",
     "select_evidence": f"""{SPREAD}, picks AS (SELECT f.*, CASE WHEN list_contains(chosen, rank) THEN list_position(chosen, rank) - 1 ELSE len(chosen) + rank - len(list_filter(chosen, lambda c: c < rank)) END AS pick FROM f JOIN done USING (prompt_id))
         SELECT prompt_id, path, chunk_id, pick::BIGINT AS pick FROM picks WHERE pick < 4""",
     "verification_reads": f"""{APART}, picks AS (SELECT f.*, list_position(chosen, rank) - 1 AS pick, end_line - start_line + 1 AS size FROM f JOIN done USING (prompt_id) WHERE list_contains(chosen, rank))
@@ -212,4 +222,36 @@ ORACLES: dict[str, str] = {
         one AS (SELECT place // 4096 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM p GROUP BY place // 4096),
         two AS (SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest FROM one)
         SELECT sha256('5:texts|1:1|' || digest) AS content_hash FROM two""",
+    "text_forms": f"""WITH {FACTS},
+        g AS (SELECT doc_id, array_to_string(list(fact ORDER BY i)[1:3], chr(10)) AS three, coalesce(array_to_string(list(fact ORDER BY i) FILTER (fact <> '---'), chr(10)), '') AS merged FROM f GROUP BY doc_id),
+        l AS (SELECT doc_id, i, {WHITE.format("line")} AS line FROM u), k AS (SELECT * FROM l WHERE NOT {starts("lower(line)", INSTRUCTION_PREFIXES)}),
+        n AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k), m AS (SELECT doc_id, {WHITE.format("string_agg(line, chr(10) ORDER BY i)")} AS text FROM n WHERE line <> '' OR coalesce(before, '') <> '' GROUP BY doc_id)
+        SELECT d.doc_id, sha256('=== file: ' || d.doc_id || ' ===' || chr(10) || d.text || CASE WHEN d.text = '' OR ends_with(d.text, chr(10)) THEN '' ELSE chr(10) END) AS part_sha256,
+        sha256(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) AS input_sha256, sha256(coalesce(m.text, '')) AS sanitized_sha256,
+        sha256(CASE WHEN {WHITE.format("d.text")} = '' THEN '' WHEN upper({WHITE.format("d.text")}) = 'SKIP' THEN 'SKIP' ELSE coalesce(g.three, '') END) AS first_facts_sha256, sha256(coalesce(g.merged, '')) AS merged_facts_sha256,
+        CASE WHEN d.doc_id % 7 IN (0, 1) AND regexp_matches(d.text[1:512], '[\\x00-\\x08\\x0B\\x0E-\\x1A\\x1C-\\x1F]') THEN 'other' ELSE {FIRST_BYTES}[d.doc_id % 7 + 1] END AS kind
+        FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "file_names": """SELECT doc_id, path || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS path FROM (SELECT doc_id, coalesce(source, 'none') AS path, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS k FROM documents)""",
+    "rerank_off": f"WITH {HITS} SELECT query_id, path, chunk_id, similarity, overlap, similarity AS score, r - 1 AS rank FROM scored",
+    "evidence_kinds": f"""WITH {FUSED}, {LINES},
+        top AS (SELECT prompt_id, chunk_id AS doc_id FROM fused WHERE rank = 0),
+        found AS (SELECT prompt_id, 'retrieved' AS kind, path, start_line AS s, end_line AS e FROM fused
+          UNION ALL SELECT prompt_id, 'verified', path, start_line, end_line FROM fused WHERE rank = 0
+          UNION ALL SELECT prompt_id, 'verified', CAST(doc_id AS VARCHAR), line_no, line_no FROM top JOIN lines USING (doc_id) WHERE regexp_matches(content, '{PATTERN}', 'i')
+          UNION ALL SELECT prompt_id, 'retrieved', CAST(doc_id AS VARCHAR), 1, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) FROM top JOIN documents USING (doc_id) WHERE text <> ''),
+        clamped AS (SELECT DISTINCT prompt_id, kind, trim(path) AS path, greatest(s, 1) AS s, greatest(e, greatest(s, 1)) AS e FROM found WHERE trim(path) <> ''),
+        flagged AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY prompt_id, kind, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM clamped),
+        islands AS (SELECT *, sum(fresh) OVER (PARTITION BY prompt_id, kind, path ORDER BY s, e) AS island FROM flagged),
+        ranges AS (SELECT prompt_id, kind, path, min(s) AS start_line, max(e) AS end_line FROM islands GROUP BY prompt_id, kind, path, island),
+        points AS (SELECT prompt_id, path, start_line AS s, unnest(range(start_line, end_line + 1)) AS p FROM ranges WHERE kind = 'retrieved'),
+        gone AS (SELECT DISTINCT prompt_id, path, unnest(range(start_line, end_line + 1)) AS p FROM ranges WHERE kind = 'verified'),
+        kept AS (SELECT *, p - row_number() OVER (PARTITION BY prompt_id, path, s ORDER BY p) AS run FROM points ANTI JOIN gone USING (prompt_id, path, p)),
+        rest AS (SELECT prompt_id, path, min(p) AS start_line, max(p) AS end_line FROM kept GROUP BY prompt_id, path, s, run),
+        entries AS (SELECT prompt_id, 1 AS o, 'Verified' AS name, path, {SPAN} AS lines FROM ranges WHERE kind = 'verified' GROUP BY prompt_id, path UNION ALL SELECT prompt_id, 2, 'Retrieved', path, {SPAN} FROM rest GROUP BY prompt_id, path),
+        blocks AS (SELECT prompt_id, o, name || ':' || chr(10) || chr(10) || string_agg('- ' || path || ':' || chr(10) || '  ' || lines, chr(10) ORDER BY path) AS block FROM entries GROUP BY prompt_id, o, name)
+        SELECT prompt_id, string_agg(block, chr(10) || chr(10) ORDER BY o) AS sources FROM blocks GROUP BY prompt_id""",
+    "novel_matches": f"WITH {LINES} SELECT doc_id, line_no FROM lines WHERE regexp_matches(content, '{PATTERN}', 'i') AND NOT {literal}",
+    "scripted_map": f"{SCRIPT} SELECT doc_id, chunk_id, sha256(facts) AS facts_sha256, false AS failed, 1::BIGINT AS calls, raw_lines, prompt_tokens, completion_tokens FROM told",
+    "scripted_counters": f"""{SCRIPT} SELECT count(*) AS chunks, count(*) AS calls, count(*) FILTER (facts <> '') AS successes, count(*) FILTER (facts = '') AS skips, 0::BIGINT AS errors, sum(raw_lines)::BIGINT AS fact_lines_raw,
+        sum(CASE WHEN facts = '' THEN 0 ELSE len(string_split(facts, chr(10))) END)::BIGINT AS fact_lines_kept, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM told""",
 }

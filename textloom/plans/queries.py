@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import calls as cx
 from textloom.functions import facts as fx
+from textloom.functions import media
 from textloom.functions import text as tx
 from textloom.operators import chunking, evidence, lines, retrieval, search, semantic, tools
+from textloom.plans import answers
 from textloom.sources import corpus, index
 
 #: What the registered searches look for.
@@ -139,11 +141,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(asked, chunks).select("query_id", "chunk_id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, mode: str = "heuristic") -> DataFrame:
     """Each query's top-k: ranked on vectors alone, then joined with the texts of the few that are left, then reranked."""
     chunks, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
     best = retrieval.nearest(asked, chunks).join(asked.drop("query_vector"), "query_id")
-    return retrieval.reranked(best.join(chunks.drop("vector"), ["path", "chunk_id"]))
+    return retrieval.reranked(best.join(chunks.drop("vector"), ["path", "chunk_id"]), mode=mode)
 
 
 def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +191,9 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.weak(rrf(spark, sf_dir), questions(spark, sf_dir))
+    """The prompts of all questions, and one that found nothing."""
+    prompts = questions(spark, sf_dir).select("prompt_id")
+    return retrieval.weak(rrf(spark, sf_dir), prompts.union(prompts.agg(F.lit(-1).cast(prompts.schema["prompt_id"].dataType))))
 
 
 def select_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,11 +291,80 @@ def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found,)], "content_hash string")
 
 
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a part of a corpus text, as an embedder's input, without instructions, as facts, and what kind of
+    content its bytes are behind the first bytes of some formats."""
+    heads = F.array(*[F.lit(h) for h in (b"", b"\xef\xbb\xbf", b"GIF89a", b"RIFF\x01\x02\x03\x04WAVE", b"\x00", b"<!-- ", b" <?xml ")])
+    content = F.concat(F.element_at(heads, (F.col("doc_id") % 7 + 1).cast("int")), F.col("text").cast("binary"))
+    sha = lambda c, name: F.sha2(c, 256).alias(name)
+    return docs(spark, sf_dir).select(
+        "doc_id", sha(corpus.entry(F.col("doc_id").cast("string"), F.col("text")), "part_sha256"), sha(tx.folded(F.col("text")), "input_sha256"), sha(fx.sanitized(F.col("text")), "sanitized_sha256"),
+        sha(fx.fact_output(F.col("text"), 3), "first_facts_sha256"), sha(F.array_join(fx.fact_lines(F.col("text"), True), "\n"), "merged_facts_sha256"), media.media_type(content).alias("kind"),
+    )
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the name of its source, repeated names told apart in the ids' order."""
+    named = docs(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("none")).alias("path"))
+    return corpus.disambiguated(named, "doc_id").select("doc_id", "path")
+
+
+def rerank_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's hits in the order of their similarity alone."""
+    return hits(spark, sf_dir, "off").select("query_id", "path", "chunk_id", "similarity", "overlap", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def evidence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of each prompt as a text: its hits' lines as retrieved evidence, what would be read of its first hit as
+    verified, matches of the pattern in that hit's document as verified, and the document as a whole file."""
+    found = rrf(spark, sf_dir).checkpoint()
+    picked = retrieval.planned_reads(found.where("rank = 0"))
+    top = found.where("rank = 0").select("prompt_id", F.col("chunk_id").alias("doc_id"))
+    texts = docs(spark, sf_dir).join(F.broadcast(top), "doc_id")
+    lines_of = search.regex_matches(texts.withColumn("of", F.struct("prompt_id", "doc_id")), PATTERN, "of").select("of.*", "line_no")
+    whole = evidence.whole_files(texts.withColumn("of", F.concat_ws(":", "prompt_id", "doc_id")), "of")
+    whole = whole.select(F.split("path", ":")[0].cast("long").alias("prompt_id"), "kind", F.split("path", ":")[1].alias("path"), "start_line", "end_line")
+    by = ("prompt_id",)
+    all_ = evidence.from_hits(found, by).unionByName(evidence.from_reads(picked, by)).unionByName(evidence.from_matches(lines_of, "doc_id", by)).unionByName(whole)
+    return evidence.source_list(evidence.cited(all_, by), "prompt_id")
+
+
+def novel_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the pattern matches and the literal search had not shown."""
+    own = docs(spark, sf_dir)
+    return evidence.novel(search.regex_matches(own, PATTERN, "doc_id").select("doc_id", "line_no"), search.literal_matches(own, LITERAL, "doc_id"), ["doc_id", "line_no"])
+
+
+def scripted(text: str) -> answers.Reply:
+    """A model's part in the map queries: a text's first line twice, as a list, and its tokens; short texts are skipped."""
+    if len(text) < 200:
+        return answers.Reply("SKIP", len(text), 1)
+    first = text.split("\n")[0]
+    return answers.Reply(f"- {first}\n* {first}\n---\n", len(text), 2)
+
+
+def chunk_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.chunk_by_tokens(docs(spark, sf_dir), TOKENS_MOST, TOKENS_REQUEST, path="doc_id").withColumnRenamed("doc_id", "path")
+    return answers.map_facts(chunks, scripted)
+
+
+def scripted_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scripted model says to every chunk, as facts, with what the call took."""
+    return chunk_facts(spark, sf_dir).select(F.col("path").alias("doc_id"), "chunk_id", F.sha2("facts", 256).alias("facts_sha256"), "failed", "calls", "raw_lines", "prompt_tokens", "completion_tokens")
+
+
+def scripted_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of the same calls, observed while they are made."""
+    facts, seen = answers.observed(chunk_facts(spark, sf_dir))
+    facts.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get.values())], ", ".join(f"{k} long" for k in seen.get))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_with_offsets, search_literal, search_literal_page, search_overlap_page, search_one_path, search_totals, search_regex, search_token_overlap, search_auto_hit, search_auto_fallback, search_context_lines,
         read_lines, read_around, list_documents_page, tokenize_distinct, approx_tokens, seed_queries, overlap_ratio, cosine_topk, heuristic_rerank, semantic_search_pages, semantic_search_path, rrf_fusion, weak_gate,
-        select_evidence, verification_reads, merge_ranges, subtract_ranges, evidence_sources, instruction_lines, fact_ranking, conversation_context, chunk_bytes, chunk_tokens, tool_search_sql, tool_ranges_sql, session_novelty, tool_calls_in_text, corpus_hash,
+        select_evidence, verification_reads, merge_ranges, subtract_ranges, evidence_sources, instruction_lines, fact_ranking, conversation_context, chunk_bytes, chunk_tokens, tool_search_sql, tool_ranges_sql, session_novelty, tool_calls_in_text, corpus_hash, text_forms, file_names, rerank_off, evidence_kinds, novel_matches, scripted_map, scripted_counters,
     )
 }
