@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import tempfile
 import uuid
@@ -66,22 +65,23 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def own(spark: SparkSession, folder: str) -> None:
+    """Takes a written folder into the tables that go when the process ends, whether the session is stopped by then or not."""
+    WRITTEN.append((spark, folder))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def discard(spark: SparkSession, folders: list[str]) -> None:
     """Deletes folders of stored tables that nothing reads any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+        path.getFileSystem(conf).cancelDeleteOnExit(path)
     WRITTEN[:] = [w for w in WRITTEN if w[1] not in folders]
 
 
-@atexit.register
-def discard_rest() -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone, and the folders with it
-        for spark, folder in list(WRITTEN):
-            discard(spark, [folder])
-
-
 @contextlib.contextmanager
 def scratch(*kept: str) -> Iterator[None]:
     """Tables stored inside are deleted at the end, but those of the names ``kept``, which the result still reads."""
@@ -95,8 +95,10 @@ def scratch(*kept: str) -> Iterator[None]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: it cuts the lineage, and lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/textloom-{name}-{uuid.uuid4().hex}"
-    WRITTEN.append((df.sparkSession, path))
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        own(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe
-from textloom.llm.common import partitions, shared_dir, stored, table
+from textloom.llm.common import own, partitions, shared_dir, stored, table
 
 #: The end-of-document id and the width of a token in the files.
 END, DTYPE = 50_256, "<u2"
@@ -32,8 +32,10 @@ def write_flat(docs: DataFrame, folder: str, end: int = END, dtype: str = DTYPE)
     """Writes the ids of docs (doc_id, ids) to flat files in a folder, one for each partition; returns where each went.
 
     The result, (file, ordinal, doc_id), is stored, so each file is written once; a task that runs again writes the
-    same file anew under another name and moves it into place. Documents without tokens are a separator alone.
+    same file anew under another name and moves it into place. Documents without tokens are a separator alone. Ids that a
+    token of the files has no room for are an error.
     """
+    most = np.iinfo(dtype).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -45,7 +47,10 @@ def write_flat(docs: DataFrame, folder: str, end: int = END, dtype: str = DTYPE)
             for batch in batches:
                 ids = batch.column(1)
                 ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
-                out.write(np.insert(ids.flatten().to_numpy().astype(dtype), ends, end).tobytes())
+                flat = ids.flatten().to_numpy()
+                if len(flat) and not 0 <= flat.min() <= flat.max() <= most:
+                    raise ValueError(f"an id is outside 0 to {most}")
+                out.write(np.insert(flat.astype(dtype), ends, end).tobytes())
                 places = pa.array(range(n, n + len(ids)), pa.int64())
                 n += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), places, batch.column(0)], names=["file", "ordinal", "doc_id"])
@@ -129,5 +134,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/textloom-tokens-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     places = write_flat(bpe.encode(docs, special=False).select("doc_id", "ids"), folder)
+    own(spark, folder)
     counts = count_tokens(flat_files(spark, folder)).withColumn("file", F.element_at(F.split("path", "/"), -1))
     return counts.join(places, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
