@@ -39,7 +39,7 @@ class Spooled:
 
 def spooled(spark: SparkSession, handle: BinaryIO, name: str = "stdin", block: int = BLOCK) -> Spooled:
     """Copies all of a handle into a file of its own in the shared folder. Memory holds ``READ`` bytes, whatever the
-    handle's length; a copy that fails is deleted."""
+    handle's length; a copy that fails is deleted at once, others when the process ends."""
     folder = f"{shared_folder(spark)}/spooled-{uuid4().hex}"
     fs, path = files_of(spark, f"{folder}/text")
     digest, at, lines, blocks, open_line = hashlib.sha256(), 0, 0, [(0, 1)], False
@@ -58,6 +58,7 @@ def spooled(spark: SparkSession, handle: BinaryIO, name: str = "stdin", block: i
         out.close()
         fs.delete(path.getParent(), True)
         raise
+    fs.deleteOnExit(path.getParent())
     blocks = [b for b in blocks if b[0] < at]
     return Spooled(name, as_uri(f"{folder}/text"), digest.hexdigest(), at, lines + open_line, tuple(blocks))
 
