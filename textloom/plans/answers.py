@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,10 +253,11 @@ def remembered(rows: DataFrame, memo: str, call: str, run: Callable[[DataFrame],
     told = spark.read.schema(layout).parquet(here).withColumn("cached", F.lit(False))
     zero = [F.lit(0).cast("long").alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")]
     known = done.select("signature", "answer", F.lit(False).alias("failed"), *zero, F.lit(True).alias("cached")).unionByName(told)
-    joined = keyed.drop("text").join(known, "signature")
-    first = F.row_number().over(Window.partitionBy("signature").orderBy(*[c for c in rows.columns if c != "text"])) == 1
+    rest = [c for c in rows.columns if c != "text"]
+    firsts = keyed.groupBy("signature").agg(F.min(F.struct(*rest)).alias("first"))  # of equal texts one row counts the call
+    joined = keyed.drop("text").join(known.join(firsts, "signature"), "signature").withColumn("first", F.struct(*rest).eqNullSafe(F.col("first")))
     once = [F.when(F.col("first"), F.col(c)).otherwise(0).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")]
-    return joined.withColumn("first", first).select(*[c for c in rows.columns if c != "text"], "answer", "failed", *once, "cached")
+    return joined.select(*rest, "answer", "failed", *once, "cached")
 
 
 def map_facts(chunks: DataFrame, chat: Chat, tries: int = 4, delay: float = 1.0, memo: str | None = None, model: str = "") -> DataFrame:

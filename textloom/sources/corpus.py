@@ -59,10 +59,25 @@ def open_input(spark: SparkSession, path: str | None = None, handle: BinaryIO |
     return "file", walk.contents(one).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(path).alias("source"))
 
 
+def placed(rows: DataFrame, at: str) -> DataFrame:
+    """rows with place: their number from 0 in the order of the column ``at``. No task sees more than its range of them.
+
+    Rows are dealt by ranges and sorted there; the ranges' sizes, a row for each partition, say where each begins.
+    """
+    ranged = rows.repartitionByRange(at).sortWithinPartitions(at).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    own = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(starts), part == F.col("_part")).select(*rows.columns, own.alias("place"))
+
+
 def disambiguated(docs: DataFrame, order: str) -> DataFrame:
     """docs with repeated paths told apart in order of a unique column: the second is path#2, the third path#3; taken names are skipped.
 
-    Names can only meet where they are the same without their numbers; texts don't go with them.
+    Texts don't go with the names. However often a path repeats, its rows are numbered in ranges; only families in which
+    names with a number are there already are gone through one by one, each in one task.
     """
 
     def named(group: pd.DataFrame) -> pd.DataFrame:
@@ -79,10 +94,15 @@ def disambiguated(docs: DataFrame, order: str) -> DataFrame:
             names.append(name)
         return pd.DataFrame({"_order": group["_order"].sort_values(), "_name": names})
 
-    keys = docs.select(F.col(order).alias("_order"), "path")
-    family = keys.withColumn("_root", F.regexp_replace("path", r"(#[0-9]+)+$", "")).groupBy("_root")
-    names = family.applyInPandas(named, keys.select("_order", F.col("path").alias("_name")).schema)
-    return docs.join(names, F.col(order) == F.col("_order")).withColumn("path", F.col("_name")).drop("_order", "_name")
+    keys = docs.select(F.col(order).alias("_order"), "path", F.regexp_replace("path", r"(#[0-9]+)+$", "").alias("_root"))
+    numbered = keys.where("path <> _root").select("_root").distinct()
+    schema = keys.select("_order", F.col("path").alias("_name")).schema
+    odd = keys.join(numbered, "_root", "left_semi").groupBy("_root").applyInPandas(named, schema)
+    plain = placed(keys.join(numbered, "_root", "left_anti").select(F.struct("path", "_order").alias("_at")), "_at").select("_at.*", "place")
+    first = plain.groupBy(F.col("path").alias("_path")).agg(F.min("place").alias("_first"))
+    k = F.col("place") - F.col("_first") + 1
+    even = plain.join(first, F.col("path").eqNullSafe(F.col("_path"))).select("_order", F.when(k == 1, F.col("path")).otherwise(F.concat("path", F.lit("#"), k.cast("string"))).alias("_name"))
+    return docs.join(even.unionByName(odd), F.col(order) == F.col("_order")).withColumn("path", F.col("_name")).drop("_order", "_name")
 
 
 def entry(path: Column, text: Column) -> Column:
@@ -109,15 +129,8 @@ def content_hash(docs: DataFrame, *options: object, order: tuple[str, ...] = ("p
     texts or places give another. Only digests are sorted, and no task sees more than ``FAN`` of them at once.
     """
     leaf = F.sha2(F.concat(sized(F.col("path").cast("string")), sized(F.coalesce("text", F.lit("")))), 256).alias("digest")
-    slim = docs.select(F.struct(*order, leaf).alias("at"))
-    placed = slim.repartitionByRange("at").sortWithinPartitions("at").select(F.col("at.digest").alias("digest"), F.monotonically_increasing_id().alias("id"))
-    placed = placed.checkpoint()  # its partitions' numbers and sizes are asked for, and then used
-    part = F.shiftright("id", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("start"))  # a row for each partition
-    level = placed.join(F.broadcast(starts), part == F.col("part")).select((F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"), "digest")
-    n = placed.count()
+    level = placed(docs.select(F.struct(*order, leaf).alias("at")), "at").select("place", F.col("at.digest").alias("digest"))
+    n = level.count()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])
     while n > 1:
         level = level.groupBy(F.floor(F.col("place") / FAN).alias("node")).agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest")).withColumnRenamed("node", "place")
