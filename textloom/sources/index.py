@@ -22,8 +22,8 @@ from textloom.operators.semantic import path_bucket
 
 #: The layout's version; other versions count as missing.
 VERSION = 3
-#: Parts of an index by path, and how many of a path's chunks go together before another file takes the next ones.
-BUCKETS, RUN = 64, 1 << 16
+#: Parts of an index by path.
+BUCKETS = 64
 TTL = timedelta(hours=24)
 MANIFEST = "version int, created_at timestamp, input_hash string, model string, chunk_size int, chunk_overlap int, item_count long, columns string"
 
@@ -64,8 +64,8 @@ def write_index(chunks: DataFrame, base: str, input_hash: str, model: str, size:
 
     Raises if a fresh index is there by then. Nothing that is written is ever replaced or deleted here, so writers at the
     same time don't harm each other: each one's index is whole before it is named, and all readers take the same one.
-    Chunks lie in a folder for each path_bucket, by path, so that a search in one path reads its own part alone. The
-    chunks of a very long document are many files.
+    Chunks lie in a folder for each path_bucket, by path, so that a search in one path reads its own part alone. A
+    large part, such as that of a very common path, is many files.
     """
     spark, name = chunks.sparkSession, uuid4().hex
     folder = f"{base.rstrip('/')}/{input_hash}"
@@ -74,8 +74,7 @@ def write_index(chunks: DataFrame, base: str, input_hash: str, model: str, size:
     fs, own = files_of(spark, f"{folder}/data-{name}")
     try:
         placed = chunks.withColumn("path_bucket", path_bucket(F.col("path"), BUCKETS))
-        runs = F.floor(F.col("chunk_id") / RUN) if "chunk_id" in chunks.columns else F.lit(0)
-        placed.repartition("path_bucket", runs).sortWithinPartitions("path_bucket", "path").write.partitionBy("path_bucket").parquet(f"{folder}/data-{name}/chunks")
+        placed.hint("rebalance", "path_bucket").sortWithinPartitions("path_bucket", "path").write.partitionBy("path_bucket").parquet(f"{folder}/data-{name}/chunks")
         n = spark.read.schema(placed.schema).parquet(f"{folder}/data-{name}/chunks").count()
         row = (VERSION, datetime.now(timezone.utc), input_hash, model, size, overlap, n, placed.schema.json())
         spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{folder}/data-{name}/manifest")
