@@ -72,7 +72,7 @@ def test_odd_rows(spark, small, clashing, nothing):
 
 def test_every_query_is_registered():
     spec = importlib.util.find_spec("__spark_entry__")
-    assert spec and [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+    assert spec and [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
 
 
 def test_lines_stay_where_nothing_repeats(spark, small):
