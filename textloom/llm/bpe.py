@@ -175,6 +175,8 @@ def digest(ids: str = "ids") -> Column:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated ids included: its tokens' number, the digest of their ids, and that of the text
+    decoded from them. Null and empty texts have no tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode(docs).select("doc_id", "ids")
     return decode(coded).select(

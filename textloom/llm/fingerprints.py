@@ -138,4 +138,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, see ``fingerprints``."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -339,4 +339,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each page, see ``extract_text``."""
     return extract_text(table(spark, sf_dir, "pages"))

@@ -465,4 +465,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, see ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"))

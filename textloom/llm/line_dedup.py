@@ -230,4 +230,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, see ``dedup_lines``."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -159,4 +159,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, see ``mix``."""
     return mix(sized(table(spark, sf_dir, "documents")))

@@ -188,4 +188,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, see ``classify``."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -143,4 +143,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, see ``quality_rules``."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -109,6 +109,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op3_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated ids included, see ``shard_documents``: the law is ``bytes``."""
     return shard_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
