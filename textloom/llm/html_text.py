@@ -89,23 +89,6 @@ def boilerplate(tag: str, attributes: str, inside_marked: bool) -> tuple[str, bo
 
 
 @lru_cache(256)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
-@lru_cache(4096)
 def parents(path: str) -> list[str]:
     """The paths of the containers of a path, from the outermost to itself."""
     return [path[:i] for i in (m.start() for m in re.finditer(">", path)) if i] + [path] * bool(path)
