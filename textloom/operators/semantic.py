@@ -30,7 +30,7 @@ def in_path(chunks: DataFrame, path: str | None, buckets: int = 0) -> DataFrame:
     own = chunks.where(F.col("path") == name)
     own = own.where(F.col("path_bucket") == path_bucket(name, buckets)) if buckets else own
     if own.select("path").isEmpty():
-        raise ValueError(f"invalid_arguments: path {path.strip()!r} is not part of the corpus")
+        raise ValueError(f"invalid_arguments: path {path.strip()!r} has no chunks")
     return own
 
 
@@ -47,12 +47,12 @@ def normalized(requests: DataFrame, key: str) -> DataFrame:
 def checked(requests: DataFrame, chunks: DataFrame) -> None:
     """Raises if a normalized request has no question, or a path that no chunk has. Of the chunks, only the named paths are kept."""
     if not requests.where(F.coalesce(F.col("question"), F.lit("")) == "").isEmpty():
-        raise ValueError("invalid_arguments: query must not be empty")
+        raise ValueError("invalid_arguments: a question is empty")
     named = requests.where("path IS NOT NULL").select(*[c for c in ("path", "path_bucket") if c in requests.columns]).distinct()
     known = chunks.select(*named.columns).join(F.broadcast(named), named.columns, "left_semi").distinct()
     lost = named.join(known, "path", "left_anti").select("path").orderBy("path").first()
     if lost is not None:
-        raise ValueError(f"invalid_arguments: path {lost['path']!r} is not part of the corpus")
+        raise ValueError(f"invalid_arguments: path {lost['path']!r} has no chunks")
 
 
 def pages(requests: DataFrame, chunks: DataFrame, key: str = "query_id", top_k: int = retrieval.TOP_K, mode: str = "heuristic", buckets: int = 0) -> DataFrame:
@@ -64,7 +64,7 @@ def pages(requests: DataFrame, chunks: DataFrame, key: str = "query_id", top_k:
     the few matches that are left. Chunks need ``MATCH``'s columns but scores, and vector; path and chunk_id name one.
     buckets: the parts of an index that is laid out by path_bucket; those that no request names are not read.
     """
-    asked = normalized(requests, key)
+    asked = normalized(requests, key).checkpoint()  # a few rows, asked for again and again
     if buckets:
         asked = asked.withColumn("path_bucket", path_bucket(F.col("path"), buckets))
     checked(asked, chunks)

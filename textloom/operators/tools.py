@@ -51,7 +51,7 @@ class Corpus:
         try:
             return search.restricted(self.docs, path, self.path, self.source)
         except ValueError as e:
-            raise ToolError("invalid_arguments", "path is not part of the corpus", tool=tool, path=path) from e
+            raise ToolError("invalid_arguments", "the corpus has no such path", tool=tool, path=path) from e
 
 
 @dataclass(frozen=True)
@@ -70,13 +70,13 @@ class Tool:
         try:
             given = json.loads(raw) if raw and raw.strip() else {}
         except ValueError as e:
-            raise ToolError("invalid_arguments", f"invalid arguments for {self.name}", tool=self.name, error=str(e)) from e
+            raise ToolError("invalid_arguments", f"{self.name} can't take these arguments", tool=self.name, error=str(e)) from e
         wrong = [k for k, kind in self.arguments.items() if isinstance(given, dict) and given.get(k) is not None and (not isinstance(given[k], kind) or isinstance(given[k], bool))]
         if not isinstance(given, dict) or wrong:
-            raise ToolError("invalid_arguments", f"invalid arguments for {self.name}", tool=self.name, fields=wrong)
+            raise ToolError("invalid_arguments", f"{self.name} can't take these arguments", tool=self.name, fields=wrong)
         for k in self.required:
             if k not in given:
-                raise ToolError("invalid_arguments", f"missing required argument {k} for {self.name}", tool=self.name, field=k)
+                raise ToolError("invalid_arguments", f"{self.name} needs {k}", tool=self.name, field=k)
         return self.normalize({k: given[k] if given.get(k) is not None else kind() for k, kind in self.arguments.items()})
 
     def signature(self, raw: str | None) -> str:
@@ -94,7 +94,7 @@ def page_of(a: dict, usual: int, most: int) -> dict:
 
 def search_file(corpus: Corpus, a: dict) -> DataFrame:
     if a["path"] and not a["query"]:
-        raise ToolError("invalid_arguments", "query must not be empty", tool="search_file", field="query")
+        raise ToolError("invalid_arguments", "the query is empty", tool="search_file", field="query")
     docs = corpus.one(a["path"], "search_file")
     try:
         return search.search(docs, a["query"], a["mode"], a["limit"], a["offset"], None, corpus.path, corpus.text, a["context_lines"])
@@ -111,7 +111,7 @@ def read_lines(corpus: Corpus, a: dict) -> DataFrame:
 def read_around(corpus: Corpus, a: dict) -> DataFrame:
     """The lines around one, each with the range that was asked for: from line 1 at least, and beyond the file's end."""
     if a["line"] < 1:
-        raise ToolError("invalid_arguments", "line must be at least 1", tool="read_around", field="line")
+        raise ToolError("invalid_arguments", "lines count from 1", tool="read_around", field="line")
     bounds = {"start_line": max(1, a["line"] - a["before"]), "end_line": a["line"] + a["after"]}
     return read_lines(corpus, a | bounds)
 
@@ -123,19 +123,19 @@ def list_files(corpus: Corpus, a: dict) -> DataFrame:
 def search_rag(corpus: Corpus, a: dict) -> DataFrame:
     """One row: a page of the corpus's chunks, as ``semantic.pages`` gives it."""
     if corpus.chunks is None or corpus.embed is None:
-        raise ToolError("tool_not_ready", "the index is not prepared" if corpus.chunks is None else "no embedder is configured", tool="search_rag")
+        raise ToolError("tool_not_ready", "there is no index yet" if corpus.chunks is None else "there is no embedder", tool="search_rag")
     if not a["query"]:
-        raise ToolError("invalid_arguments", "query must not be empty", tool="search_rag", field="query")
+        raise ToolError("invalid_arguments", "the query is empty", tool="search_rag", field="query")
     try:
         vector = corpus.embed([" ".join(a["query"].split())])[0]
     except Exception as e:
-        raise ToolError("tool_execution_failed", "failed to search the index", tool="search_rag", error=str(e)) from e
+        raise ToolError("tool_execution_failed", "the question couldn't be embedded", tool="search_rag", error=str(e)) from e
     row = (0, [float(x) for x in vector], a["query"], a["path"], a["limit"], a["offset"])
     asked = corpus.docs.sparkSession.createDataFrame([row], "query_id int, query_vector array<float>, question string, path string, limit int, offset int")
     try:
         return semantic.pages(asked, corpus.chunks, buckets=corpus.buckets)
     except ValueError as e:
-        raise ToolError("invalid_arguments", "path is not part of the corpus", tool="search_rag", field="path", value=a["path"]) from e
+        raise ToolError("invalid_arguments", "the corpus has no such path", tool="search_rag", field="path", value=a["path"]) from e
 
 
 def path_field(table: AnalyzeArgument) -> T.StructField:
@@ -218,7 +218,7 @@ class ReadAround:
     @staticmethod
     def analyze(docs: AnalyzeArgument, line: AnalyzeArgument, before: AnalyzeArgument | None = None, after: AnalyzeArgument | None = None) -> AnalyzeResult:
         if given(line, "line") < 1:
-            raise ValueError("invalid_arguments: line must be at least 1")
+            raise ValueError("invalid_arguments: lines count from 1")
         return ReadLines.analyze(docs, line, line)
 
     def eval(self, row: Row, line: int, before: int = 0, after: int = 0) -> Iterator[tuple]:
@@ -292,7 +292,7 @@ class Registry:
 
     def tool(self, name: str) -> Tool:
         if name not in self.named:
-            raise ToolError("unknown_tool", "unknown tool requested", tool=name)
+            raise ToolError("unknown_tool", "there is no such tool", tool=name)
         return self.named[name]
 
     def call(self, corpus: Corpus, name: str, arguments: str | None = None, remember: bool = True) -> tuple[DataFrame, bool]:
