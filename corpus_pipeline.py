@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding them gives the text back."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    coded = bpe.encode(docs.select("doc_id", "text"), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import bpe
@@ -49,6 +50,25 @@ def test_table(spark, clashing, library):
         assert r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == (r["text"] or "")
 
 
+def test_decoded_in_the_same_pass(clashing):
+    two = bpe.decode(bpe.encode(clashing)).select("doc_id", "text", "ids", "decoded").collect()
+    one = bpe.encode(clashing, decoded="decoded").select("doc_id", "text", "ids", "decoded").collect()
+    assert sorted(one, key=repr) == sorted(two, key=repr)
+
+
+def test_a_task_leaves_no_table_in_its_worker(spark, documents):
+    """The next task in a worker, of any operator, finds no encoded pieces there."""
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(bpe.codec(path).known)] * batch.num_rows})
+
+    path = bpe.vocabulary()
+    bpe.encode(documents.repartition(8)).count()
+    bpe.encode(documents.repartition(8)).selectExpr("sum(size(ids))").collect()
+    assert {r["n"] for r in spark.range(64).repartition(16).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_null_ids_and_empty_table(spark, nothing):
     df = spark.createDataFrame([(1, None), (2, []), (3, [0, None, 99999])], "a int, ids array<int>")
     assert [r["decoded"] for r in bpe.decode(df).orderBy("a").collect()] == ["", "", "!"]

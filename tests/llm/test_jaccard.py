@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from textloom.llm import jaccard
 
@@ -152,3 +154,22 @@ def test_bounds():
                 assert jaccard.plausible(len(a), len(b), jaccard.bit_sketch(a), jaccard.bit_sketch(b))
                 shared = len(np.intersect1d(jaccard.sketch_keys(a), jaccard.sketch_keys(b)))
                 assert shared >= 1 and shared >= max(jaccard.least_shared(a), 1) and shared >= jaccard.least_shared(b)
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch of long texts is bounded by bytes; the session's own setting comes back, a failure or not."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    def labelled(rows):
+        seen.extend(r["n"] for r in rows.select("text").mapInArrow(sizes, "n long").collect())
+        raise ValueError
+
+    monkeypatch.setattr(jaccard, "labelled", labelled)
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text"))
+    assert len(seen) > 5 and max(seen) < 8 << 20 and spark.conf.get(name, None) == before

@@ -3,7 +3,7 @@
 The text is cut at special tokens and by the pre-tokenizer's pattern. In each piece the bytes are symbols of a doubly
 linked list; a priority queue holds (rank, position) of neighbouring pairs. The lowest rank is merged, its neighbours
 are queued anew, and entries whose symbols have changed meanwhile are skipped as stale. Decoding concatenates the
-vocabulary's byte strings. Each Python worker keeps a bounded table of pieces already encoded.
+vocabulary's byte strings. Each task keeps a bounded table of pieces already encoded.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import slices, table
+from textloom.llm.common import give_back, slices, table
 
 #: The pre-tokenizer's pattern (fixed by the vocabulary), with Unicode's white space.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Pieces that a worker remembers before it starts its table anew, and the longest that it keeps.
+#: Pieces that a task remembers before it starts its table anew, and the longest that it keeps.
 REMEMBERED, LONGEST = 400_000, 64
 
 
@@ -125,27 +125,33 @@ def appended(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, special: bool = True) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, special: bool = True, decoded: str | None = None) -> DataFrame:
     """df with the array of token ids of each whole text; none for null and empty texts.
 
     Other columns are kept; one named like ``out`` is replaced. special=False takes the strings of special tokens in a
-    text as ordinary text.
+    text as ordinary text. decoded: a column for the text that ``decode`` gives for the ids, in the same pass.
     """
     path = path or vocabulary()
-    kept = df.drop(out)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    kept = df.drop(out, decoded) if decoded else df.drop(out)
+    extra = [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = batch.column(at)
-            sizes = np.array([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], dtype=np.int64)
-            for a, b in slices(sizes):
-                ids = [c.encode(x, special) if x else b"" for x in texts[a:b].to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield appended(batch.slice(a, b - a), out, pa.ListArray.from_arrays(pa.array(ends), values))
+        try:
+            for batch in batches:
+                at = batch.schema.get_field_index(text)
+                texts = batch.column(at)
+                sizes = np.array([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], dtype=np.int64)
+                for a, b in slices(sizes):
+                    ids = [c.encode(x, special) if x else b"" for x in texts[a:b].to_pylist()]
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                    values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+                    coded = appended(batch.slice(a, b - a), out, pa.ListArray.from_arrays(pa.array(ends), values))
+                    yield appended(coded, decoded, pa.array([c.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string())) if decoded else coded
+        finally:
+            c.known.clear()
+            give_back()
 
     return kept.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import scratch, slices, stored, table
+from textloom.llm.common import give_back, scratch, slices, small_batches, stored, table
 from textloom.llm.graphs import components
 
 #: Words of a shingle, and the similarity (in percent) from which two sets are linked.
@@ -187,11 +187,12 @@ def plausible(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of bounded rows and bytes of their texts (column 1 if none is named)."""
+    """The batches in parts of bounded rows and bytes of their texts (column 1 if none is named); free memory goes back at the end."""
     for batch in batches:
         sizes = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or (1,))
         for a, b in slices(sizes):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -417,7 +418,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nothing; rows with a null doc_id are linked with nothing and have no component. Rows that share a doc_id are one
     document for links. Copies are linked with each other. An empty table gives an empty table.
     """
-    with scratch("sets", "components"):
+    with scratch("sets", "components"), small_batches(docs.sparkSession):
         return labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
