@@ -99,3 +99,9 @@ def test_documents(documents):
 def test_single_and_no_row(spark, nothing):
     check(spark.createDataFrame([(1, "only one document here")], "doc_id long, text string"))
     assert fp.fingerprints(nothing).count() == 0
+
+
+def test_neighbours_need_no_python_workers(spark, small):
+    """A list given to createDataFrame would be an RDD of Python workers in the executors."""
+    plan = fp.fingerprints(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "Window" in plan

@@ -107,7 +107,9 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     part = lambda c: F.coalesce(sum([(F.col(c) > x).cast("int") for x in cuts], F.lit(0)) if len(cuts) <= 64 else F.size(F.filter(F.lit(cuts), lambda x: x < F.col(c))), F.lit(0))
     firsts = {r["part"]: r["id"] for r in df.select(part("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("id")).collect()}
     order = sorted(firsts, reverse=True)
-    also = spark.createDataFrame([(k, firsts[k], order[i - 1]) for i, k in enumerate(order)], "part int, first_id long, into int")
+    # Rows of literals: a list given to createDataFrame would start Python workers in the executors.
+    row = lambda values, kind: F.get(F.lit(values).cast(f"array<{kind}>"), F.col("id").cast("int"))
+    also = spark.range(0, len(order), 1, 1).select(row(order, "int").alias("part"), row([firsts[k] for k in order], "long").alias("first_id"), row(order[-1:] + order[:-1], "int").alias("into"))
     rows = df.withColumn("_part", part("doc_id")).join(F.broadcast(also), F.col("_part") == F.col("part"), "left")
     heads = F.col("doc_id").eqNullSafe(F.col("first_id"))
     parts = F.when(heads, F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")), F.struct(F.col("into").alias("p"), F.lit(1).alias("g")))).otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g"))))
