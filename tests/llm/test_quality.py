@@ -10,6 +10,7 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
+from textloom.llm import common
 from textloom.llm import quality_classifier as qc
 from textloom.llm import quality_rules as qr
 
@@ -128,3 +129,30 @@ def test_all_good_documents_are_counted(spark, clashing, monkeypatch):
     assert sum("trusted_id=None" not in r for r in small) == docs.where("doc_id BETWEEN 0 AND 20499 AND doc_id <> 7").count()
     monkeypatch.setattr(qr, "BROADCAST_IDS", 0)
     assert sorted(map(repr, qr.with_trusted(docs, labels).collect())) == small
+
+
+def test_no_table_is_stored(spark, clashing, labels):
+    """Each stored table is a file a partition, and each file starts processes in the executors, so the rules store none."""
+    before = list(common.WRITTEN)
+    assert qr.quality_rules(clashing, labels).count() == clashing.count()
+    assert common.WRITTEN == before
+
+
+def test_grams_are_made_once_by_compiled_code(spark, documents, labels, capsys):
+    texts = documents.select(F.lit(1).cast("long").alias("good"), common.words_of().alias("words"))
+    qr.buckets(texts).groupBy("bucket").count().explain()
+    plan = capsys.readouterr().out
+    assert "lambda" not in plan and plan.count("split(") == 1
+
+
+def test_repeated_windows_by_number_of_pairs(spark, labels):
+    """Texts at the edge of what is looked at for windows: pairs repeated three and four times, runs of one word, blank lines."""
+    five, other = "a b c d e", [f"w{i}" for i in range(20)]
+    texts = [
+        f"{five} x {five}", f"a b c d x {five}", f"a b x b c x c d x d e x {five}", f"{five} {five}", "a " * 5, "a " * 6, "a " * 30, "a b " * 10,
+        " ".join([*other[:12], *five.split(), *other[12:], *five.split()]), "x\n \nx\n \n\n\t\nx y\n", "# a\n#* b\n# a", "\u00e9\u00e9 \U0001f600|\n" * 3,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = qr.quality_rules(df, labels).collect()
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
