@@ -173,3 +173,73 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     with pytest.raises(ValueError):
         jaccard.jaccard_components(spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text"))
     assert len(seen) > 5 and max(seen) < 8 << 20 and spark.conf.get(name, None) == before
+
+
+def test_copies_have_no_keys(spark, monkeypatch):
+    """Only the first of exact copies is joined, whichever ids are few, so copies in many tasks cost nothing; without a filter the result is the same."""
+    keys_of, seen = jaccard.keys_of, []
+    monkeypatch.setattr(jaccard, "keys_of", lambda docs: seen.append(docs.count()) or keys_of(docs))
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(12)]
+    texts += [t + " tail" for t in texts[:4]]
+    copied = spark.createDataFrame([(i, texts[i % 16]) for i in range(128)], "doc_id long, text string").repartition(8, "doc_id")
+    check(copied)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    check(copied)
+    mostly = copied.where("doc_id < 20")
+    check(mostly)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 8)
+    check(mostly)
+    assert seen == [16, 16, 20, 16]
+
+
+@pytest.mark.parametrize("paired", [1, 16])
+def test_whole_sets_go_to_blocks_of_near_copies_only(spark, monkeypatch, paired):
+    """Texts that share a passage with many others, but are no near copies of them, are told apart by their bit sketches."""
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    linked_across, sent = jaccard.linked_across, set()
+
+    def watched(clusters, roots, docs):
+        sent.update(r["node"] for r in clusters.collect())
+        return linked_across(clusters, roots, docs)
+
+    monkeypatch.setattr(jaccard, "linked_across", watched)
+    rng = random.Random(15)
+    rows = []
+    for i in range(80):
+        words = [f"c{i % 3}_{k}" for k in range(24)] + [f"u{i}_{k}" for k in range(rng.choice([3, 5, 12, 20, 40]))]
+        rows += [(len(rows) + k, " ".join(words + ["end", "of", "it"][:k])) for k in range(2 if i % 5 == 0 else 1)]
+    sets = {i: jaccard.shingles(t) for i, t in rows}
+    near = {x for a in sets for b in sets if a < b and jaccard.plausible(len(sets[a]), len(sets[b]), jaccard.bit_sketch(sets[a]), jaccard.bit_sketch(sets[b])) for x in (a, b)}
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sent <= near and len(near) < len(rows) - 20
+
+
+def test_block_near_joins_what_plausible_pairs_join():
+    rng = np.random.default_rng(16)
+    common = rng.integers(0, 2**63, 110).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(common)[: int(rng.integers(80, 110))], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64))) for _ in range(60)]
+    bits = [jaccard.bit_sketch(x) for x in sets]
+    for sides in (lambda i: False, lambda i: i % 2 == 1):
+        rows = [(i, i // 3, bits[i], sides(i), i % 5 == 0, len(x)) for i, x in enumerate(sets)]
+        near = lambda i, j: jaccard.plausible(len(sets[i]), len(sets[j]), bits[i], bits[j])
+        wanted = [(i, j) for i in range(60) for j in range(i) if i // 3 != j // 3 and not (rows[i][4] and rows[j][4]) and (sides(0) == sides(1) or sides(i) != sides(j)) and near(i, j)]
+        found = jaccard.block_near(rows)
+        assert all((max(e), min(e)) in wanted for e in found) and len(found) < 60
+        joined = [range(60), range(60)]
+        for k, links in enumerate((found, wanted)):
+            label = list(range(60))
+            for a, b in links:
+                label = [label[b] if x == label[a] else x for x in label]
+            joined[k] = [label.index(x) for x in label]
+        assert wanted and joined[0] == joined[1]
+
+
+def test_shuffle_files_go_with_their_table(spark, monkeypatch):
+    """Inside, shuffle files don't wait for the driver's garbage collection; the session's own setting comes back."""
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(jaccard, "labelled", lambda rows: seen.append(spark.conf.get(name, None)))
+    jaccard.jaccard_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert seen == ["true"] and spark.conf.get(name, None) == before

@@ -118,17 +118,26 @@ BATCH_BYTES = 4 << 20
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside go to Python in batches of BATCH_BYTES; Spark's own are 10,000 rows, whatever these hold."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside; the session's own comes back."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Tables stored inside go to Python in batches of BATCH_BYTES; Spark's own are 10,000 rows, whatever these hold."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def brief_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of tables stored inside go when the table is written, not when the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system: workers outlive their task, and others run in them."""
     pa.default_memory_pool().release_unused()

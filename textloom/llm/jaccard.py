@@ -12,15 +12,18 @@ bit sketches (one bit flipped for each token, a few bits a token, folded to one
 others are verified on the whole sets, best supported pair of each set first, and links become components.
 
 A group whose members are still in several components is open. Linked sets that aren't in one component share open keys
-only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. Of the
-rest, sets that share open keys are one cluster, cut by size. A cluster is compared in blocks of bounded members and
-tokens, each pair once: bit sketches sift, whole sets decide, and only links that join components leave a block, fewer
-than it has members. So no pairs are made for copies and near copies in any number, and no link is lost.
+only, and they share all used symbols but those that differ, so sets with fewer open keys than that are done. The rest
+keep their rarest open keys: as many as one of those that two linked sets share must be among (a prefix filter), so keys
+that chance or a common passage gives to many sets rarely count. Bit sketches sift the sets that share such a key, pair
+by pair in small groups, in blocks in large ones; sets that are then still plausible pairs are one cluster, cut by size.
+A cluster is compared in blocks of bounded members and tokens, each pair once: whole sets decide, and only links that
+join components leave a block, fewer than it has members. So no pairs are made for copies and near copies in any number,
+whole sets go to the blocks of their near copies only, and no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import give_back, scratch, slices, small_batches, stored, table
+from textloom.llm.common import brief_shuffles, give_back, scratch, slices, small_batches, stored, table
 from textloom.llm.graphs import components
 
 #: Words of a shingle, and the similarity (in percent) from which two sets are linked.
@@ -38,6 +41,8 @@ SHINGLE, PERCENT = 5, 80
 SYMBOLS, MORE = 0.24, 2
 #: Members of a cluster, and their tokens, that a block compares with as many others.
 BLOCK, BLOCK_TOKENS = 1024, 1 << 18
+#: Members of a key's group of which pairs are made, at most; larger groups are compared in blocks of bit sketches.
+PAIRED = 16
 #: Sets whose sizes differ by a factor of less are in one step of sizes or in neighbouring ones; linked sets' differ by 1.25.
 STEP = 1.26
 #: Ids that are broadcast to filter a table, at most (8 MB); more go through a shuffle.
@@ -300,34 +305,39 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def block_links(rows: list[tuple[int, int, bytes, bool, bool]]) -> list[tuple[int, int]]:
-    """Links that join components among the members (node, root, tokens, upper, guest) of a block; no more are needed.
+def near_in_block(upper: np.ndarray, guest: np.ndarray, n: np.ndarray, bits: list[np.ndarray], apart: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a block, the later ones that are apart from it and may be linked with it by sizes and bits.
 
-    Members of the lower side are compared with those of the upper one, or all with each other if there is one side
-    only; guests, of the next smaller step of sizes, aren't compared with guests.
+    Members of the lower side, which come first, are compared with those of the upper one, or all with each other if
+    there is one side only; guests, of the next smaller step of sizes, aren't compared with guests.
     """
+    size, two = min(x.shape[1] for x in bits), bool(upper.any() and not upper.all())
+    bits = np.concatenate([folded(x, size) for x in bits])
+    for i in range(len(n) - 1):
+        if two and upper[i]:
+            break
+        at = np.arange(i + 1, len(n))
+        good = apart(i, at) & (100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i])) & ~(guest[at] & guest[i])
+        at = at[good & upper[at] if two else good]
+        if len(at):
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            at = at[differ <= (n[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
+        if len(at):
+            yield i, at
+
+
+def block_links(rows: list[tuple[int, int, bytes, bool, bool]]) -> list[tuple[int, int]]:
+    """Links that join components among the members (node, root, tokens, upper, guest) of a block; no more are needed."""
     rows = sorted(rows, key=lambda r: (r[3], r[4]))
     sets = [np.frombuffer(r[2], U) for r in rows]
     node, n = np.array([r[0] for r in rows]), np.array([len(x) for x in sets])
     upper, guest = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
     component = np.unique([r[1] for r in rows], return_inverse=True)[1]
-    sketches = [np.frombuffer(bit_sketch(x), np.uint8)[None] for x in sets]
-    size = min(x.shape[1] for x in sketches)
-    bits = np.concatenate([folded(x, size) for x in sketches])
+    bits = [np.frombuffer(bit_sketch(x), np.uint8)[None] for x in sets]
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum([0, *n])
-    held, out, two = np.zeros(int(ids.max()) + 1, bool), [], bool(upper.any() and not upper.all())
-    for i in range(len(rows) - 1):
-        if two and upper[i]:
-            break
-        at = np.arange(i + 1, len(rows))
-        good = (component[at] != component[i]) & (100 * np.minimum(n[at], n[i]) >= PERCENT * np.maximum(n[at], n[i])) & ~(guest[at] & guest[i])
-        at = at[good & upper[at] if two else good]
-        if len(at):
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            at = at[differ <= (n[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
-        if not len(at):
-            continue
+    held, out = np.zeros(int(ids.max()) + 1, bool), []
+    for i, at in near_in_block(upper, guest, n, bits, lambda i, at: component[at] != component[i]):
         own = ids[ends[i] : ends[i + 1]]
         held[own] = True
         both = np.array([np.count_nonzero(held[ids[ends[j] : ends[j + 1]]]) for j in at])
@@ -339,6 +349,23 @@ def block_links(rows: list[tuple[int, int, bytes, bool, bool]]) -> list[tuple[in
     return out
 
 
+def block_near(rows: list[tuple[int, int, bytes, bool, bool, int]]) -> list[tuple[int, int]]:
+    """Plausible pairs among the members (node, root, bits, upper, guest, size) of a block whose components differ.
+
+    As many as join all members that such pairs join. Components aren't joined by a pair, since it may be no link.
+    """
+    rows = sorted(rows, key=lambda r: (r[3], r[4]))
+    node, root, upper, guest, n = (np.array([r[k] for r in rows]) for k in (0, 1, 3, 4, 5))
+    bits = [np.frombuffer(r[2], np.uint8)[None] for r in rows]
+    group, out = np.arange(len(rows)), []
+    for i, at in near_in_block(upper, guest, n, bits, lambda i, at: (root[at] != root[i]) & (group[at] != group[i])):
+        for j in at:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
 def tokens_of(docs: DataFrame) -> DataFrame:
     """node and tokens (the sorted set, 8 bytes each) of each row of docs (node, text) with words."""
 
@@ -351,26 +378,23 @@ def tokens_of(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, tokens binary")
 
 
-def linked_across(clusters: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join all linked sets of a cluster; clusters: (node, cluster), stored; roots: the components so far.
+def in_blocks(sets: DataFrame, block: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """The pairs (a, b) that block finds among the sets (node, root, cluster, data, n; stored) of each cluster.
 
     A cluster's sets are cut into steps of sizes, and each step, with the step below as guests, into parts; a block is
-    two parts. A block's rows are bounded by its members and tokens.
+    two parts. A block's rows (node, root, data, upper, guest, n) are bounded by its members and the bytes of their data.
     """
-    sets = tokens_of(with_ids(docs, clusters.select("node"))).join(clusters, "node").join(roots, "node", "left")
-    n = F.octet_length("tokens") / 8
-    sets = sets.select("node", F.coalesce("root", "node").alias("root"), "cluster", "tokens", n.cast("long").alias("n"), F.floor(F.log(n) / float(np.log(STEP))).alias("own_step"))
-    sets = stored(sets, "cluster-sets")
-    at = F.explode(F.array(F.struct(F.col("own_step").alias("step"), F.lit(False).alias("guest")), F.struct((F.col("own_step") + 1).alias("step"), F.lit(True).alias("guest"))))
-    seats = sets.select("node", "root", "cluster", "tokens", "n", at.alias("at")).select("*", "at.*").drop("at")
-    sizes = seats.groupBy("cluster", "step").agg(F.count("*").alias("m"), F.sum("n").alias("t"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("guest").alias("alone"))
+    own_step = F.floor(F.log("n") / float(np.log(STEP)))
+    at = F.explode(F.array(F.struct(own_step.alias("step"), F.lit(False).alias("guest")), F.struct((own_step + 1).alias("step"), F.lit(True).alias("guest"))))
+    seats = sets.select("*", at.alias("at")).select("*", "at.*").drop("at")
+    sizes = seats.groupBy("cluster", "step").agg(F.count("*").alias("m"), (F.sum(F.octet_length("data")) / 8).alias("t"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("guest").alias("alone"))
     sizes = sizes.where("x <> y AND NOT alone").select("cluster", "step", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).alias("parts"))
     sizes = stored(sizes, "cluster-sizes")
     parts = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
     own = seats.join(parts, ["cluster", "step"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    rows = placed.select("cluster", "step", low, high, "node", "root", "tokens", (F.col("own") > F.col("other")).alias("upper"), "guest")
+    rows = placed.select("cluster", "step", low, high, "node", "root", "data", (F.col("own") > F.col("other")).alias("upper"), "guest", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lambda links: pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema=LINKS)
@@ -378,20 +402,63 @@ def linked_across(clusters: DataFrame, roots: DataFrame, docs: DataFrame) -> Dat
         for batch in sliced(batches, 6):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:4] != of:
-                    if len(held) > 1 and (links := block_links(held)):
+                    if len(held) > 1 and (links := block(held)):
                         yield made(links)
                     of, held = row[:4], []
                 held.append(row[4:])
-        if len(held) > 1 and (links := block_links(held)):
+        if len(held) > 1 and (links := block(held)):
             yield made(links)
 
     blocks = rows.repartition("cluster", "step", "low", "high").sortWithinPartitions("cluster", "step", "low", "high")
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def linked_across(clusters: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join all linked sets of a cluster; clusters: (node, cluster), stored; roots: the components so far."""
+    sets = tokens_of(with_ids(docs, clusters.select("node"))).join(clusters, "node").join(roots, "node", "left")
+    sets = sets.select("node", F.coalesce("root", "node").alias("root"), "cluster", F.col("tokens").alias("data"), (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    return in_blocks(stored(sets, "cluster-sets"), lambda rows: block_links([r[:5] for r in rows]))
+
+
+def near_across(clusters: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) that join all sets of a cluster which such pairs of different components join; as linked_across, by the bits of info."""
+    sets = info.join(clusters, "node").join(roots, "node", "left")
+    sets = sets.select("node", F.coalesce("root", "node").alias("root"), "cluster", F.col("bits").alias("data"), F.col("n_shingles").alias("n"))
+    return in_blocks(stored(sets, "near-sets"), block_near)
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def rarest(members: DataFrame, info: DataFrame) -> DataFrame:
+    """(key, node): the rarest keys of each node of members (key, node; stored, distinct), all but ``shared`` - 1 of them.
+
+    Linked sets share ``shared`` of their keys or more, and the rarest key that they share is among these of both. Keys
+    of one member don't count.
+    """
+    shared = info.groupBy("node").agg(F.min("shared").alias("shared"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select((F.col("key") + 0).alias("key"), "size")
+    own = Window.partitionBy("node")
+    ranked = members.join(sizes, "key").select("key", "node", F.row_number().over(own.orderBy("size", "key")).alias("place"), F.count("*").over(own).alias("of"))
+    return ranked.join(shared, "node").where("place <= of - shared + 1").select("key", "node")
+
+
+def still_near(members: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) that join all linked sets of different components. members: the open keys (key, node) of the sets that aren't settled, stored."""
+    rare = stored(rarest(members, info), "rare")
+    sizes = rare.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select((F.col("key") + 0).alias("key"), "size")
+    rare = stored(rare.join(sizes, "key").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size"), "rarest")
+    end = lambda e: rare.where(f"size <= {PAIRED}").select("key", F.col("node").alias(e), F.col("root").alias(f"r{e}"))
+    pairs = end("a").join(end("b"), "key").where("a < b AND ra <> rb").select("a", "b", F.lit(1).cast("long").alias("n")).distinct()
+    near = sifted(pairs, info).select("a", "b")
+    common = rare.where(f"size > {PAIRED}").select("key", "node")
+    if common.isEmpty():
+        return near
+    firsts = common.groupBy("key").agg(F.min("node").alias("first")).select((F.col("key") + 0).alias("key"), "first")
+    clusters = components(common.join(firsts, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    return near.union(near_across(stored(clusters.select("node", F.col("root").alias("cluster")), "common"), roots, info))
+
+
 def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame) -> DataFrame:
     """The components after the groups of candidates (key, a, b: neighbours in a group, as classes) are settled."""
     pairs = sifted(candidates.groupBy("a", "b").agg(F.count("*").alias("n")), info)
@@ -404,10 +471,11 @@ def resolve(candidates: DataFrame, docs: DataFrame, info: DataFrame) -> DataFram
     members = stored(members, "members")
     counts = members.groupBy("node").agg(F.count("*").alias("n"))
     unsettled = counts.join(info.groupBy("node").agg(F.min("shared").alias("shared")), "node").where("n >= shared").select((F.col("node") + 0).alias("node"))
-    left = stored(members.join(unsettled, "node", "left_semi"), "unsettled")
-    firsts = left.groupBy("key").agg(F.min("node").alias("first")).select((F.col("key") + 0).alias("key"), "first")
-    clusters = components(left.join(firsts, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    across = stored(linked_across(stored(clusters.select("node", F.col("root").alias("cluster")), "clusters"), roots, docs), "across")
+    near = stored(still_near(stored(members.join(unsettled, "node", "left_semi"), "unsettled"), roots, info), "near")
+    if near.isEmpty():
+        return roots
+    clusters = stored(components(near).select("node", F.col("root").alias("cluster")), "clusters")
+    across = stored(linked_across(clusters, roots, docs), "across")
     return roots if across.isEmpty() else joined(roots, across)
 
 
@@ -418,10 +486,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nothing; rows with a null doc_id are linked with nothing and have no component. Rows that share a doc_id are one
     document for links. Copies are linked with each other. An empty table gives an empty table.
     """
-    with scratch("sets", "components"), small_batches(docs.sparkSession):
+    with scratch("sets", "components"), small_batches(docs.sparkSession), brief_shuffles(docs.sparkSession):
         return labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
+def without_copies(texts: DataFrame, classes: DataFrame, firsts: DataFrame) -> DataFrame:
+    """texts (node, text) without those that are copies only; firsts: the nodes that are the first of a class, stored.
+
+    A filter while the firsts or the copies are few. If both are many, texts go through a shuffle where that saves more
+    than it takes, for copies that are half of the texts or more; else copies stay, and are named as their firsts later.
+    """
+    if (kept := firsts.count()) <= BROADCAST_IDS:
+        return texts.join(F.broadcast(firsts), "node", "left_semi")
+    copies = stored(classes.select(F.col("doc_id").alias("node")).distinct().join(firsts, "node", "left_anti"), "copies")
+    if (gone := copies.count()) <= BROADCAST_IDS:
+        return texts.join(F.broadcast(copies), "node", "left_anti")
+    return texts.join(firsts, "node", "left_semi") if gone >= kept else texts
+
+
 def labelled(rows: DataFrame) -> DataFrame:
     """jaccard_components of rows (doc_id, text)."""
     sets = stored(sets_of(rows), "sets")
@@ -431,11 +513,16 @@ def labelled(rows: DataFrame) -> DataFrame:
     classes = stored(usable.join(firsts.select(F.concat("set_key", F.lit(b"")).alias("set_key"), "rep"), "set_key"), "classes")
     reps = classes.where("doc_id = rep").distinct().select(F.col("doc_id"), "set_key")
     info = sets.join(reps, ["doc_id", "set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "shared", "bits").dropDuplicates(["node", "n_shingles", "bits"])
+    info = stored(info, "info")
+    firsts = stored(reps.select(F.col("doc_id").alias("node")).distinct(), "firsts")
     rep = classes.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    raw = stored(neighbours(keys_of(texts)), "neighbours")
-    named = lambda end: rep.where("doc_id <> rep").select(F.col("doc_id").alias(end), F.col("rep").alias(f"r{end}"))
-    as_reps = raw.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    whole = without_copies(texts, classes, firsts)
+    moved = rep.where("doc_id <> rep").select(F.col("doc_id").alias("node"), "rep")
+    moved = stored(moved if whole is texts else moved.join(firsts, "node", "left_semi"), "moved")
+    few, raw = moved.count() <= BROADCAST_IDS, neighbours(keys_of(whole))
+    named = lambda end: (F.broadcast(moved) if few else moved).select(F.col("node").alias(end), F.col("rep").alias(f"r{end}"))
+    as_reps = (raw if few else stored(raw, "neighbours")).join(named("a"), "a", "left").join(named("b"), "b", "left")
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
     candidates = as_reps.select("key", F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b")
     same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
